@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat
-from .common import documents
+from . import bpe, chat, langid, quality, shards, token_counts
+from .common import documents, fold, held_out, workspace, HELD_OUT_REMAINDER
 
 
 def vocabulary() -> str:
@@ -22,6 +22,37 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), vocabulary())
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    machine = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold() != HELD_OUT_REMAINDER)
+    scored = quality.score(docs.select("doc_id", "text", "n_chars"), machine)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load all documents, delete the short, revise those with digits scrubbed, add a second tokenizer, repeat a batch."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text")
+    rollup = token_counts.Rollup(spark, workspace(spark, "token-counts"))
+    short = docs.where(F.length("text") < 200)
+    digits = docs.where((F.length("text") >= 200) & F.col("text").rlike("[0-9]"))
+    rollup.commit("0001-load", token_counts.changes(docs, "insert", "words-1"))
+    rollup.commit("0002-short", token_counts.changes(short, "delete", "words-1"))
+    rollup.commit("0003-scrubbed", token_counts.changes(digits, "revise", "words-1", text=F.regexp_replace("text", "[0-9]+", "")))
+    rollup.commit("0004-second", token_counts.changes(docs, "insert", "pieces-1"))
+    rollup.commit("0002-short", token_counts.changes(short, "delete", "words-1"))
+    return rollup.totals()
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs, fold() != HELD_OUT_REMAINDER)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(documents(spark, sf_dir))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -44,11 +75,29 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+OP5_SQL = r"""
+WITH counted AS (
+  SELECT source, lang, 'words-1' AS tokenizer, regexp_replace(text, '[0-9]+', '', 'g') AS body
+  FROM documents WHERE coalesce(length(text) >= 200, true)
+  UNION ALL
+  SELECT source, lang, 'pieces-1', text FROM documents)
+SELECT source, lang, tokenizer, count(*) AS n_docs,
+  CAST(coalesce(sum(CASE WHEN tokenizer = 'words-1' THEN len(regexp_extract_all(body, '[^\x20\x09-\x0D]+'))
+    ELSE len(regexp_extract_all(body, '[\p{L}\p{M}]+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{M}\p{N}]+')) END), 0) AS BIGINT) AS n_tokens,
+  CAST(coalesce(sum(length(body)), 0) AS BIGINT) AS n_chars
+FROM counted GROUP BY source, lang, tokenizer
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_quality": op4_quality,
+    "op5_token_counts": op5_token_counts,
+    "op7_language": op7_language,
     "op8_chat_format": op8_chat_format,
+    "op10_shards": op10_shards,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_token_counts": OP5_SQL,
     "op8_chat_format": OP8_SQL,
 }
