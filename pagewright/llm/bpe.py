@@ -106,10 +106,50 @@ def _load(text: str):
     key = ("bpe", hash(text))
     if key not in cache:
         made = Tokenizer.from_str(text)
-        cache[key] = (made, token_bytes(made.get_vocab()))
+        cache[key] = (made, token_bytes(made.get_vocab()), Pieces(text))
     return cache[key]
 
 
+#: Characters beyond Cyrillic, and those that are white space in one regex library alone: such texts are not cut here.
+UNUSUAL = r"[^\x00-\x1b\x20-\x84\x86-\u052f]"
+#: The pieces that a byte-level pre-tokenizer cuts a text into, as the public vocabulary files give it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces whose ids a worker keeps; beyond this many it starts anew.
+KEPT_PIECES = 300_000
+
+
+class Pieces:
+    """Encodes texts by their pieces: the library encodes each piece that is not known yet, once."""
+
+    def __init__(self, text: str):
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_str(text)
+        self.single = Tokenizer.from_str(text)
+        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.unusual, self.cut = regex.compile(UNUSUAL).search, regex.compile(PATTERN).findall
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes | None] = [None] * len(texts)
+        odd = [i for i, t in enumerate(texts) if self.unusual(t)]
+        for i, e in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        cut = [(i, self.cut(t)) for i, t in enumerate(texts) if out[i] is None]
+        if len(self.known) > KEPT_PIECES:
+            self.known.clear()
+        new = list({p for _, pieces in cut for p in pieces if p not in self.known})
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            for p, e in zip(part, self.single.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[p] = np.array(e.ids, "<u4").tobytes()
+        for i, pieces in cut:
+            out[i] = b"".join(map(self.known.__getitem__, pieces))
+        return out
+
+
 def broadcast_tokenizer(spark: SparkSession, path: str):
     """The tokenizer of a rank file, broadcast; a session builds it once for each file."""
     cache = worker_cache()
@@ -119,12 +159,6 @@ def broadcast_tokenizer(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(cache[key])
 
 
-def _encode_chunks(tokenizer, texts: list[str], offsets: bool):
-    for a, b in by_bytes(texts, CHUNK_CHARS):
-        run = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
-        yield from run(texts[a:b], add_special_tokens=False)
-
-
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", offsets: str | None = None) -> DataFrame:
     """Add token ids, and on request each token's character range, to the rows.
 
@@ -138,16 +172,19 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + (", " if fields else "") + f"`{ids}` array<int>" + (f", `{offsets}` array<struct<start:int,end:int>>" if offsets else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, _ = _load(shared.value)
+        tokenizer, _, pieces = _load(shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             keep = [batch.column(i) for i in range(batch.num_columns - 1)]
             names = batch.schema.names[:-1]
             got, spans = [], []
-            for e in _encode_chunks(tokenizer, texts, bool(offsets)):
-                got.append(e.ids)
+            for first, last in by_bytes(texts, CHUNK_CHARS):
                 if offsets:
-                    spans.append([{"start": a, "end": b} for a, b in e.offsets])
+                    for e in tokenizer.encode_batch(texts[first:last], add_special_tokens=False):
+                        got.append(e.ids)
+                        spans.append([{"start": a, "end": b} for a, b in e.offsets])
+                else:
+                    got += [np.frombuffer(x, "<u4").astype(np.int32) for x in pieces.encode(texts[first:last])]
             cols = [*keep, pa.array(got, pa.list_(pa.int32()))]
             if offsets:
                 cols.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
@@ -163,7 +200,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + f", `{text}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table = _load(shared.value)
+        _, table, _ = _load(shared.value)
         for batch in batches:
             rows = batch.column(batch.num_columns - 1).to_pylist()
             out = [None if r is None else decode_bytes(r, table).decode("utf-8", "replace") for r in rows]
@@ -182,15 +219,15 @@ def digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
     kind = base.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, table = _load(shared.value)
+        _, table, pieces = _load(shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n, ids_hash, back_hash = [], [], []
-            for e in _encode_chunks(tokenizer, texts, False):
-                got = e.ids
-                n.append(len(got))
-                ids_hash.append(hashlib.sha256(np.array(got, "<u4").tobytes()).hexdigest())
-                back_hash.append(hashlib.sha256(decode_bytes(got, table)).hexdigest())
+            for a, b in by_bytes(texts, CHUNK_CHARS):
+                for ids in pieces.encode(texts[a:b]):
+                    n.append(len(ids) // 4)
+                    ids_hash.append(hashlib.sha256(ids).hexdigest())
+                    back_hash.append(hashlib.sha256(decode_bytes(np.frombuffer(ids, "<u4").tolist(), table)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(back_hash, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(base, run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
