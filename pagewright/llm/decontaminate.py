@@ -83,9 +83,10 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     base = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("words"))
     hashed = base.select("doc_id", "words", F.size("words").alias("size"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     def exploded(span: int, seeds_of: Column) -> DataFrame:
-        # seeds are a column of their own before the generator, which can then run within generated code
+        # seeds are a column of their own before the generator, which can then run within generated code; the outer form
+        # keeps the optimizer from adding a filter on the seeds, which would compute them again for each word
         own = hashed.select("doc_id", "words", F.greatest(F.col("size") - span + 1, F.lit(1)).alias("m"), seeds_of.alias("seeds"))
-        return own.select("doc_id", "words", "m", F.posexplode("seeds").alias("i", "seed"))
+        return own.select("doc_id", "words", "m", F.posexplode_outer("seeds").alias("i", "seed"))
 
     made = [exploded(SPAN, _seeds(F.col("h"), F.col("size")))]
     made += [exploded(s, _runs(F.col("h"), F.col("size"), s)) for s in short]
