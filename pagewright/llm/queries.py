@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, quality, shards, token_counts
+from . import bpe, chat, decontaminate, jaccard, langid, quality, shards, token_counts
 from .common import documents, fold, held_out, workspace, HELD_OUT_REMAINDER
 
 
@@ -47,6 +47,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs, fold() != HELD_OUT_REMAINDER)
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
+    "op6_jaccard": op6_jaccard,
     "op7_language": op7_language,
     "op8_chat_format": op8_chat_format,
     "op10_shards": op10_shards,
