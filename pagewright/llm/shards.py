@@ -80,12 +80,12 @@ def find_cuts(groups: DataFrame, shards: int, ranges: int = RANGES) -> list[int]
     step = max(1, (ranges - 1).bit_length())
     shift = 64 - step
 
-    def sums(df: DataFrame, by: int) -> list[tuple[int, int, int, int]]:
+    def sums(df: DataFrame, by: int) -> list[tuple[int, int, int, int, int]]:
         key = F.shiftright("h", by) if by else F.col("h")
         rows = df.groupBy(key.alias("k")).agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("m")).collect()
-        return sorted((r.k << by, r.b, r.n, r.m) for r in rows)
+        return sorted((r.k << by, r.b, r.n, r.m, by) for r in rows)
 
-    nodes = sums(groups, shift)  # first hash, bytes, groups, largest group
+    nodes = sums(groups, shift)  # first hash, bytes, groups, largest group, bits of the range
     if not nodes:
         return []
     largest = max(x[3] for x in nodes)
@@ -105,23 +105,13 @@ def find_cuts(groups: DataFrame, shards: int, ranges: int = RANGES) -> list[int]
         if not wanted:
             return [nodes[i][0] if i < len(nodes) else 2**63 for i in even_cuts(sizes, shards, high)]
         many = sum(nodes[i][2] for i in wanted)
-        finer = 0 if many <= ranges else max(0, shift - max(1, (ranges // len(wanted)).bit_length() - 1))
-        runs: list[list[int]] = []
-        for i in sorted(wanted):
-            if runs and runs[-1][1] == i - 1:
-                runs[-1][1] = i
-            else:
-                runs.append([i, i])
-        inside = F.lit(False)
-        for a, b in runs:
-            inside = inside | ((F.col("h") >= nodes[a][0]) & (F.col("h") <= _last_hash(nodes[b][0], shift)))
-        got = sums(groups.where(inside), finer)
+        got = []
+        for bits in sorted({nodes[i][4] for i in wanted}):
+            own = [nodes[i][0] >> bits for i in wanted if nodes[i][4] == bits]
+            finer = 0 if many <= ranges else max(0, bits - max(1, (ranges // len(wanted)).bit_length() - 1))
+            asked = groups.sparkSession.createDataFrame([(k,) for k in own], "k long")  # at most as many rows as came back before
+            got += sums(groups.join(F.broadcast(asked), F.shiftright("h", bits) == F.col("k"), "left_semi"), finer)
         nodes = sorted([x for i, x in enumerate(nodes) if i not in wanted] + got)
-        shift = finer
-
-
-def _last_hash(first: int, shift: int) -> int:
-    return min(2**63 - 1, first + (1 << shift) - 1)
 
 
 def assign(df: DataFrame, shards: int = N_SHARDS, doc_id: str = "doc_id", text: str = "text", slot_rows: int = SLOT_ROWS) -> DataFrame:
