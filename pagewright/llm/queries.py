@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, langid, quality, shards, suffix_dedup, token_counts
+from . import bpe, chat, decontaminate, jaccard, langid, media, quality, shards, suffix_dedup, token_counts
 from .common import documents, fold, held_out, workspace, HELD_OUT_REMAINDER
 
 
@@ -61,6 +61,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_texts(documents(spark, sf_dir))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(documents(spark, sf_dir))
 
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard": op6_jaccard,
     "op7_language": op7_language,
     "op8_chat_format": op8_chat_format,
+    "op9_media": op9_media,
     "op10_shards": op10_shards,
 }
 
