@@ -43,6 +43,8 @@ SKETCH_BITS = 20
 HELD_KEYS = 2_000_000
 #: Sets that are compared in one place at most.
 TILE = 2_000
+#: Rows (28 bytes each) that say where a text is compared; no more than these are broadcast, else the texts are shuffled.
+BROADCAST_PLACES = 250_000
 CHUNK_CHARS = 1_000_000
 LEAF = 16
 
@@ -215,8 +217,8 @@ def frequency_sketch(df: DataFrame, text: str) -> np.ndarray:
     return out.ravel()
 
 
-def _rows(kind: int, a, b, c, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["kind", "a", "b", "c", "n"])
+def _rows(kind: int, key, a, b, c, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int8)), *[pa.array(x, pa.int64()) for x in (key, a, b, c, n)]], names=["kind", "key", "a", "b", "c", "n"])
 
 
 def _first_of_each(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,14 +233,18 @@ def _first_of_each(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def set_rows(df: DataFrame, doc_id: str, text: str, counts: np.ndarray) -> DataFrame:
-    """kind 0: doc_id, digest, digest, size; kind 1: key, digest; kind 2: links of digests by a key that a task holds."""
+    """Rows of three kinds: kind, key, a, b, c, n.
+
+    0: a document's id, both halves of its set's digest, and the set's size. 1: a key and the digest (b) of a set that
+    has it. 2: digests a and b, linked by a key that this task holds of both. Where the key says nothing it counts rows.
+    """
     shared = df.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
-        held = 0
+        held = seen = 0
 
         def send() -> Iterator[pa.RecordBatch]:
             key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners)
@@ -247,15 +253,17 @@ def set_rows(df: DataFrame, doc_id: str, text: str, counts: np.ndarray) -> DataF
             none = np.full(len(first), 0)
             for k in range(0, len(first), 100_000):
                 cut = slice(k, k + 100_000)
-                yield _rows(1, first[cut], least[cut], none[cut], none[cut])
-            yield _rows(2, link[:, 0], link[:, 1], np.zeros(len(link), np.int64), np.zeros(len(link), np.int64))
+                yield _rows(1, first[cut], none[cut], least[cut], none[cut], none[cut])
+            none = np.zeros(len(link), np.int64)
+            yield _rows(2, np.arange(len(link)), link[:, 0], link[:, 1], none, none)
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in by_bytes(texts, CHUNK_CHARS):
                 sets = shingle_sets(texts[a:b])
                 marks = [digest(s) for s in sets]
-                yield _rows(0, ids[a:b], [m[0] for m in marks], [m[1] for m in marks], [len(s) for s in sets])
+                yield _rows(0, np.arange(seen, seen + b - a), ids[a:b], [m[0] for m in marks], [m[1] for m in marks], [len(s) for s in sets])
+                seen += b - a
                 for s, m in zip(sets, marks, strict=True):
                     if len(s):
                         keys.append(prefix_keys(s, sketch))
@@ -267,7 +275,7 @@ def set_rows(df: DataFrame, doc_id: str, text: str, counts: np.ndarray) -> DataF
         if held:
             yield from send()
 
-    return map_arrow(df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), run, "kind byte, a long, b long, c long, n long")
+    return map_arrow(df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), run, "kind byte, key long, a long, b long, c long, n long")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,14 +304,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE, broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach, the document itself included)."""
-    found = saved(set_rows(df, doc_id, text, frequency_sketch(df, text)), "sets")
+    rows = set_rows(df, doc_id, text, frequency_sketch(df, text))
+    # a key has at most one row from each task, so a window holds few rows however common the key is; keys end here
+    least = F.min(F.when(F.col("kind") == 1, F.col("b"))).over(Window.partitionBy("kind", "key"))
+    found = saved(rows.withColumn("least", least).where("kind <> 1 or b <> least").select("kind", "a", "b", "c", "n", "least"), "sets")
     docs = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("mark"), F.col("c").alias("rest"), "n")
-    keys = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("mark"))
-    # a key has at most one row from each task, so a window holds few rows however common the key is
-    near = keys.withColumn("least", F.min("mark").over(Window.partitionBy("key"))).where("mark <> least").select(F.col("mark").alias("a"), F.col("least").alias("b"))
-    loose = components(near.unionByName(found.where("kind = 2").select("a", "b")))
+    near = found.where("kind > 0").select(F.when(F.col("kind") == 1, F.col("least")).otherwise(F.col("a")).alias("a"), "b")
+    loose = components(near)
     firsts = saved(docs.where("n > 0 and doc_id is not null").groupBy("mark", "rest").agg(F.min("doc_id").alias("first")), "classes")
     members = saved(firsts.join(loose, F.col("mark") == F.col("node")).select(F.col("label").alias("comp"), F.col("first").alias("doc"), "mark"), "members")
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -315,7 +324,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     # parts are compared within themselves where a part meets itself; in a pair of parts only across
     placed = placed.select(F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), side.cast("int").alias("side"), "doc", "mark")
     texts = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = texts.join(placed.hint("shuffle_hash"), "doc").select("tile", "side", "doc", "mark", "text")
+    placed = saved(placed, "places")
+    few = placed.count() <= broadcast_places
+    rows = texts.join(F.broadcast(placed) if few else placed.hint("shuffle_hash"), "doc").select("tile", "side", "doc", "mark", "text")
     links = map_arrow(rows.repartition("tile").sortWithinPartitions("tile"), _compare, "a long, b long")
     strict = components(links).select(F.col("node").alias("first"), F.col("label"))
     named = firsts.join(strict, "first", "left").select("mark", "rest", F.coalesce("label", "first").alias("component_id"))
