@@ -3,7 +3,7 @@
 Every byte covered by a 50-byte string that also starts in a document with a smaller id is removed. Strings are bytes of
 UTF-8, never cross documents, and are judged on the input.
 
-1. Each 50-byte window picks one 26-byte gram in it, the one of smallest hash (the leftmost of equal ones). Equal windows
+1. Each 50-byte window picks one 20-byte gram in it, the one of smallest hash (the leftmost of equal ones). Equal windows
    pick equal grams, so only windows whose gram occurs in several documents can be shared. Tasks send the grams' hashes
    packed, each at most once where a task has it in several documents, and learn which are shared.
 2. The windows that picked a shared gram are cut out as segments; equal segments of a task are sent once, with the
@@ -27,18 +27,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
 
 LENGTH = 50
-GRAM = 26
+GRAM = 20
 #: Bytes that are worked on at once; longer texts are cut into pieces that overlap by a window.
 PIECE = 1 << 20
 PLACE_BITS = 21
-#: Text bytes for each bucket; bounds what a task holds of grams and segments.
+#: Text bytes for each bucket of segments, and buckets of segments that share one of grams; both bound what a task holds.
 BUCKET_BYTES = 16_000_000
+GRAM_BUCKETS = 2
 #: Grams that a task holds before it sends them.
 HELD = 1_500_000
 NO_ID = 2**63 - 1
@@ -152,17 +154,25 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _open(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def _pack_owned(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> bytes:
     """Keys in the order of their owners, with each owner's document id and row once."""
     own, count = np.unique(owner, return_counts=True)
-    head = np.array([len(own)], "<i8").tobytes()
-    return head + ids[own].astype("<i8").tobytes() + rows[own].astype("<i8").tobytes() + count.astype("<i8").tobytes() + _pack(keys)
+    head = _squeeze(ids[own].astype("<i8").tobytes() + rows[own].astype("<i8").tobytes() + count.astype("<i8").tobytes())
+    return np.array([len(head)], "<i8").tobytes() + head + _pack(keys)
 
 
 def _unpack_owned(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int(np.frombuffer(raw[:8], "<i8")[0])
-    ids, rows, count = np.frombuffer(raw[8 : 8 + 24 * n], "<i8").reshape(3, n)
-    return _unpack(raw[8 + 24 * n :]), np.repeat(ids, count), np.repeat(rows, count)
+    ids, rows, count = np.frombuffer(_open(raw[8 : 8 + n]), "<i8").reshape(3, -1)
+    return _unpack(raw[8 + n :]), np.repeat(ids, count), np.repeat(rows, count)
 
 
 def _several(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +211,7 @@ def send_grams(buckets: int):
 
         def send() -> Iterator[pa.RecordBatch]:
             key, owner, id_of, row_of = np.concatenate(keys), np.concatenate(owners), np.array(ids, np.int64), np.array(rows, np.int64)
-            bucket, key = bucket_of(key, buckets), short_key(key)
+            bucket, key = bucket_of(key, buckets) // GRAM_BUCKETS, short_key(key)
             shared, lead = _several(key | (bucket.astype(np.uint64) << np.uint64(40)), id_of[owner])
             if shared.any():
                 yield from _flag_rows(row_of[owner[shared]], bucket[shared], key[shared])
@@ -269,34 +279,88 @@ SEGMENT = np.dtype([("mark", "<u8"), ("id", "<i8"), ("size", "<u2")])
 PLACE = np.dtype([("mark", "<u8"), ("row", "<u4"), ("at", "<i8"), ("count", "u1")])
 
 
-def cut_segments(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments: dict[bytes, list] = {}
-        places: list[tuple] = []
-        owners: dict[tuple[int, int], int] = {}
+def _columns(table: np.ndarray) -> bytes:
+    """A structured array column by column, which compresses better."""
+    return b"".join(np.ascontiguousarray(table[f]).tobytes() for f in table.dtype.names)
+
+
+def _table(raw: bytes, kind: np.dtype, n: int) -> tuple[np.ndarray, int]:
+    out, at = np.zeros(n, kind), 0
+    for f in kind.names:
+        size = n * kind[f].itemsize
+        out[f] = np.frombuffer(raw[at : at + size], kind[f])
+        at += size
+    return out, at
+
+
+class Segments:
+    """Distinct segments of a task and the places that have them, until they are sent."""
+
+    def __init__(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.bodies: list[bytes] = []
+        self.buckets: list[int] = []
+        self.least: list[int] = []
+        self.places: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
+        self.owners: list[tuple[int, int]] = []
+        self.held = 0
+
+    def add(self, raw: bytes, row: int, doc: int, at: np.ndarray, count: np.ndarray, bucket: np.ndarray) -> None:
+        index, found = self.index, []
+        for a, e, b in zip(at.tolist(), (at + count + (LENGTH - 1)).tolist(), bucket.tolist(), strict=True):
+            body = raw[a:e]
+            n = index.get(body)
+            if n is None:
+                n = index[body] = len(self.bodies)
+                self.bodies.append(body)
+                self.buckets.append(b)
+                self.least.append(doc)
+                self.held += e - a + 250
+            elif doc < self.least[n]:
+                self.least[n] = doc
+            found.append(n)
+        self.places.append((np.array(found, np.int64), at, count, len(self.owners)))
+        self.owners.append((row, doc))
+        self.held += 24 * len(found)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        marks = np.array([xxhash.xxh3_64_intdigest(b) for b in self.bodies], np.uint64)
+        buckets, least = np.array(self.buckets, np.int64), np.array(self.least, np.int64)
+        sizes = np.array([len(b) for b in self.bodies], np.int64)
+        for bucket, which in _groups(buckets):
+            head = np.zeros(len(which), SEGMENT)
+            head["mark"], head["id"], head["size"] = marks[which], least[which], sizes[which]
+            body = b"".join([self.bodies[i] for i in which.tolist()])
+            yield _part(bucket, 0, len(head), _columns(head) + body)
+        who = np.array(self.owners, np.int64).reshape(-1, 2)
+        segment = np.concatenate([p[0] for p in self.places])
+        rows = np.zeros(len(segment), PLACE)
+        rows["mark"], rows["at"], rows["count"] = marks[segment], np.concatenate([p[1] for p in self.places]), np.concatenate([p[2] for p in self.places])
+        owner = np.repeat([p[3] for p in self.places], [len(p[0]) for p in self.places])
+        for bucket, which in _groups(buckets[segment]):
+            own, back = np.unique(owner[which], return_inverse=True)
+            part = rows[which]
+            part["row"] = back
+            yield _part(bucket, 1, len(part), _columns(part) + who[own].astype("<i8").tobytes())
+
+
+def _groups(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each distinct value and where it is, in order."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(ranked)], strict=True):
+        yield int(ranked[a]), order[a:b]
+
+
+def _part(bucket: int, kind: int, n: int, raw: bytes) -> pa.RecordBatch:
+    blob = np.array([n], "<i8").tobytes() + _squeeze(raw)
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int8()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
 
-        def send() -> Iterator[pa.RecordBatch]:
-            by: dict[int, list] = {}
-            for body, (bucket, mark, least) in segments.items():
-                by.setdefault(bucket, []).append((mark, least, body))
-            for bucket, found in by.items():
-                head = np.array([(m, d, len(b)) for m, d, b in found], SEGMENT)
-                blob = np.array([len(head)], "<i8").tobytes() + head.tobytes() + b"".join(b for _, _, b in found)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int8()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
-            who = np.array(list(owners), np.int64).reshape(-1, 2)
-            bucket = np.array([p[0] for p in places], np.int64)
-            rows = np.array([p[1:] for p in places], PLACE)
-            order = np.argsort(bucket, kind="stable")
-            bucket, rows = bucket[order], rows[order]
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-            for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
-                part = rows[a:b].copy()
-                own, back = np.unique(part["row"], return_inverse=True)
-                part["row"] = back
-                blob = np.array([len(own)], "<i8").tobytes() + who[own].astype("<i8").tobytes() + part.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([1], pa.int8()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
 
-        held = 0
+def cut_segments(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Segments()
         for batch in batches:
             ids, texts, rows, flags = (batch.column(i).to_pylist() for i in range(4))
             on = [i for i, f in enumerate(flags) if f]
@@ -304,24 +368,14 @@ def cut_segments(buckets: int):
             wanted = [np.concatenate([_unpack(f["keys"]) | (np.uint64(f["bucket"]) << np.uint64(40)) for f in flags[i]]) for i in on]
             for n, at, first, count, key in runs_of_texts(raw):
                 bucket = bucket_of(key, buckets)
-                hit = np.isin(short_key(key) | (bucket.astype(np.uint64) << np.uint64(40)), wanted[n])
-                doc, row = ids[on[n]], rows[on[n]]
-                who = owners.setdefault((row, doc), len(owners))
-                for f, c, b in zip((first[hit] + at).tolist(), count[hit].tolist(), bucket[hit].tolist(), strict=True):
-                    body = raw[n][f : f + c + LENGTH - 1]
-                    known = segments.get(body)
-                    if known is None:
-                        known = segments[body] = [b, xxhash.xxh3_64_intdigest(body), doc]
-                        held += len(body) + 200
-                    elif doc < known[2]:
-                        known[2] = doc
-                    places.append((b, known[1], who, f, c))
-                    held += 100
-                if held > 100_000_000:
-                    yield from send()
-                    segments, places, owners, held = {}, [], {}, 0
-        if places:
-            yield from send()
+                hit = np.isin(short_key(key) | ((bucket // GRAM_BUCKETS).astype(np.uint64) << np.uint64(40)), wanted[n])
+                if hit.any():
+                    held.add(raw[n], rows[on[n]], ids[on[n]], first[hit] + at, count[hit], bucket[hit])
+                if held.held > 100_000_000:
+                    yield from held.batches()
+                    held = Segments()
+        if held.places:
+            yield from held.batches()
 
     return run
 
@@ -425,11 +479,10 @@ def _join_segments(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndar
     best: dict[bytes, int] = {}
     marks: dict[bytes, int] = {}
     for blob in blobs:
-        n = int(np.frombuffer(blob[:8], "<i8")[0])
-        head = np.frombuffer(blob[8 : 8 + n * SEGMENT.itemsize], SEGMENT)
-        at = 8 + n * SEGMENT.itemsize
+        n, raw = int(np.frombuffer(blob[:8], "<i8")[0]), _open(blob[8:])
+        head, at = _table(raw, SEGMENT, n)
         for mark, doc, size in zip(head["mark"].tolist(), head["id"].tolist(), head["size"].tolist(), strict=True):
-            body = blob[at : at + size]
+            body = raw[at : at + size]
             at += size
             if body not in best:
                 best[body], marks[body] = doc, mark
@@ -444,9 +497,9 @@ def _join_segments(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndar
 
 def _covered(blob: bytes, marks: np.ndarray, order: np.ndarray, least: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
     """Ranges of windows, by document, that an earlier document has."""
-    n = int(np.frombuffer(blob[:8], "<i8")[0])
-    who = np.frombuffer(blob[8 : 8 + 16 * n], "<i8").reshape(n, 2)
-    places = np.frombuffer(blob[8 + 16 * n :], PLACE)
+    raw = _open(blob[8:])
+    places, at = _table(raw, PLACE, int(np.frombuffer(blob[:8], "<i8")[0]))
+    who = np.frombuffer(raw[at:], "<i8").reshape(-1, 2)
     segment = order[np.searchsorted(marks[order], places["mark"])]
     count = places["count"].astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(count)])
