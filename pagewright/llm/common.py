@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import pagewright
+from pagewright import ship
+from pagewright.sources.shared import saved, shared_dir, workspace
 
-# Workers get these functions by value, so executors need no installed copy of the package. Code that runs in
-# workers names the functions it uses (never a module of this package), as modules can't be sent.
-cloudpickle.register_pickle_by_value(pagewright)
+__all__ = ["by_bytes", "documents", "fold", "held_out", "map_arrow", "saved", "shared_dir", "worker_cache", "workspace"]
 
 HELD_OUT_REMAINDER = 1
 
@@ -26,40 +22,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has no such setting (tests on one machine) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        made = spark.sparkContext.getCheckpointDir()
-        if made is None:
-            made = tempfile.mkdtemp(prefix="pagewright-")
-            spark.sparkContext.setCheckpointDir(made)
-            made = spark.sparkContext.getCheckpointDir()
-        base = made
-    return base.rstrip("/")
-
-
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/pagewright/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = workspace(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose code the executors have."""
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
