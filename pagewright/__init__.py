@@ -1 +1,23 @@
 """Document analytics as DataFrame transformations."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Send this package to the session's executors, once; they need no installed copy of it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="pagewright-")) / "pagewright.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, str(Path(root.name) / file.relative_to(root)))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -135,6 +136,39 @@ def extent_by_box(chars: DataFrame, scope: list[str]) -> DataFrame:
     return chars.where("box >= 0").groupBy(*scope, "box").agg(F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"))
 
 
+def rebase_entities(found: Sequence[dict], text: str, boxes: Sequence[dict]) -> list[dict]:
+    """Entities with the offsets they have in another document: by their boxes, else by the first place of their word."""
+    owner = char_to_box(text, [b["text"] for b in boxes])
+    spans: dict[int, tuple[int, int]] = {}
+    for i, o in enumerate(owner):
+        if o >= 0:
+            spans[o] = (spans.get(o, (i, i))[0], i + 1)
+    key = lambda b: (b["text"], *(math.floor(b[c] + 0.5) for c in ("x", "y", "width", "height")))
+    number = {key(b): i for i, b in enumerate(boxes)}
+    out = []
+    for e in found:
+        at = [spans[n] for b in e["boxes"] if (n := number.get(key(b))) in spans]
+        if at:
+            a, b = min(s for s, _ in at), max(t for _, t in at)
+            out.append({**e, "start": a, "end": b, "word": e["word"] or text[a:b]})
+        elif e["word"] and (a := text.find(e["word"])) >= 0:
+            out.append({**e, "start": a, "end": a + len(e["word"])})
+        else:
+            out.append(dict(e))
+    return out
+
+
+def rebased(found: Column, document: Column) -> Column:
+    """Entities moved to a document's offsets, as a column."""
+
+    @F.pandas_udf(ENTITIES)
+    def move(lists: pd.Series, texts: pd.Series, boxes: pd.Series) -> pd.Series:
+        plain = lambda rows: [dict(r) for r in (rows if rows is not None else [])]
+        return pd.Series([rebase_entities([{**e, "boxes": plain(e["boxes"])} for e in plain(found)], text or "", plain(near)) for found, text, near in zip(lists, texts, boxes, strict=True)])
+
+    return move(found, document["text"], document["bboxes"])
+
+
 # ---- greedy claims ----------------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +15,12 @@ from .functions import boxes as B
 from .functions import geometry_columns as G
 from .functions import presets, validators
 from .functions.conditions import compile_condition, usable_text_layer, validate, where
-from .functions.text import chunks, fold, mostly_uppercase
+from .functions.text import chunks, fold, mostly_uppercase, texts_agree
 from .operators import entities as E
-from .operators import layout
+from .operators import layout, merging, patterns
 from .operators.words import as_document, word_offsets
-from .plans import errors, pages
-from .schemas import BOXES, box, document
+from .plans import errors, pages, registry
+from .schemas import BOXES, box, detection, document
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -648,3 +649,189 @@ def page_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = F.aggregate("bboxes", F.lit(0.0), lambda a, b: a + b["score"]) / F.size("bboxes")
     out = rows.select("page", F.size("bboxes").cast("long").alias("n"), F.array_join(F.transform("z", lambda z: F.concat(z["t"], z["f"])), "; ").alias("read"), mean.alias("mean"))
     return out.where("round(mean, 9) >= 0.04").select("page", "n", "read", r6(F.col("mean")).alias("confidence"))
+
+
+# ---- work on whole texts and pixels: no SQL can say these, tests hold them against brute force ---------------------
+
+
+@query()
+def pattern_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = as_document(text_documents(spark, sf_dir), "doc_id", "text")
+    found = patterns.pattern_entities(docs).select("doc_id", F.explode("ner.entities").alias("e"))
+    return found.select("doc_id", "e.entity_group", F.round("e.score", 6).alias("score"), "e.word", "e.start", F.col("e.end").alias("end_"), F.size("e.boxes").alias("n_boxes"))
+
+
+def entity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to pattern entities, made consistent over all documents, counted by label and source."""
+    docs = as_document(text_documents(spark, sf_dir), "doc_id", "text")
+    pipeline = registry.preset("patterns")
+    found = pipeline.transform(docs).select("doc_id", F.explode("ner.entities").alias("e"))
+    return found.groupBy(F.col("e.entity_group").alias("label"), F.col("e.source").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.round(F.avg("e.score"), 6).alias("mean_score"))
+
+
+QUERIES["ner_consistency"] = entity_report
+
+
+@query()
+def ner_merger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns on the first half of each document's boxes and on all of them, merged in the whole document's offsets."""
+    whole = as_document(text_documents(spark, sf_dir), "doc_id", "text").withColumnRenamed("document", "merged")
+    half = F.slice(F.col("merged.bboxes"), 1, (F.size("merged.bboxes") / 2).cast("int"))
+    docs = whole.withColumn("document", document(B.text_of(half), half))
+    delta = docs.withColumn("delta", E.document_delta(F.col("document"), F.col("merged")))
+    read = patterns.pattern_entities(patterns.pattern_entities(delta, "document", "ner"), "delta", "delta_ner")
+    merged = registry.NerMerger().run(read).select("doc_id", F.explode("ner.entities").alias("e"))
+    return merged.select("doc_id", "e.entity_group", "e.word", "e.start", F.col("e.end").alias("end_"))
+
+
+@query()
+def ocr_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("string")
+    def repair(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: patterns.normalise(t)[0])
+
+    rows = text_documents(spark, sf_dir).where(F.col("text").rlike("[0-9]"))
+    return rows.select("doc_id", F.md5(repair("text").cast("binary")).alias("digest"))
+
+
+@query()
+def fuzzy_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.fuzzy import FuzzyPattern
+
+    @F.pandas_udf("array<struct<start:int,end:int,cost:double>>")
+    def find(texts: pd.Series) -> pd.Series:
+        pattern = FuzzyPattern(r"\d{3}-\d{4}")
+        return texts.map(lambda t: [{"start": m.start, "end": m.end, "cost": m.cost} for m in pattern.match_all(t, 1, substitute=9, delete=9)])
+
+    words = text_documents(spark, sf_dir).select("doc_id", F.explode(F.split("text", r"\s+")).alias("word")).where(F.col("word").rlike("[0-9]{3}"))
+    return words.select("doc_id", "word", F.explode(find("word")).alias("m")).select("doc_id", "word", "m.start", F.col("m.end").alias("end_"), "m.cost")
+
+
+@query()
+def readings_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("boolean")
+    def agree(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([texts_agree(x, y) for x, y in zip(a, b, strict=True)])
+
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    return parts.select("p_partkey", agree("p_name", "p_type").alias("other"), agree("p_name", F.translate("p_name", "oil", "011")).alias("misread"))
+
+
+@query()
+def join_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf(BOXES)
+    def join(pages_: pd.Series) -> pd.Series:
+        return pages_.map(lambda boxes: merging.join_fragments([dict(b) for b in boxes]))
+
+    done = page_boxes(spark, sf_dir).withColumn("joined", join("bboxes"))
+    return done.select("page", F.size("joined").alias("n"), B.text_of(F.col("joined")).alias("text"))
+
+
+@query()
+def dedupe_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf(BOXES)
+    def dedupe(pages_: pd.Series) -> pd.Series:
+        return pages_.map(lambda boxes: merging.dedupe_readings([dict(b) for b in boxes], 0.5, False))
+
+    return page_boxes(spark, sf_dir).select("page", B.text_of(dedupe("bboxes")).alias("kept"))
+
+
+@query()
+def merge_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = page_boxes(spark, sf_dir).select("page", F.explode(B.merge_overlapping(F.col("bboxes"), 0.02, line_limit=0.3)).alias("b"))
+    return m.select("page", "b.text", "b.x", "b.y", "b.width", "b.height")
+
+
+@query()
+def page_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of status O are the text layer, each flag's others are an image's reading, placed on the page."""
+    from .schemas import DOCUMENT, PLACEMENT
+
+    rows = box_rows(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), "o_orderpriority"), "page")
+    layer = F.transform(F.array_sort(F.collect_list(F.when(F.col("pos") % 2 == 0, F.struct("pos", "b")))), lambda s: s["b"])
+    read = F.transform(F.array_sort(F.collect_list(F.when(F.col("pos") % 2 == 1, F.struct("pos", "b")))), lambda s: s["b"])
+    sets = rows.groupBy("page").agg(layer.alias("layer"), read.alias("read"), F.first("o_orderpriority").alias("priority"))
+    place = F.struct(F.lit("i").alias("id"), F.lit(100.0).alias("width"), F.lit(100.0).alias("height"), box().alias("box"), F.array(*map(F.lit, (1.0, 0.0, 0.0, 1.0, 5.0, 5.0))).alias("matrix"), F.lit(0.0).alias("effectiveResolution"), F.lit(1.0).alias("scaleFactor")).cast(PLACEMENT)
+    pages_ = sets.select("page", F.lit(0).alias("ord"), "priority", document(F.lit(""), F.col("layer")).cast(DOCUMENT).alias("document"), document(F.lit(""), F.col("read")).cast(DOCUMENT).alias("image_text"), place.alias("placement"))
+    folded = merging.page_fold(pages_, ["page"])
+    return folded.select("page", F.col("document.text").alias("text"), F.col("document.type").alias("type"), F.size("document.bboxes").alias("n"))
+
+
+@query()
+def map_chars_to_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("array<int>")
+    def owners(texts: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([E.char_to_box(t, list(w)) for t, w in zip(texts, words, strict=True)])
+
+    docs = as_document(text_documents(spark, sf_dir), "doc_id", "text")
+    mapped = docs.select("doc_id", F.posexplode(owners("document.text", F.transform("document.bboxes", lambda b: b["text"]))).alias("pos", "box"))
+    return E.extent_by_box(mapped, ["doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("lo") * 3 + F.col("hi")).alias("code"))
+
+
+def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small pages drawn from line items: image and boxes that cut their ink by two pixels."""
+    import numpy as np
+
+    from .operators import images
+    from .schemas import IMAGE
+
+    @F.pandas_udf(IMAGE)
+    def paint(found: pd.Series) -> pd.DataFrame:
+        rows = []
+        for boxes in found:
+            px = images.draw(np.full((260, 320, 4), 255, np.uint8), [dict(b) for b in boxes], (0, 0, 0), filled=True)
+            rows.append(("memory", 72, images.encode_png(px), "png", "", 260, 320))
+        return pd.DataFrame(rows, columns=["path", "resolution", "data", "imageType", "exception", "height", "width"])
+
+    few = page_boxes(spark, sf_dir).where(F.size("bboxes") >= 8)
+    inner = F.transform("bboxes", lambda b: b.withField("x", b["x"] + 2).withField("width", F.greatest(b["width"] - 4, F.lit(3.0))))
+    return few.select("page", paint("bboxes").alias("image"), detection(inner).alias("boxes"))
+
+
+@query()
+def image_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit boxes to ink, crop them, and measure the crops."""
+    from .operators import images
+
+    fitted = images.fit_to_ink(drawn_pages(spark, sf_dir))
+    crops = images.crop_boxes(fitted, limit=3)
+    return crops.select("page", "box.text", "box.x", "box.width", "cropped_image.width", "cropped_image.height", "cropped_image.exception").toDF("page", "text", "x", "box_width", "width", "height", "exception")
+
+
+@query()
+def probability_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text quadrangles of probability maps that have one rectangle each."""
+    import numpy as np
+
+    from .functions import geometry
+
+    @F.pandas_udf("array<struct<x:double,y:double,width:double,height:double,score:double>>")
+    def decode(keys: pd.Series) -> pd.Series:
+        def one(k: int) -> list[dict]:
+            values = np.zeros((80, 120), np.float32)
+            x, y = 10 + k % 30, 10 + k % 20
+            values[y : y + 12, x : x + 40 + k % 7] = 0.9
+            return [{c: b[c] for c in ("x", "y", "width", "height")} | {"score": float(s)} for q, s in geometry.quads(values, 120, 80, 1.0) for b in [geometry.box_from_polygon(q)]]
+
+        return keys.map(one)
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(decode("p_partkey")).alias("q"))
+    return rows.select("p_partkey", "q.x", "q.y", "q.width", "q.height", F.round("q.score", 4).alias("score"))
+
+
+@query()
+def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page-by-page run over a stream of files beside the batch run: rows that only one of them has (none), and a count."""
+    from .sources.shared import workspace
+    from .streaming.page_order import run_pages
+
+    folder = workspace(spark, "stream")
+    docs = as_document(text_documents(spark, sf_dir), "doc_id", "text")
+    docs.repartition(6, "doc_id").write.parquet(f"{folder}/in")
+    pipeline = registry.pipeline_from_descriptors([{"type": "RegexNer", "options": {"inputCol": "document", "labels": ["EMAIL", "PHONE", "DATE"]}, "when": {"path": "document.bboxes.length", "gte": 20}}])
+    source = spark.read.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    run_pages(pipeline, stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    flat = lambda df: df.select("doc_id", F.to_json("ner.entities").alias("found"))
+    one, two = flat(spark.read.parquet(f"{folder}/out")), flat(pipeline.transform(source))
+    return two.select(F.lit("rows").alias("what"), "doc_id").unionAll(one.exceptAll(two).select(F.lit("only streamed"), "doc_id")).unionAll(two.exceptAll(one).select(F.lit("only batch"), "doc_id")).groupBy("what").agg(F.count(F.lit(1)).alias("n"))
