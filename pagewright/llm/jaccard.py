@@ -6,17 +6,18 @@ sets link when 100 * intersection >= 80 * union.
 
 Equal sets are one class, known by a 128-bit digest, from the first step on: only one document of them is compared.
 
-Candidates. In any one order of shingles, two sets that link share one of the first ``n - ceil(0.8 n) + 1`` of each.
-The order is by frequency, rare first, taken from a sketch of counts over all documents (of fixed size), then by hash:
-a passage that a third of all documents share comes last and makes no candidates. Tasks first link what they hold
-themselves and send each shingle once, so that a common shingle costs as many rows as there are tasks. Candidates form
-loose components.
-
-Index. Each loose component is compared in one place: shingles are hashed into groups, the counts of a set's groups are
-a point, and an R-tree over the points bounds the overlap with all sets below a node by the sum of the smaller
-coordinates. Surviving pairs are verified exactly. Pairs that are connected already need no comparison, so that a group
-of near copies costs about one comparison a document. Components of more than ``TILE`` sets are cut into tiles, and each
-pair of tiles is compared in a task of its own.
+Blocks. In any one order of shingles, two sets that link share one of the first ``n - ceil(0.8 n) + 1`` of each. The
+order is by frequency, rare first, taken from a sketch of counts over all documents (of fixed size), then by hash: what
+a third of all documents share comes last and makes no block. Sets that share such a shingle are a block.
+
+Index. Shingles are hashed into groups, the counts of a set's groups are a point, and in each block an R-tree over the
+points bounds the overlap with all sets below a node by the sum of the smaller coordinates. Pairs whose bound allows a
+link become candidates; what is joined already needs no further pair, so that a group of near copies gives about one
+candidate a document. Candidates form loose components.
+
+Verification. Each loose component is compared in one place, by the same index and then exactly, on the sets made again
+from the texts. Components of more than ``TILE`` sets are cut into tiles, and each pair of tiles is compared in a task
+of its own.
 
 Defined results: rows without doc_id have their set counted, a null component and no links; copies and rows that share
 an id share what links they have; texts of any length are used whole.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +40,8 @@ from .graph import components
 WORDS = 5
 SIMILAR = 80
 #: Counters of the frequency sketch; its size does not depend on the data.
-SKETCH_BITS = 20
-#: Key rows that a task holds before it sends them.
-HELD_KEYS = 2_000_000
+SKETCH_BITS = 22
+SKETCH_PART = 1 << 14
 #: Sets that are compared in one place at most.
 TILE = 2_000
 #: Rows (28 bytes each) that say where a text is compared; no more than these are broadcast, else the texts are shuffled.
@@ -107,11 +108,11 @@ def sketch_slots(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def prefix_keys(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def prefix_keys(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The first shingles of a set, rare ones first: a rank of frequency above 58 bits of hash."""
     n = len(shingles)
     take = n - -(-SIMILAR * n // 100) + 1
-    rank = np.log2(counts[sketch_slots(shingles)] + 1.0).astype(np.uint64)
+    rank = ranks[sketch_slots(shingles)].astype(np.uint64)
     keys = (rank << np.uint64(58)) | (_mix(shingles) >> np.uint64(6))
     return np.partition(keys, take - 1)[:take]
 
@@ -121,6 +122,17 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
+def group_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of 16 to 256 groups (a power of two, about a sixth of the set's size)."""
+    groups = int(np.clip(1 << int(np.ceil(np.log2(max(1, len(shingles) / 6)))), 16, 256))
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u2")
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Counts in fewer groups: groups whose numbers agree in the low bits are added up."""
+    return counts.reshape(-1, groups).sum(axis=0)
+
+
 class CountTree:
     """An R-tree over count vectors, packed bottom-up in the order of set sizes."""
 
@@ -129,26 +141,27 @@ class CountTree:
         self.counts, self.sizes, self.fan = counts[self.order], sizes[self.order], fan
         self.levels = []  # from the leaves up: the largest count in each coordinate, the smallest size
         high, low = self.counts, self.sizes
-        while len(high) > 1:
+        while len(high) > fan:
             cuts = np.arange(0, len(high), fan)
             high, low = np.maximum.reduceat(high, cuts, axis=0), np.minimum.reduceat(low, cuts)
             self.levels.append((high, low))
 
-    def _passes(self, point: np.ndarray, size: int, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Linked sets share 4/9 of both sizes' sum at least (at 80 of 100); the minima bound what is shared."""
-        most = np.minimum(high, point).sum(axis=1, dtype=np.int64)
-        return (100 + SIMILAR) * most >= SIMILAR * (size + low)
-
     def query(self, point: np.ndarray, size: int) -> np.ndarray:
         """Numbers of the points that may link with the one given."""
-        at = np.zeros(1, np.int64)
+        at = np.arange(len(self.levels[-1][1]) if self.levels else len(self.sizes))
         for level in range(len(self.levels) - 1, -1, -1):
             high, low = self.levels[level]
-            at = at[self._passes(point, size, high[at], low[at])]
+            at = at[may_link(point, size, high[at], low[at])]
             below = len(self.levels[level - 1][1]) if level else len(self.sizes)
             at = (at[:, None] * self.fan + np.arange(self.fan)).ravel()
             at = at[at < below]
-        return self.order[at[self._passes(point, size, self.counts[at], self.sizes[at])]]
+        return self.order[at[may_link(point, size, self.counts[at], self.sizes[at])]]
+
+
+def may_link(point: np.ndarray, size: int, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Linked sets share 4/9 of the sum of their sizes at least (at 80 of 100); summed minima bound what they share."""
+    most = np.minimum(counts, point).sum(axis=-1, dtype=np.int64)
+    return (100 + SIMILAR) * most >= SIMILAR * (size + sizes)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -159,123 +172,140 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= SIMILAR * (len(a) + len(b) - shared)
 
 
-def classes(sets: list[np.ndarray], sides: np.ndarray | None = None) -> np.ndarray:
-    """For each set the first set of its class. sides: compare only sets of different sides (0 is on both)."""
-    n = len(sets)
+def classes(points: list[np.ndarray], sizes: np.ndarray, check, sides: np.ndarray | None = None) -> np.ndarray:
+    """For each set the first set of its class, by pairs that the counts allow and ``check`` confirms.
+
+    points: counts by group. sides: compare only sets of different sides (0 is on both).
+    """
+    n = len(points)
     label = np.arange(n)
     if n < 2:
         return label
-    sizes = np.array([len(s) for s in sets], np.int64)
-    if n == 2:
-        if (sides is None or 0 in sides or sides[0] != sides[1]) and sizes.min() and linked(sets[0], sets[1]):
-            label[1] = 0
-        return label
-    groups = int(np.clip(1 << int(np.ceil(np.log2(max(1, np.median(sizes) / 6)))), 16, 256))
-    counts = np.zeros((n, groups), np.int32)
-    for i, s in enumerate(sets):
-        counts[i] = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    tree = CountTree(counts, sizes)
-    for i in range(n):
+    groups = min(len(p) for p in points)
+    counts = np.stack([folded(p.astype(np.int64), groups) for p in points])
+    tree = CountTree(counts, sizes) if n > 2 * LEAF else None
+    for i in range(1, n):
         if not sizes[i]:
             continue
-        found = tree.query(counts[i], int(sizes[i]))
-        found = found[(found < i) & (sizes[found] > 0)]
+        if tree is not None:
+            found = tree.query(counts[i], int(sizes[i]))
+            found = found[found < i]
+        else:
+            found = np.flatnonzero(may_link(counts[i], int(sizes[i]), counts[:i], sizes[:i]))
+        found = found[(sizes[found] > 0) & (label[found] != label[i])]
         if sides is not None and sides[i]:
             found = found[sides[found] != sides[i]]
         for j in found:
-            if label[j] != label[i] and linked(sets[i], sets[j]):
+            if label[j] != label[i] and check(i, j):
                 a, b = sorted((label[i], label[j]))
                 label[label == b] = a
     return label
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = np.zeros(1 << SKETCH_BITS, np.int64)
+    held, seen = np.zeros(1 << SKETCH_BITS, np.int32), False
     for batch in batches:
         texts = batch.column(0).to_pylist()
         for a, b in by_bytes(texts, CHUNK_CHARS):
-            sets = shingle_sets(texts[a:b])
-            held += np.bincount(sketch_slots(np.concatenate(sets)), minlength=len(held))
-    at = np.flatnonzero(held)
-    if len(at):
-        part = 1 << 12
-        for k in range(0, len(held), part):
-            yield pa.RecordBatch.from_arrays([pa.array([k // part], pa.int32()), pa.array([held[k : k + part].astype("<i8").tobytes()], pa.binary())], names=["part", "counts"])
+            slots = sketch_slots(np.concatenate(shingle_sets(texts[a:b])))
+            np.add.at(held, slots, 1)
+            seen |= bool(len(slots))
+    for k in range(0, len(held) if seen else 0, SKETCH_PART):
+        blob = zstandard.ZstdCompressor(level=1).compress(held[k : k + SKETCH_PART].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([k // SKETCH_PART], pa.int32()), pa.array([blob], pa.binary())], names=["part", "counts"])
 
 
 def _add_parts(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist())
-    return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    total = sum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int32).astype(np.int64) for x in table.column("counts").to_pylist())
+    return pa.table({"part": table.column("part")[:1], "ranks": pa.array([np.log2(total + 1.0).astype(np.uint8).tobytes()], pa.binary())})
 
 
 def frequency_sketch(df: DataFrame, text: str) -> np.ndarray:
-    """Occurrences of shingles over all documents, in a table of fixed size (8 MB)."""
-    parts = map_arrow(df.select(text), _sketch, "part int, counts binary").groupBy("part").applyInArrow(_add_parts, "part int, counts binary").collect()
-    out = np.zeros((1 << SKETCH_BITS >> 12, 1 << 12), np.int64)
+    """Ranks (logarithms) of shingles' occurrences over all documents, in a table of fixed size (4 MB)."""
+    parts = map_arrow(df.select(text), _sketch, "part int, counts binary").groupBy("part").applyInArrow(_add_parts, "part int, ranks binary").collect()
+    out = np.zeros((1 << SKETCH_BITS, ), np.uint8).reshape(-1, SKETCH_PART)
     for r in parts:
-        out[r.part] = np.frombuffer(r.counts, "<i8")
+        out[r.part] = np.frombuffer(r.ranks, np.uint8)
     return out.ravel()
 
 
-def _rows(kind: int, key, a, b, c, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int8)), *[pa.array(x, pa.int64()) for x in (key, a, b, c, n)]], names=["kind", "key", "a", "b", "c", "n"])
-
+SET = np.dtype([("doc", "<i8"), ("known", "u1"), ("rest", "<i8"), ("size", "<i8")])
 
-def _first_of_each(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their smallest owner, and that owner for every row given."""
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    least = owner[new]
-    back = np.empty(len(owner), np.int64)
-    back[order] = least[np.cumsum(new) - 1]
-    return key[new], least, back
 
+def set_rows(df: DataFrame, doc_id: str, text: str, ranks: np.ndarray) -> DataFrame:
+    """Rows of two kinds: kind, key, mark, about.
 
-def set_rows(df: DataFrame, doc_id: str, text: str, counts: np.ndarray) -> DataFrame:
-    """Rows of three kinds: kind, key, a, b, c, n.
-
-    0: a document's id, both halves of its set's digest, and the set's size. 1: a key and the digest (b) of a set that
-    has it. 2: digests a and b, linked by a key that this task holds of both. Where the key says nothing it counts rows.
+    0: a document; mark is the first half of its set's digest, about holds its id, the other half, the size and the
+    counts, the key only counts rows. 1: a key that the set with the mark has.
     """
-    shared = df.sparkSession.sparkContext.broadcast(counts)
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = shared.value
-        keys: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        held = seen = 0
-
-        def send() -> Iterator[pa.RecordBatch]:
-            key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners)
-            first, least, of = _first_of_each(key, owner)
-            link = np.unique(np.stack([owner, of], axis=1)[owner != of], axis=0)
-            none = np.full(len(first), 0)
-            for k in range(0, len(first), 100_000):
-                cut = slice(k, k + 100_000)
-                yield _rows(1, first[cut], none[cut], least[cut], none[cut], none[cut])
-            none = np.zeros(len(link), np.int64)
-            yield _rows(2, np.arange(len(link)), link[:, 0], link[:, 1], none, none)
-
+        table, seen = shared.value, 0
+        names = ["kind", "key", "mark", "about"]
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in by_bytes(texts, CHUNK_CHARS):
                 sets = shingle_sets(texts[a:b])
                 marks = [digest(s) for s in sets]
-                yield _rows(0, np.arange(seen, seen + b - a), ids[a:b], [m[0] for m in marks], [m[1] for m in marks], [len(s) for s in sets])
+                about = []
+                for doc, s, m in zip(ids[a:b], sets, marks, strict=True):
+                    head = np.array([(doc or 0, doc is not None, m[1], len(s))], SET)
+                    about.append(head.tobytes() + group_counts(s).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int8)), pa.array(np.arange(seen, seen + b - a)), pa.array([m[0] for m in marks], pa.int64()), pa.array(about, pa.binary())], names=names)
                 seen += b - a
-                for s, m in zip(sets, marks, strict=True):
-                    if len(s):
-                        keys.append(prefix_keys(s, sketch))
-                        owners.append(np.full(len(keys[-1]), m[0], np.int64))
-                        held += len(keys[-1])
-                if held > HELD_KEYS:
-                    yield from send()
-                    keys, owners, held = [], [], 0
-        if held:
-            yield from send()
+                # equal sets of a chunk have equal keys: they are sent once
+                once = {m: s for m, s in zip(marks, sets, strict=True) if len(s)}
+                found = [prefix_keys(s, table) for s in once.values()]
+                if found:
+                    key = np.concatenate(found).view(np.int64)
+                    owner = np.repeat(np.array([m[0] for m in once], np.int64), [len(f) for f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int8)), pa.array(key), pa.array(owner), pa.nulls(len(key), pa.binary())], names=names)
 
-    return map_arrow(df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), run, "kind byte, key long, a long, b long, c long, n long")
+    return map_arrow(df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), run, "kind byte, key long, mark long, about binary")
+
+
+def _open_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        heads = [np.frombuffer(x, SET, 1)[0] for x in batch.column(1).to_pylist()]
+        points = [x[SET.itemsize :] for x in batch.column(1).to_pylist()]
+        docs = [int(h["doc"]) if h["known"] else None for h in heads]
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), batch.column(0), pa.array([int(h["rest"]) for h in heads], pa.int64()), pa.array([int(h["size"]) for h in heads], pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "mark", "rest", "n", "point"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key: key, mark, n, point. Links sets of a block that the index can't tell apart."""
+    out_a: list[int] = []
+    out_b: list[int] = []
+    now, rows = None, {}
+
+    def done() -> None:
+        if len(rows) > 1:
+            marks = sorted(rows)
+            points = [np.frombuffer(rows[m][1], "<u2") for m in marks]
+            label = classes(points, np.array([rows[m][0] for m in marks], np.int64), lambda i, j: True)
+            for i, j in enumerate(label.tolist()):
+                if i != j:
+                    out_a.append(marks[i])
+                    out_b.append(marks[j])
+
+    def send() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        out_a.clear()
+        out_b.clear()
+        return made
+
+    for batch in batches:
+        for key, mark, n, point in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != now:
+                done()
+                now, rows = key, {}
+            rows[mark] = (n, point)
+        if out_a:
+            yield send()
+    done()
+    if out_a:
+        yield send()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +318,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in by_bytes([r[3] for r in rows], CHUNK_CHARS):
             sets += shingle_sets([r[3] for r in rows[a:b]])
         keep = [i for i, s in enumerate(sets) if digest(s)[0] == rows[i][2]]  # an id with several texts
-        label = classes([sets[i] for i in keep], np.array([rows[i][0] for i in keep]))
+        own = [sets[i] for i in keep]
+        label = classes([group_counts(x) for x in own], np.array([len(x) for x in own], np.int64), lambda i, j: linked(own[i], own[j]), np.array([rows[i][0] for i in keep]))
         pairs = [(rows[keep[i]][1], rows[keep[j]][1]) for i, j in enumerate(label.tolist()) if i != j]
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
@@ -307,12 +338,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE, broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach, the document itself included)."""
     rows = set_rows(df, doc_id, text, frequency_sketch(df, text))
-    # a key has at most one row from each task, so a window holds few rows however common the key is; keys end here
-    least = F.min(F.when(F.col("kind") == 1, F.col("b"))).over(Window.partitionBy("kind", "key"))
-    found = saved(rows.withColumn("least", least).where("kind <> 1 or b <> least").select("kind", "a", "b", "c", "n", "least"), "sets")
-    docs = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("mark"), F.col("c").alias("rest"), "n")
-    near = found.where("kind > 0").select(F.when(F.col("kind") == 1, F.col("least")).otherwise(F.col("a")).alias("a"), "b")
+    # keys that only one set has end in the window
+    w = Window.partitionBy("kind", "key")
+    found = saved(rows.withColumn("lo", F.min("mark").over(w)).withColumn("hi", F.max("mark").over(w)).where("kind = 0 or lo < hi").select("kind", "key", "mark", "about"), "sets")
+    docs = map_arrow(found.where("kind = 0").select("mark", "about"), _open_sets, "doc_id long, mark long, rest long, n long, point binary")
+    points = docs.where("n > 0").groupBy("mark").agg(F.first(F.struct("n", "point")).alias("s")).select("mark", "s.*")
+    blocks = found.where("kind = 1").select("key", "mark").distinct().join(points, "mark").select("key", "mark", "n", "point")
+    near = map_arrow(blocks.repartition("key").sortWithinPartitions("key"), _block_links, "a long, b long")
     loose = components(near)
+    docs = docs.drop("point")
     firsts = saved(docs.where("n > 0 and doc_id is not null").groupBy("mark", "rest").agg(F.min("doc_id").alias("first")), "classes")
     members = saved(firsts.join(loose, F.col("mark") == F.col("node")).select(F.col("label").alias("comp"), F.col("first").alias("doc"), "mark"), "members")
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")

@@ -39,8 +39,8 @@ GRAM = 20
 PIECE = 1 << 20
 PLACE_BITS = 21
 #: Text bytes for each bucket of segments, and buckets of segments that share one of grams; both bound what a task holds.
-BUCKET_BYTES = 16_000_000
-GRAM_BUCKETS = 2
+BUCKET_BYTES = 6_000_000
+GRAM_BUCKETS = 4
 #: Grams that a task holds before it sends them.
 HELD = 1_500_000
 NO_ID = 2**63 - 1
@@ -371,7 +371,7 @@ def cut_segments(buckets: int):
                 hit = np.isin(short_key(key) | ((bucket // GRAM_BUCKETS).astype(np.uint64) << np.uint64(40)), wanted[n])
                 if hit.any():
                     held.add(raw[n], rows[on[n]], ids[on[n]], first[hit] + at, count[hit], bucket[hit])
-                if held.held > 100_000_000:
+                if held.held > 40_000_000:
                     yield from held.batches()
                     held = Segments()
         if held.places:
