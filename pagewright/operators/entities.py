@@ -102,13 +102,25 @@ def whitelist(entities: Column, keep: list[str], drop: list[str] | None = None)
 
 
 def document_delta(base: Column, merged: Column) -> Column:
-    """The boxes of ``merged`` that ``base`` does not have; all of them if base is missing or failed."""
+    """The boxes of ``merged`` that ``base`` does not have; all of them if base is missing or failed.
+
+    Boxes are told apart by identity strings made in the JVM; which are new is one pass with a set.
+    """
     from ..functions.boxes import text_of
     from ..schemas import document
 
     usable = base.isNotNull() & (F.coalesce(base["exception"], F.lit("")) == "")
-    known = F.when(usable, F.transform(base["bboxes"], identity)).otherwise(F.array().cast("array<string>"))
-    new = F.filter(merged["bboxes"], lambda b: ~F.array_contains(known, identity(b)))
+    known = F.when(usable, F.transform(base["bboxes"], identity))
+
+    @F.pandas_udf("array<int>")
+    def places(old: pd.Series, new: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(old, new, strict=True):
+            seen = set(a) if a is not None else set()
+            out.append([i for i, x in enumerate(b if b is not None else []) if x not in seen])
+        return pd.Series(out)
+
+    new = F.transform(places(known, F.transform(merged["bboxes"], identity)), lambda i: F.get(merged["bboxes"], i))
     made = document(text_of(new, "\n"), new, merged["path"], merged["type"])
     return F.when(F.coalesce(merged["exception"], F.lit("")) != "", document(path=merged["path"], exception=merged["exception"])).otherwise(made)
 
