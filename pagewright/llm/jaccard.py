@@ -175,30 +175,35 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 def classes(points: list[np.ndarray], sizes: np.ndarray, check, sides: np.ndarray | None = None) -> np.ndarray:
     """For each set the first set of its class, by pairs that the counts allow and ``check`` confirms.
 
-    points: counts by group. sides: compare only sets of different sides (0 is on both).
+    points: counts by group. Sets are compared with those of as many groups, and with those of twice as many, folded:
+    sizes of linked sets differ by a quarter at most. sides: compare only sets of different sides (0 is on both).
     """
-    n = len(points)
-    label = np.arange(n)
-    if n < 2:
-        return label
-    groups = min(len(p) for p in points)
-    counts = np.stack([folded(p.astype(np.int64), groups) for p in points])
-    tree = CountTree(counts, sizes) if n > 2 * LEAF else None
-    for i in range(1, n):
-        if not sizes[i]:
+    label = np.arange(len(points))
+    level = np.array([len(p) for p in points])
+    for groups in np.unique(level).tolist():
+        own = np.flatnonzero((level == groups) & (sizes > 0))
+        if not len(own):
             continue
-        if tree is not None:
-            found = tree.query(counts[i], int(sizes[i]))
-            found = found[found < i]
-        else:
-            found = np.flatnonzero(may_link(counts[i], int(sizes[i]), counts[:i], sizes[:i]))
-        found = found[(sizes[found] > 0) & (label[found] != label[i])]
-        if sides is not None and sides[i]:
-            found = found[sides[found] != sides[i]]
-        for j in found:
-            if label[j] != label[i] and check(i, j):
-                a, b = sorted((label[i], label[j]))
-                label[label == b] = a
+        guests = np.flatnonzero((level == 2 * groups) & (SIMILAR * sizes <= 100 * sizes[own].max()))
+        at = np.sort(np.concatenate([own, guests]))
+        counts = np.stack([folded(points[i].astype(np.int64), groups) for i in at.tolist()])
+        size, guest = sizes[at], level[at] != groups
+        tree = CountTree(counts, size) if len(at) > 2 * LEAF else None
+        for i in range(1, len(at)):
+            if tree is not None:
+                found = tree.query(counts[i], int(size[i]))
+                found = found[found < i]
+            else:
+                found = np.flatnonzero(may_link(counts[i], int(size[i]), counts[:i], size[:i]))
+            found = found[label[at[found]] != label[at[i]]]
+            if guest[i]:
+                found = found[~guest[found]]
+            if sides is not None and sides[at[i]]:
+                found = found[sides[at[found]] != sides[at[i]]]
+            for j in at[found].tolist():
+                if label[j] != label[at[i]] and check(int(at[i]), j):
+                    a, b = sorted((label[j], label[at[i]]))
+                    label[label == b] = a
     return label
 
 
