@@ -8,6 +8,7 @@ UTF-8, never cross documents, and are judged on the input.
    packed, each at most once where a task has it in several documents, and learn which are shared.
 2. The windows that picked a shared gram are cut out as segments; equal segments of a task are sent once, with the
    smallest id that has them, to the gram's bucket; each place of a segment is sent as a few bytes.
+   What is found out about documents returns packed, a few rows from each task.
 3. A bucket's segments are put in suffix order in two stages: suffixes that are not larger than their successor are
    sorted directly, all others follow from these by one scan over the buckets of first bytes. Neighbours in that order
    that share 50 bytes form classes; the smallest id of a class decides which places are covered.
@@ -22,11 +23,11 @@ other's text; a null id counts as larger than all others; repeated rows get equa
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -189,19 +190,68 @@ def _several(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shared, lead
 
 
-def _flag_rows(row: np.ndarray, bucket: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each document and bucket with the keys that are shared."""
+def _cuts(*columns: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of rows with equal values begin and end."""
+    n = len(columns[0])
+    if not n:
+        return [], []
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    first = np.flatnonzero(new).tolist()
+    return first, [*first[1:], n]
+
+
+class Mail:
+    """Pieces of bytes for documents, packed by a few parts of the documents, so that each task sends few rows."""
+
+    def __init__(self, parts: int, limit: int = 32_000_000):
+        self.parts, self.limit, self.held = parts, limit, 0
+        self.rows: list[np.ndarray] = []
+        self.pieces: list[bytes] = []
+
+    def add(self, rows: np.ndarray, pieces: list[bytes]) -> None:
+        self.rows.append(np.asarray(rows, np.int64))
+        self.pieces += pieces
+        self.held += sum(map(len, pieces)) + 60 * len(pieces)
+
+    def batches(self, force: bool = False) -> Iterator[pa.RecordBatch]:
+        if not self.rows or (self.held < self.limit and not force):
+            return
+        rows = np.concatenate(self.rows)
+        for part, which in _groups(rows % self.parts):
+            own = [self.pieces[i] for i in which.tolist()]
+            raw = rows[which].astype("<i8").tobytes() + np.array([len(x) for x in own], "<i4").tobytes() + b"".join(own)
+            blob = np.array([len(own)], "<i8").tobytes() + _squeeze(raw)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
+        self.rows, self.pieces, self.held = [], [], 0
+
+
+def read_mail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by part: all pieces of each document, one row for each."""
+    for _, blobs in _by_bucket(batches):
+        found: dict[int, list[bytes]] = {}
+        for (blob,) in blobs:
+            n, raw = int(np.frombuffer(blob[:8], "<i8")[0]), _open(blob[8:])
+            sizes = np.frombuffer(raw[8 * n : 12 * n], "<i4")
+            ends = (12 * n + np.cumsum(sizes)).tolist()
+            for row, size, end in zip(np.frombuffer(raw[: 8 * n], "<i8").tolist(), sizes.tolist(), ends, strict=True):
+                found.setdefault(row, []).append(raw[end - size : end])
+        rows = list(found)
+        for a in range(0, len(rows), 5_000):
+            part = rows[a : a + 5_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([found[r] for r in part], pa.list_(pa.binary()))], names=["row", "pieces"])
+
+
+def _flags(row: np.ndarray, bucket: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each document and bucket its shared keys, behind the number of the bucket."""
     order = np.lexsort((bucket, row))
     row, bucket, key = row[order], bucket[order], key[order]
-    cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
-    raw, ends = _pack(key), np.concatenate([cut[1:], [len(row)]]) * KEY_BYTES
-    blobs = [raw[a:b] for a, b in zip((cut * KEY_BYTES).tolist(), ends.tolist(), strict=True)]
-    for a in range(0, len(cut), 20_000):
-        c = cut[a : a + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[c], pa.int32()), pa.array(blobs[a : a + 20_000], pa.binary()), pa.array(row[c], pa.int64())], names=["bucket", "blob", "row"])
+    first, end = _cuts(row, bucket)
+    raw, heads = _pack(key), bucket[first].astype("<i4").tobytes()
+    return row[first], [heads[4 * n : 4 * n + 4] + raw[a * KEY_BYTES : b * KEY_BYTES] for n, (a, b) in enumerate(zip(first, end, strict=True))]
 
 
-def send_grams(buckets: int):
+def send_grams(buckets: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
@@ -214,7 +264,10 @@ def send_grams(buckets: int):
             bucket, key = bucket_of(key, buckets) // GRAM_BUCKETS, short_key(key)
             shared, lead = _several(key | (bucket.astype(np.uint64) << np.uint64(40)), id_of[owner])
             if shared.any():
-                yield from _flag_rows(row_of[owner[shared]], bucket[shared], key[shared])
+                mail = Mail(parts)
+                mail.add(*_flags(row_of[owner[shared]], bucket[shared], key[shared]))
+                for batch in mail.batches(force=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([-1 - batch.column(0)[0].as_py()], pa.int32()), batch.column(1)], names=["bucket", "blob"])
             keep = ~shared | lead
             key, owner, bucket = key[keep], owner[keep], bucket[keep]
             order = np.lexsort((owner, bucket))
@@ -222,7 +275,7 @@ def send_grams(buckets: int):
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
             for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
                 blob = _pack_owned(key[a:b], owner[a:b], id_of, row_of)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([blob], pa.binary()), pa.array([None], pa.int64())], names=["bucket", "blob", "row"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
             raw = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
@@ -260,23 +313,30 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
         yield now, held
 
 
-def find_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, rows in _by_bucket(batches):
-        known = [(row, blob) for blob, row in rows if row is not None]
-        for a in range(0, len(known), 20_000):
-            part = known[a : a + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in part], pa.int64()), pa.array([bucket] * len(part), pa.int32()), pa.array([b for _, b in part], pa.binary())], names=["row", "bucket", "keys"])
-        got = [_unpack_owned(blob) for blob, row in rows if row is None]
-        if got:
+def find_shared(parts: int):
+    """Buckets of grams to mail about those that several documents have; mail (under negative numbers) passes through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mail = Mail(parts)
+        for bucket, rows in _by_bucket(batches):
+            if bucket < 0:
+                for (blob,) in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
+                continue
+            got = [_unpack_owned(blob) for (blob,) in rows]
             key, ids, row = (np.concatenate([g[i] for g in got]) for i in range(3))
             shared, _ = _several(key, ids)
             if shared.any():
-                for batch in _flag_rows(row[shared], np.full(int(shared.sum()), bucket), key[shared]):
-                    yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), batch.column(1)], names=["row", "bucket", "keys"])
+                mail.add(*_flags(row[shared], np.full(int(shared.sum()), bucket), key[shared]))
+            yield from mail.batches()
+        yield from mail.batches(force=True)
+
+    return run
 
 
-SEGMENT = np.dtype([("mark", "<u8"), ("id", "<i8"), ("size", "<u2")])
-PLACE = np.dtype([("mark", "<u8"), ("row", "<u4"), ("at", "<i8"), ("count", "u1")])
+SEGMENT = np.dtype([("id", "<i8"), ("size", "<u2")])
+#: A place names its segment by the number that the segment has in the sending task's list for the bucket.
+PLACE = np.dtype([("segment", "<u4"), ("row", "<u4"), ("at", "<u4"), ("count", "u1")])
 
 
 def _columns(table: np.ndarray) -> bytes:
@@ -324,24 +384,26 @@ class Segments:
         self.held += 24 * len(found)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        marks = np.array([xxhash.xxh3_64_intdigest(b) for b in self.bodies], np.uint64)
+        send = uuid.uuid4().bytes
         buckets, least = np.array(self.buckets, np.int64), np.array(self.least, np.int64)
         sizes = np.array([len(b) for b in self.bodies], np.int64)
+        number = np.zeros(len(self.bodies), np.int64)
         for bucket, which in _groups(buckets):
+            number[which] = np.arange(len(which))
             head = np.zeros(len(which), SEGMENT)
-            head["mark"], head["id"], head["size"] = marks[which], least[which], sizes[which]
+            head["id"], head["size"] = least[which], sizes[which]
             body = b"".join([self.bodies[i] for i in which.tolist()])
-            yield _part(bucket, 0, len(head), _columns(head) + body)
+            yield _part(bucket, 0, send, len(head), _columns(head) + body)
         who = np.array(self.owners, np.int64).reshape(-1, 2)
         segment = np.concatenate([p[0] for p in self.places])
         rows = np.zeros(len(segment), PLACE)
-        rows["mark"], rows["at"], rows["count"] = marks[segment], np.concatenate([p[1] for p in self.places]), np.concatenate([p[2] for p in self.places])
+        rows["segment"], rows["at"], rows["count"] = number[segment], np.concatenate([p[1] for p in self.places]), np.concatenate([p[2] for p in self.places])
         owner = np.repeat([p[3] for p in self.places], [len(p[0]) for p in self.places])
         for bucket, which in _groups(buckets[segment]):
             own, back = np.unique(owner[which], return_inverse=True)
             part = rows[which]
             part["row"] = back
-            yield _part(bucket, 1, len(part), _columns(part) + who[own].astype("<i8").tobytes())
+            yield _part(bucket, 1, send, len(part), _columns(part) + who[own].T.astype("<i8").tobytes())
 
 
 def _groups(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -353,8 +415,8 @@ def _groups(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(ranked[a]), order[a:b]
 
 
-def _part(bucket: int, kind: int, n: int, raw: bytes) -> pa.RecordBatch:
-    blob = np.array([n], "<i8").tobytes() + _squeeze(raw)
+def _part(bucket: int, kind: int, send: bytes, n: int, raw: bytes) -> pa.RecordBatch:
+    blob = send + np.array([n], "<i8").tobytes() + _squeeze(raw)
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int8()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
 
 
@@ -365,7 +427,7 @@ def cut_segments(buckets: int):
             ids, texts, rows, flags = (batch.column(i).to_pylist() for i in range(4))
             on = [i for i, f in enumerate(flags) if f]
             raw = [texts[i].encode("utf-8", "surrogatepass") for i in on]
-            wanted = [np.concatenate([_unpack(f["keys"]) | (np.uint64(f["bucket"]) << np.uint64(40)) for f in flags[i]]) for i in on]
+            wanted = [np.concatenate([_unpack(f[4:]) | (np.uint64(int.from_bytes(f[:4], "little")) << np.uint64(40)) for f in flags[i]]) for i in on]
             for n, at, first, count, key in runs_of_texts(raw):
                 bucket = bucket_of(key, buckets)
                 hit = np.isin(short_key(key) | ((bucket // GRAM_BUCKETS).astype(np.uint64) << np.uint64(40)), wanted[n])
@@ -474,72 +536,80 @@ def smallest_ids(bodies: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.n
     return out, first
 
 
-def _join_segments(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct segments by their bytes: marks, smallest ids."""
-    best: dict[bytes, int] = {}
-    marks: dict[bytes, int] = {}
+def _join_segments(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, dict[bytes, np.ndarray]]:
+    """Distinct segments by their bytes, their smallest ids, and for each sender the numbers of the segments it sent."""
+    index: dict[bytes, int] = {}
+    least: list[int] = []
+    sent: dict[bytes, np.ndarray] = {}
     for blob in blobs:
-        n, raw = int(np.frombuffer(blob[:8], "<i8")[0]), _open(blob[8:])
+        n, raw = int(np.frombuffer(blob[16:24], "<i8")[0]), _open(blob[24:])
         head, at = _table(raw, SEGMENT, n)
-        for mark, doc, size in zip(head["mark"].tolist(), head["id"].tolist(), head["size"].tolist(), strict=True):
+        numbers = []
+        for doc, size in zip(head["id"].tolist(), head["size"].tolist(), strict=True):
             body = raw[at : at + size]
             at += size
-            if body not in best:
-                best[body], marks[body] = doc, mark
-            elif doc < best[body]:
-                best[body] = doc
-    bodies = list(best)
-    found = np.array([marks[b] for b in bodies], np.uint64)
-    if len(np.unique(found)) != len(found):
-        raise ValueError("two segments of a bucket share a 64-bit mark")
-    return bodies, found, np.array([best[b] for b in bodies], np.int64)
-
-
-def _covered(blob: bytes, marks: np.ndarray, order: np.ndarray, least: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+            k = index.setdefault(body, len(least))
+            if k == len(least):
+                least.append(doc)
+            elif doc < least[k]:
+                least[k] = doc
+            numbers.append(k)
+        sent[blob[:16]] = np.array(numbers, np.int64)
+    return list(index), np.array(least, np.int64), sent
+
+
+def _covered(blob: bytes, sent: dict[bytes, np.ndarray], least: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Ranges of windows, by document, that an earlier document has."""
-    raw = _open(blob[8:])
-    places, at = _table(raw, PLACE, int(np.frombuffer(blob[:8], "<i8")[0]))
-    who = np.frombuffer(raw[at:], "<i8").reshape(-1, 2)
-    segment = order[np.searchsorted(marks[order], places["mark"])]
+    raw = _open(blob[24:])
+    places, at = _table(raw, PLACE, int(np.frombuffer(blob[16:24], "<i8")[0]))
+    who = np.frombuffer(raw[at:], "<i8").reshape(2, -1)
+    segment = sent[blob[:16]][places["segment"]]
     count = places["count"].astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(count)])
     window = np.repeat(first[segment] - begin[:-1], count) + np.arange(begin[-1])
     owner = np.repeat(places["row"], count).astype(np.int64)
-    gone = least[window] < who[owner, 1]
-    at = (np.repeat(places["at"] - begin[:-1], count) + np.arange(begin[-1]))[gone]
+    gone = least[window] < who[1, owner]
+    at = (np.repeat(places["at"].astype(np.int64) - begin[:-1], count) + np.arange(begin[-1]))[gone]
     owner = owner[gone]
     rank = np.lexsort((at, owner))
     at, owner = at[rank], owner[rank]
-    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else np.zeros(0, np.int64)
-    stop = np.concatenate([new[1:], [len(at)]]) - 1 if len(new) else new
-    ranges = np.stack([at[new], at[stop] + LENGTH], axis=1).astype("<i8")
-    cut = np.flatnonzero(np.concatenate([[True], owner[new][1:] != owner[new][:-1]])) if len(new) else np.zeros(0, np.int64)
-    ends = np.concatenate([cut[1:], [len(new)]]) if len(cut) else cut
-    return pa.RecordBatch.from_arrays([pa.array(who[owner[new][cut], 0], pa.int64()), pa.array([ranges[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["row", "ranges"])
+    if not len(at):
+        return np.zeros(0, np.int64), []
+    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)]))
+    stop = np.concatenate([new[1:], [len(at)]]) - 1
+    ranges = np.stack([at[new], at[stop] + LENGTH], axis=1).astype("<u4")
+    cut, ends = _cuts(owner[new])
+    return who[0, owner[new][cut]], [ranges[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
 
 
-def find_covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def find_covered(parts: int):
     """Rows come sorted by bucket and kind: all segments of a bucket, then its places, which are only streamed."""
-    now, ready, blobs = None, None, []
-    for batch in batches:
-        for bucket, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != now:
-                now, ready, blobs = bucket, None, []
-            if kind == 0:
-                blobs.append(blob)
-                continue
-            if ready is None:
-                bodies, marks, ids = _join_segments(blobs)
-                least, first = smallest_ids(bodies, ids)
-                ready, blobs = (marks, np.argsort(marks), least, first), []
-            yield _covered(blob, *ready)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ready, blobs, mail = None, None, [], Mail(parts)
+        for batch in batches:
+            for bucket, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    now, ready, blobs = bucket, None, []
+                if kind == 0:
+                    blobs.append(blob)
+                    continue
+                if ready is None:
+                    bodies, ids, sent = _join_segments(blobs)
+                    ready, blobs = (sent, *smallest_ids(bodies, ids)), []
+                    del bodies
+                mail.add(*_covered(blob, *ready))
+                yield from mail.batches()
+        yield from mail.batches(force=True)
+
+    return run
 
 
 def keep_bytes(raw: bytes, ranges: list[bytes] | None) -> tuple[bytes, int, int]:
     """What is left, the number of bytes removed, and the number of removed runs."""
     if not ranges:
         return raw, 0, 0
-    pairs = np.frombuffer(b"".join(ranges), "<i8").reshape(-1, 2)
+    pairs = np.frombuffer(b"".join(ranges), "<u4").reshape(-1, 2).astype(np.int64)
     step = np.zeros(len(raw) + 1, np.int64)
     np.add.at(step, pairs[:, 0], 1)
     np.add.at(step, pairs[:, 1], -1)
@@ -554,14 +624,16 @@ def covered_ranges(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
     buckets = max(16, -(-size // bucket_bytes))
     own = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("row", F.xxhash64("id", "text"))
-    grams = map_arrow(own, send_grams(buckets), "bucket int, blob binary, row long")
-    shared = map_arrow(grams.repartition("bucket").sortWithinPartitions("bucket"), find_shared, "row long, bucket int, keys binary")
-    flags = shared.groupBy("row").agg(F.collect_list(F.struct("bucket", "keys")).alias("flags"))
+    parts = buckets
+    grams = map_arrow(own, send_grams(buckets, parts), "bucket int, blob binary")
+    shared = map_arrow(grams.repartition("bucket").sortWithinPartitions("bucket"), find_shared(parts), "part int, blob binary")
+    flags = map_arrow(shared.repartition("part").sortWithinPartitions("part"), read_mail, "row long, pieces array<binary>")
     # left joins only, so that both shuffles of the texts are the same and one serves both
-    flagged = own.join(flags.hint("shuffle_hash"), "row", "left").select("id", "text", "row", "flags")
-    parts = map_arrow(flagged, cut_segments(buckets), "bucket int, kind byte, blob binary")
-    ranges = map_arrow(parts.repartition("bucket").sortWithinPartitions("bucket", "kind"), find_covered, "row long, ranges binary")
-    return own, ranges.groupBy("row").agg(F.collect_list("ranges").alias("ranges"))
+    flagged = own.join(flags.hint("shuffle_hash"), "row", "left").select("id", "text", "row", "pieces")
+    segments = map_arrow(flagged, cut_segments(buckets), "bucket int, kind byte, blob binary")
+    covered = map_arrow(segments.repartition("bucket").sortWithinPartitions("bucket", "kind"), find_covered(parts), "part int, blob binary")
+    ranges = map_arrow(covered.repartition("part").sortWithinPartitions("part"), read_mail, "row long, pieces array<binary>")
+    return own, ranges.withColumnRenamed("pieces", "ranges")
 
 
 def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
