@@ -137,7 +137,7 @@ def cond_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT length(o_orderpriority) AS size, count(*) AS n FROM orders WHERE length(o_orderpriority) >= 6 GROUP BY 1")
 def cond_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return where(table(spark, sf_dir, "orders"), {"path": "o_orderpriority.length", "gte": 6}).groupBy(F.length("o_orderpriority").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    return where(table(spark, sf_dir, "orders"), {"path": "o_orderpriority.length", "gte": 6}).groupBy(F.length("o_orderpriority").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH w AS (SELECT doc_id, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS n FROM documents)
