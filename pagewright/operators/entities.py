@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.boxes import identity
 from ..functions.text import fold, fold_with_offsets, whole_word_places
 from ..schemas import ENTITIES, ner
+from ..sources.shared import saved
 
 # ---- positions -------------------------------------------------------------------------------------------------
 
@@ -258,7 +259,8 @@ def consistent(df: DataFrame, ner_col: str = "ner", text_col: str = "text", scop
     the first folded word of each, an equi-join; neither side is broadcast by force.
     """
     out = out or ner_col
-    base = df.withColumn("__row", F.monotonically_increasing_id())
+    # written once: both sides of the joins below must see the same row numbers
+    base = saved(df.withColumn("__row", F.monotonically_increasing_id()), "consistency")
     scope = ["__row"] if row_scope else (scope or [])
     good = F.coalesce(F.col(f"{ner_col}.exception"), F.lit("")) == ""
     rows = base.where(good & F.col(ner_col).isNotNull()).select(*scope, F.explode(f"{ner_col}.entities").alias("e")).select(*scope, "e.*")
