@@ -226,20 +226,24 @@ class Mail:
         self.rows, self.pieces, self.held = [], [], 0
 
 
-def read_mail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def read_mail(name: str):
     """Rows come sorted by part: all pieces of each document, one row for each."""
-    for _, blobs in _by_bucket(batches):
-        found: dict[int, list[bytes]] = {}
-        for (blob,) in blobs:
-            n, raw = int(np.frombuffer(blob[:8], "<i8")[0]), _open(blob[8:])
-            sizes = np.frombuffer(raw[8 * n : 12 * n], "<i4")
-            ends = (12 * n + np.cumsum(sizes)).tolist()
-            for row, size, end in zip(np.frombuffer(raw[: 8 * n], "<i8").tolist(), sizes.tolist(), ends, strict=True):
-                found.setdefault(row, []).append(raw[end - size : end])
-        rows = list(found)
-        for a in range(0, len(rows), 5_000):
-            part = rows[a : a + 5_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([found[r] for r in part], pa.list_(pa.binary()))], names=["row", "pieces"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in _by_bucket(batches):
+            found: dict[int, list[bytes]] = {}
+            for (blob,) in blobs:
+                n, raw = int(np.frombuffer(blob[:8], "<i8")[0]), _open(blob[8:])
+                sizes = np.frombuffer(raw[8 * n : 12 * n], "<i4")
+                ends = (12 * n + np.cumsum(sizes)).tolist()
+                for row, size, end in zip(np.frombuffer(raw[: 8 * n], "<i8").tolist(), sizes.tolist(), ends, strict=True):
+                    found.setdefault(row, []).append(raw[end - size : end])
+            rows = list(found)
+            for a in range(0, len(rows), 5_000):
+                part = rows[a : a + 5_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([found[r] for r in part], pa.list_(pa.binary()))], names=["__row", name])
+
+    return run
 
 
 def _flags(row: np.ndarray, bucket: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -420,13 +424,13 @@ def _part(bucket: int, kind: int, send: bytes, n: int, raw: bytes) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int8()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
 
 
-def cut_segments(buckets: int):
+def cut_segments(buckets: int, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Segments()
         for batch in batches:
-            ids, texts, rows, flags = (batch.column(i).to_pylist() for i in range(4))
+            ids, texts, rows, flags = (batch.column(c).to_pylist() for c in ("__id", text, "__row", "__flags"))
             on = [i for i, f in enumerate(flags) if f]
-            raw = [texts[i].encode("utf-8", "surrogatepass") for i in on]
+            raw = [(texts[i] or "").encode("utf-8", "surrogatepass") for i in on]
             wanted = [np.concatenate([_unpack(f[4:]) | (np.uint64(int.from_bytes(f[:4], "little")) << np.uint64(40)) for f in flags[i]]) for i in on]
             for n, at, first, count, key in runs_of_texts(raw):
                 bucket = bucket_of(key, buckets)
@@ -618,39 +622,38 @@ def keep_bytes(raw: bytes, ranges: list[bytes] | None) -> tuple[bytes, int, int]
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def covered_ranges(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """The texts (id, text, row) and their covered ranges (row, ranges array<binary>)."""
+def covered_ranges(df: DataFrame, doc_id: str, text: str, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The rows with ``__id``, ``__row`` and their covered ranges, ``__ranges`` array<binary>."""
     size = df.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
-    buckets = max(16, -(-size // bucket_bytes))
-    own = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = own.withColumn("row", F.xxhash64("id", "text"))
-    parts = buckets
-    grams = map_arrow(own, send_grams(buckets, parts), "bucket int, blob binary")
+    buckets = parts = max(16, -(-size // bucket_bytes))
+    own = df.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
+    own = own.withColumn("__row", F.xxhash64("__id", F.coalesce(F.col(text), F.lit(""))))
+    bare = own.select("__id", F.coalesce(F.col(text), F.lit("")).alias("text"), "__row")
+    grams = map_arrow(bare, send_grams(buckets, parts), "bucket int, blob binary")
     shared = map_arrow(grams.repartition("bucket").sortWithinPartitions("bucket"), find_shared(parts), "part int, blob binary")
-    flags = map_arrow(shared.repartition("part").sortWithinPartitions("part"), read_mail, "row long, pieces array<binary>")
-    # left joins only, so that both shuffles of the texts are the same and one serves both
-    flagged = own.join(flags.hint("shuffle_hash"), "row", "left").select("id", "text", "row", "pieces")
-    segments = map_arrow(flagged, cut_segments(buckets), "bucket int, kind byte, blob binary")
+    flags = map_arrow(shared.repartition("part").sortWithinPartitions("part"), read_mail("__flags"), "__row long, __flags array<binary>")
+    # left joins of whole rows only, so that both shuffles of the texts are the same and one serves both
+    flagged = own.join(flags.hint("shuffle_hash"), "__row", "left")
+    segments = map_arrow(flagged, cut_segments(buckets, text), "bucket int, kind byte, blob binary")
     covered = map_arrow(segments.repartition("bucket").sortWithinPartitions("bucket", "kind"), find_covered(parts), "part int, blob binary")
-    ranges = map_arrow(covered.repartition("part").sortWithinPartitions("part"), read_mail, "row long, pieces array<binary>")
-    return own, ranges.withColumnRenamed("pieces", "ranges")
+    ranges = map_arrow(covered.repartition("part").sortWithinPartitions("part"), read_mail("__ranges"), "__row long, __ranges array<binary>")
+    return own.join(ranges.hint("shuffle_hash"), "__row", "left")
 
 
 def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    own, ranges = covered_ranges(df, doc_id, text, **sizes)
+    joined = covered_ranges(df.select(doc_id, text), doc_id, text, **sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, t, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = t.encode("utf-8", "surrogatepass")
+            for doc, t, found in zip(*(batch.column(c).to_pylist() for c in ("__id", text, "__ranges")), strict=True):
+                raw = (t or "").encode("utf-8", "surrogatepass")
                 kept, removed, spans = keep_bytes(raw, found)
                 out.append((None if doc == NO_ID else doc, len(raw), removed, spans, hashlib.sha256(kept).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = own.join(ranges.hint("shuffle_hash"), "row", "left").select("id", "text", "ranges")
     return map_arrow(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -659,20 +662,16 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
 
     ``n_chars`` names a column to set to the new length. All other columns and their order stay.
     """
-    _, ranges = covered_ranges(df, doc_id, text, **sizes)
-    keyed = df.withColumn("__row", F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text), F.lit(""))))
-    joined = keyed.join(ranges.withColumnRenamed("row", "__row").withColumnRenamed("ranges", "__ranges").hint("shuffle_hash"), "__row", "left").drop("__row")
+    joined = covered_ranges(df, doc_id, text, **sizes)
     columns = df.columns
-    where, count = columns.index(text), columns.index(n_chars) if n_chars else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = list(batch.columns[: len(columns)])
-            ranges_of = batch.column(len(columns)).to_pylist()
-            texts = [None if t is None else keep_bytes(t.encode("utf-8", "surrogatepass"), found)[0].decode("utf-8", "ignore") if found else t for t, found in zip(kept[where].to_pylist(), ranges_of, strict=True)]
-            kept[where] = pa.array(texts, pa.string())
-            if count is not None:
-                kept[count] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(kept[count].type)
-            yield pa.RecordBatch.from_arrays(kept, names=columns)
-
-    return map_arrow(joined.select(*columns, "__ranges"), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
+            kept = {c: batch.column(c) for c in columns}
+            texts = [keep_bytes(t.encode("utf-8", "surrogatepass"), found)[0].decode("utf-8", "ignore") if found and t else t for t, found in zip(kept[text].to_pylist(), batch.column("__ranges").to_pylist(), strict=True)]
+            kept[text] = pa.array(texts, pa.string())
+            if n_chars is not None:
+                kept[n_chars] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(kept[n_chars].type)
+            yield pa.RecordBatch.from_arrays([kept[c] for c in columns], names=columns)
+
+    return map_arrow(joined, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
