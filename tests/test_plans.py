@@ -118,3 +118,14 @@ def test_display():
     html = display.visualize_ner(doc, ner)
     assert "&lt;b&gt;" in html and html.count("<span") == 1
     assert "error" in display.show_text({"text": "", "exception": "bad"}) and "<table>" in display.show_ner(ner)
+
+
+def test_models_and_hues(tmp_path):
+    from pagewright.operators.images import hue_of
+    from pagewright.plans import models
+
+    need = models.required([{"type": "GlinerNer"}, {"type": "GlinerNer", "options": {"model": "gliner-small"}}, {"type": "GlinerNer", "id": "again"}, {"type": "GlinerNer", "enabled": False}])
+    assert {k: v["stages"] for k, v in need.items()} == {"onnx-community/gliner_multi_pii-v1@main": ["GlinerNer#0", "again"], "onnx-community/gliner_small-v2.1@main": ["GlinerNer#1"]}
+    assert set(models.status(str(tmp_path), [{"type": "GlinerNer"}]).values()) == {False} and models.MODELS["gliner-small"].size > 3e8
+    assert hue_of("PERSON-NAME") == hue_of("person") == 216 and hue_of("a") == 97 and 0 <= hue_of("some other group") < 360
+    assert models.parallelism(8, "throughput") == {"workers": 8, "threads": 1, "pages_in_flight": 1}
