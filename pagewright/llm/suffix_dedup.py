@@ -43,7 +43,7 @@ PLACE_BITS = 21
 BUCKET_BYTES = 6_000_000
 GRAM_BUCKETS = 4
 #: Grams that a task holds before it sends them.
-HELD = 1_500_000
+HELD = 700_000
 NO_ID = 2**63 - 1
 KEY_BYTES = 5
 
@@ -204,7 +204,7 @@ def _cuts(*columns: np.ndarray) -> tuple[list[int], list[int]]:
 class Mail:
     """Pieces of bytes for documents, packed by a few parts of the documents, so that each task sends few rows."""
 
-    def __init__(self, parts: int, limit: int = 32_000_000):
+    def __init__(self, parts: int, limit: int = 12_000_000):
         self.parts, self.limit, self.held = parts, limit, 0
         self.rows: list[np.ndarray] = []
         self.pieces: list[bytes] = []
@@ -437,7 +437,7 @@ def cut_segments(buckets: int, text: str):
                 hit = np.isin(short_key(key) | ((bucket // GRAM_BUCKETS).astype(np.uint64) << np.uint64(40)), wanted[n])
                 if hit.any():
                     held.add(raw[n], rows[on[n]], ids[on[n]], first[hit] + at, count[hit], bucket[hit])
-                if held.held > 40_000_000:
+                if held.held > 25_000_000:
                     yield from held.batches()
                     held = Segments()
         if held.places:
