@@ -783,9 +783,10 @@ def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows.append(("memory", 72, images.encode_png(px), "png", "", 260, 320))
         return pd.DataFrame(rows, columns=["path", "resolution", "data", "imageType", "exception", "height", "width"])
 
-    few = page_boxes(spark, sf_dir).where(F.size("bboxes") >= 8)
     inner = F.transform("bboxes", lambda b: b.withField("x", b["x"] + 2).withField("width", F.greatest(b["width"] - 4, F.lit(3.0))))
-    return few.select("page", paint("bboxes").alias("image"), detection(inner).alias("boxes"))
+    # the rows are small and drawing is not: a given number of partitions is not coalesced
+    dealt = page_boxes(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "page")
+    return dealt.select("page", paint("bboxes").alias("image"), detection(inner).alias("boxes"))
 
 
 @query()
@@ -794,7 +795,7 @@ def image_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators import images
 
     fitted = images.fit_to_ink(drawn_pages(spark, sf_dir))
-    crops = images.crop_boxes(fitted, limit=3)
+    crops = images.crop_boxes(fitted)
     return crops.select("page", "box.text", "box.x", "box.width", "cropped_image.width", "cropped_image.height", "cropped_image.exception").toDF("page", "text", "x", "box_width", "width", "height", "exception")
 
 
