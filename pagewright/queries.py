@@ -688,10 +688,9 @@ def ner_merger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ocr_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("string")
     def repair(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: patterns.normalise(t)[0])
+        return texts.map(lambda t: None if t is None else patterns.normalise(t)[0])
 
-    rows = text_documents(spark, sf_dir).where(F.col("text").rlike("[0-9]"))
-    return rows.select("doc_id", F.md5(repair("text").cast("binary")).alias("digest"))
+    return text_documents(spark, sf_dir).select("doc_id", F.md5(repair("text").cast("binary")).alias("digest"))
 
 
 @query()

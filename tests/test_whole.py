@@ -22,3 +22,13 @@ def test_crop_limit(spark):
     cut = lambda **o: [(r.id, r.box.text, r.cropped_image.width) for r in images.crop_boxes(rows, **o).orderBy("id", "box.text").collect()]
     every = [(n, str(i), 10 + i) for n in (0, 1) for i in range(5)]
     assert cut() == every and cut(limit=3) == [x for x in every if x[1] < "3"]
+
+
+def test_every_document_is_normalised(spark, tmp_path):
+    import hashlib
+
+    texts = {1: "no digit, a – dash", 2: "2O24‒01", 3: "plain", 4: "", 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: "no digit, a - dash", 2: "2024-01", 3: "plain", 4: ""}
+    made = {r.doc_id: r.digest for r in queries.ocr_normalise(spark, str(tmp_path)).collect()}
+    assert made == {k: hashlib.md5(t.encode()).hexdigest() for k, t in want.items()} | {5: None}
