@@ -32,3 +32,12 @@ def test_every_document_is_normalised(spark, tmp_path):
     want = {1: "no digit, a - dash", 2: "2024-01", 3: "plain", 4: ""}
     made = {r.doc_id: r.digest for r in queries.ocr_normalise(spark, str(tmp_path)).collect()}
     assert made == {k: hashlib.md5(t.encode()).hexdigest() for k, t in want.items()} | {5: None}
+
+
+def test_jpeg_with_metadata_longer_than_the_head(spark):
+    frame = b"\xff\xc0\x00\x11\x08" + (30).to_bytes(2, "big") + (50).to_bytes(2, "big") + b"\x03" + bytes(9)
+    profile = b"\xff\xe2\xff\xff" + bytes(0xFFFD)
+    rows = [("long", b"\xff\xd8" + 3 * profile + frame), ("short", b"\xff\xd8" + frame), ("broken", b"\xff\xd8" + 3 * profile), ("junk", bytes(1 << 17))]
+    made = {r.path: r.image for r in images.data_to_image(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert all((made[k].imageType, made[k].width, made[k].height, made[k].exception) == ("jpeg", 50, 30, "") for k in ("long", "short"))
+    assert bytes(made["long"].data) == rows[0][1] and made["broken"].exception and made["junk"].exception
