@@ -236,9 +236,20 @@ class ImageDrawBoxes(Stage):
     name, kind = "ImageDrawBoxes", "image"
     defaults = {**BOTH, "outputCol": "image_with_boxes", "imageType": "png", "filled": False, "color": None, "lineWidth": 1, "textSize": 24, "displayDataList": [], "padding": 0, "whiteList": [], "blackList": []}
 
+    def __init__(self, **options):
+        super().__init__(**options)
+        p = self.params
+        if len(p["inputCols"]) < 2:
+            raise ConfigError("inputCols needs an image column and at least one source of boxes")
+        if p["displayDataList"] or p["textSize"] != self.defaults["textSize"]:
+            raise ConfigError("ImageDrawBoxes has no font: displayDataList and textSize are not supported")
+        if p["color"] is not None:
+            images.colour_from(p["color"])
+
     def transform(self, df: DataFrame, run: Run) -> DataFrame:
         p = self.params
-        return images.draw_boxes(df, *p["inputCols"], p["outputCol"], p["filled"], p["lineWidth"], p["padding"])
+        source, *boxes = p["inputCols"]
+        return images.draw_boxes(df, source, boxes, p["outputCol"], p["filled"], p["lineWidth"], p["padding"], p["color"], p["whiteList"], p["blackList"])
 
 
 class FitBoxesToInk(Stage):
@@ -259,22 +270,32 @@ STAGES: dict[str, type[Stage]] = {
     )
 }
 
+_DRAW_TEXT = {"type": "ImageDrawBoxes", "options": {"inputCols": ["image", "text"]}}
+_DRAW_ENTITIES = {"type": "ImageDrawBoxes", "options": {"inputCols": ["image", "ner"], "lineWidth": 3, "padding": 2}}
+_SCRIPT_READ = [{"type": "PdfToImage"}, {"type": "TesseractScriptDetector"}, {"type": "PaddleTextRecognizer", "options": {"presetCol": "script"}}]
+_ENTITIES = [{"type": "GlinerNer"}, {"type": "NerConsistency"}, _DRAW_ENTITIES]
+# the page is read for its image too, which boxes are fitted to and drawn on; the pictures on it stay apart
+_HYBRID_READ = [{"type": "PdfToDocument"}, {"type": "PdfToImage", "options": {"keepInputData": True}}, {"type": "PdfEmbeddedImages", "options": {"outputCol": "embedded"}}]
+_HYBRID_DETECT = [
+    {"type": "DbnetOnnxDetector", "options": {"inputCol": "embedded", "outputCol": "detected"}}, {"type": "FitBoxesToInk", "options": {"inputCols": ["embedded", "detected"], "outputCol": "detected"}},
+    {"type": "PaddleRecognizer", "options": {"inputCols": ["embedded", "detected"], "outputCol": "image_text", "detectLineOrientation": True}},
+]
+_HYBRID_MERGE = [{"type": "PdfMergeImageText"}, {"type": "FitBoxesToInk", "options": {"inputCols": ["image", "document"], "outputCol": "document"}}]
+_DRAW_DOCUMENT = {"type": "ImageDrawBoxes", "options": {"inputCols": ["image", "document"]}}
+
 #: Pipelines by name: the stages of each, in order.
 PRESETS: dict[str, list[dict]] = {
-    "tesseract": [{"type": "PdfToImage"}, {"type": "TesseractOcr"}, {"type": "ImageDrawBoxes", "options": {"inputCols": ["image", "text"]}}],
-    "paddle": [{"type": "PdfToImage"}, {"type": "PaddleTextRecognizer"}, {"type": "ImageDrawBoxes", "options": {"inputCols": ["image", "text"]}}],
-    "paddle-auto-script": [{"type": "PdfToImage"}, {"type": "TesseractScriptDetector"}, {"type": "PaddleTextRecognizer", "options": {"presetCol": "script"}}, {"type": "ImageDrawBoxes", "options": {"inputCols": ["image", "text"]}}],
-    "pdf-hybrid": [
-        {"type": "PdfToDocument"}, {"type": "PdfEmbeddedImages"}, {"type": "PaddleTextRecognizer", "options": {"outputCol": "image_text"}}, {"type": "PdfMergeImageText"},
-    ],
-    "tesseract-detect": [{"type": "PdfToImage"}, {"type": "DbnetOnnxDetector"}, {"type": "TesseractRecognizer"}, {"type": "ImageDrawBoxes", "options": {"inputCols": ["image", "text"]}}],
-    "paddle-detect": [{"type": "PdfToImage"}, {"type": "DbnetOnnxDetector"}, {"type": "PaddleRecognizer"}, {"type": "ImageDrawBoxes", "options": {"inputCols": ["image", "text"]}}],
-    "pii-tesseract": [{"type": "PdfToImage"}, {"type": "DbnetOnnxDetector"}, {"type": "TesseractRecognizer"}, {"type": "GlinerNer"}, {"type": "NerConsistency"}],
-    "pii-paddle": [{"type": "PdfToImage"}, {"type": "DbnetOnnxDetector"}, {"type": "PaddleRecognizer"}, {"type": "GlinerNer"}, {"type": "NerConsistency"}],
-    "pii-patterns-pdf-hybrid": [
-        {"type": "PdfToDocument"}, {"type": "PdfEmbeddedImages"}, {"type": "DbnetOnnxDetector"}, {"type": "PaddleRecognizer", "options": {"outputCol": "image_text"}},
-        {"type": "PdfMergeImageText"}, {"type": "RegexNer", "options": {"inputCol": "document"}},
-    ],
+    "tesseract": [{"type": "PdfToImage"}, {"type": "TesseractOcr"}, _DRAW_TEXT],
+    "paddle": [{"type": "PdfToImage"}, {"type": "PaddleTextRecognizer"}, _DRAW_TEXT],
+    "paddle-auto-script": [*_SCRIPT_READ, _DRAW_TEXT],
+    "pdf-hybrid": [*_HYBRID_READ, {"type": "PaddleTextRecognizer", "options": {"inputCol": "embedded", "outputCol": "image_text"}}, *_HYBRID_MERGE, _DRAW_DOCUMENT],
+    "pdf-hybrid-detect": [*_HYBRID_READ, *_HYBRID_DETECT, *_HYBRID_MERGE, _DRAW_DOCUMENT],
+    "tesseract-detect": [{"type": "PdfToImage"}, {"type": "DbnetOnnxDetector"}, {"type": "TesseractRecognizer"}, _DRAW_TEXT],
+    "paddle-detect": [{"type": "PdfToImage"}, {"type": "DbnetOnnxDetector"}, {"type": "PaddleRecognizer"}, _DRAW_TEXT],
+    "pii-tesseract": [{"type": "PdfToImage"}, {"type": "DbnetOnnxDetector"}, {"type": "TesseractRecognizer"}, *_ENTITIES],
+    "pii-paddle": [{"type": "PdfToImage"}, {"type": "DbnetOnnxDetector"}, {"type": "PaddleRecognizer"}, *_ENTITIES],
+    "pii-paddle-auto-script": [*_SCRIPT_READ, *_ENTITIES],
+    "pii-patterns-pdf-hybrid": [*_HYBRID_READ, *_HYBRID_DETECT, *_HYBRID_MERGE, {"type": "RegexNer", "options": {"inputCol": "document"}}, _DRAW_ENTITIES],
     "patterns": [{"type": "RegexNer", "options": {"inputCol": "document"}}, {"type": "NerConsistency", "options": {"inputCols": ["ner", "document"]}}],
 }
 

@@ -1,11 +1,14 @@
 """Queries and stages do the whole job: every row, box and byte of what they are given."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright import queries
 from pagewright.operators import images
-from pagewright.schemas import BOXES, box, image
+from pagewright.plans import registry
+from pagewright.plans.errors import ConfigError
+from pagewright.schemas import BOXES, ENTITIES, PLACEMENT, box, image, ner
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +44,33 @@ def test_jpeg_with_metadata_longer_than_the_head(spark):
     made = {r.path: r.image for r in images.data_to_image(spark.createDataFrame(rows, "path string, content binary")).collect()}
     assert all((made[k].imageType, made[k].width, made[k].height, made[k].exception) == ("jpeg", 50, 30, "") for k in ("long", "short"))
     assert bytes(made["long"].data) == rows[0][1] and made["broken"].exception and made["junk"].exception
+
+
+def test_every_source_is_drawn_and_lists_hold(spark):
+    page = images.encode_png(np.full((40, 60, 4), 255, np.uint8))
+    boxes = [F.array(box(F.lit("a"), F.lit(1.0), F.lit(x), F.lit(4.0), F.lit(6.0), F.lit(6.0), F.lit(0.0))).cast(BOXES) for x in (2.0, 22.0, 42.0)]
+    entity = lambda group, found: F.struct(F.lit(group).alias("entity_group"), F.lit(0.9).alias("score"), F.lit("w").alias("word"), F.lit(0).alias("start"), F.lit(1).alias("end"), found.alias("boxes"), F.lit("").alias("source"))
+    found = ner(F.array(entity("EMAIL", boxes[1]), entity("DATE", boxes[2])).cast(ENTITIES))
+    rows = spark.range(1).select(image(F.lit(page), F.lit("a")).alias("image"), F.struct(boxes[0].alias("bboxes")).alias("boxes"), found.alias("ner"), F.struct(F.lit(None).cast(BOXES).alias("bboxes")).alias("none"))
+
+    def centres(**options):
+        (r,) = registry.ImageDrawBoxes(inputCols=["image", "boxes", "ner", "none"], filled=True, **options).run(rows).collect()
+        assert r.image_with_boxes.exception == ""
+        px = images.decode_png(bytes(r.image_with_boxes.data))
+        return [tuple(px[7, x, :3].tolist()) for x in (5, 25, 45)]
+
+    white = (255, 255, 255)
+    assert centres() == [images.colour_of("a"), images.colour_of("EMAIL"), images.colour_of("DATE")]
+    assert centres(whiteList=["DATE"], color="#0f0") == [(0, 255, 0), white, (0, 255, 0)]
+    assert centres(blackList=["DATE"], color="#010203") == [(1, 2, 3), (1, 2, 3), white]
+    for bad in ({"displayDataList": ["score"]}, {"textSize": 9}, {"color": "red"}, {"inputCols": ["image"]}):
+        with pytest.raises(ConfigError):
+            registry.ImageDrawBoxes(**bad)
+
+
+def test_presets_are_whole(spark):
+    rows = spark.createDataFrame([(b"x", "p")], "content binary, path string").withColumn("placement", F.lit(None).cast(PLACEMENT))
+    assert {"pdf-hybrid-detect", "pii-paddle-auto-script"} <= set(registry.PRESETS)
+    for name in set(registry.PRESETS) - {"patterns"}:
+        assert registry.PRESETS[name][-1]["type"] == "ImageDrawBoxes"
+        assert "image_with_boxes" in registry.preset(name).transform(rows).columns
