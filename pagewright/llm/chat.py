@@ -81,18 +81,15 @@ def format_conversations(df: DataFrame, conv_id: str = "conv_id", turn: str = "t
         cast = F.transform(F.filter(F.coalesce(F.col(parts), F.array()), lambda p: p.isNotNull()), lambda p: F.struct(p["kind"].alias("kind"), p["text"].alias("text"), p["ref"].alias("ref"), p["size"].cast("long").alias("size")))
         tie = F.to_json(cast)
     else:
-        cast = F.lit(None).cast(PART)
+        cast = text_parts(F.col(text)).cast(PART)
         tie = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), tie.alias("tie"), cast.alias("parts"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "tie")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("i", F.row_number().over(order) - 1)
-    if parts:
-        rows = rows.withColumn("found", F.filter("parts", _attachment))
-        rows = rows.withColumn("n", F.coalesce(F.sum(F.size("found")).over(before), F.lit(0)))
-        rows = rows.withColumn("body", _visit(F.col("parts"), F.col("n")))
-    else:
-        rows = rows.withColumn("found", F.lit(None).cast(PART)).withColumn("body", escape(F.col("tie")))
+    rows = rows.withColumn("found", F.filter("parts", _attachment))
+    rows = rows.withColumn("n", F.coalesce(F.sum(F.size("found")).over(before), F.lit(0)))
+    rows = rows.withColumn("body", _visit(F.col("parts"), F.col("n")))
     rows = rows.withColumn("head", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY)))
     rows = rows.withColumn("piece", F.concat("head", "body", F.lit(END)))
     rows = rows.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int"))
