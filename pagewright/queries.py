@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from .functions import boxes as B
 from .functions import geometry_columns as G
 from .functions import presets, validators
 from .functions.conditions import compile_condition, usable_text_layer, validate, where
+from .functions.fuzzy import FuzzyPattern, Match
 from .functions.text import chunks, fold, mostly_uppercase, texts_agree
 from .operators import entities as E
 from .operators import layout, merging, patterns
@@ -693,17 +695,35 @@ def ocr_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_documents(spark, sf_dir).select("doc_id", F.md5(repair("text").cast("binary")).alias("digest"))
 
 
+NUMBER = r"\d{3}-\d{4}"
+#: An occurrence of NUMBER with one edit has one of its halves as it is, and spans 9 characters at most.
+HALF, WIDEST = "[0-9]{3}-|[0-9]{4}", 9
+
+
+def number_matches(pattern: FuzzyPattern, text: str) -> list[Match]:
+    """``pattern.match_all(text, 1)`` for NUMBER, sought only around halves of it: no other place can hold a match."""
+    zones: list[list[int]] = []
+    for m in regex.finditer(f"(?={HALF})", text):
+        low, high = max(0, m.start() - WIDEST), min(len(text), m.start() + 4 + WIDEST)
+        if zones and low <= zones[-1][1]:
+            zones[-1][1] = high
+        else:
+            zones.append([low, high])
+    return [m for low, high in zones for m in pattern.match_all(text, 1, begin=low, stop=high)]
+
+
 @query()
 def fuzzy_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .functions.fuzzy import FuzzyPattern
+    """Numbers within whole texts, with one character inserted, replaced or left out at most."""
 
-    @F.pandas_udf("array<struct<start:int,end:int,cost:double>>")
+    @F.pandas_udf("array<struct<word:string,start:int,end:int,cost:double>>")
     def find(texts: pd.Series) -> pd.Series:
-        pattern = FuzzyPattern(r"\d{3}-\d{4}")
-        return texts.map(lambda t: [{"start": m.start, "end": m.end, "cost": m.cost} for m in pattern.match_all(t, 1, substitute=9, delete=9)])
+        pattern = FuzzyPattern(NUMBER)
+        return texts.map(lambda t: [{"word": t[m.start : m.end], "start": m.start, "end": m.end, "cost": m.cost} for m in number_matches(pattern, t)])
 
-    words = text_documents(spark, sf_dir).select("doc_id", F.explode(F.split("text", r"\s+")).alias("word")).where(F.col("word").rlike("[0-9]{3}"))
-    return words.select("doc_id", "word", F.explode(find("word")).alias("m")).select("doc_id", "word", "m.start", F.col("m.end").alias("end_"), "m.cost")
+    texts = text_documents(spark, sf_dir).where(F.col("text").rlike(HALF))
+    found = texts.select("doc_id", find("text").alias("found")).select("doc_id", F.explode_outer("found").alias("m")).where(F.col("m").isNotNull())
+    return found.select("doc_id", "m.word", "m.start", F.col("m.end").alias("end_"), "m.cost")
 
 
 @query()

@@ -74,3 +74,14 @@ def test_presets_are_whole(spark):
     for name in set(registry.PRESETS) - {"patterns"}:
         assert registry.PRESETS[name][-1]["type"] == "ImageDrawBoxes"
         assert "image_with_boxes" in registry.preset(name).transform(rows).columns
+
+
+def test_numbers_are_found_across_white_space_and_with_all_edits():
+    import random
+
+    pattern, r = queries.FuzzyPattern(queries.NUMBER), random.Random(8)
+    for text in ("call 555 -1234 now", "555-12x4", "555-124", "5551234", "555-1234", "") + tuple("".join(r.choice("0123456789-- x\n") for _ in range(r.randrange(60))) for _ in range(400)):
+        assert queries.number_matches(pattern, text) == pattern.match_all(text, 1)
+    (m,) = queries.number_matches(pattern, "call 555 -1234 now")
+    assert (m.start, m.end, m.cost) == (5, 14, 1)
+    assert [m.cost for t in ("555-12x4", "555-124") for m in queries.number_matches(pattern, t)] == [1, 1]
