@@ -10,7 +10,8 @@ Documents are read once and never shuffled: their seeds are made, exploded and l
 items' seeds are broadcast where a count shows that they are few; else hits are joined by a shuffle.
 
 Defined results: null and empty texts and items match nothing; items that share an id are searched for separately and
-reported under that id once; a repeated doc_id is reported once per item.
+reported under that id once; a repeated doc_id is reported once per item. Documents are removed row by row: of rows that
+share an id or have none, those whose own text is contaminated.
 """
 
 from __future__ import annotations
@@ -72,21 +73,22 @@ def verified(doc: Column, item: Column) -> Column:
     return F.aggregate(same, F.lit(0), lambda a, x: a + x) * F.array_max(sums).__ge__(width - F.when(width < WINDOW, 0).otherwise(SUBSTITUTIONS)).cast("int")
 
 
-def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """doc_id, item_id, n_matched, n_item_words, first_word: one row for each contaminated pair.
+def text_key(text: Column) -> Column:
+    """Tells the texts of rows that share an id apart, or have none."""
+    return F.xxhash64(text)
 
-    n_matched counts the agreeing words of the best alignment, first_word is the document's word where the item's first
-    would lie (negative if the document begins within the item).
-    """
+
+def verified_hits(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """doc_id, key (of the text), item_id, first_word, n_item_words, n_matched: each alignment that agrees well enough."""
     seeds, short = item_seeds(items, item_id, item_text)
     few = seeds.count() <= broadcast_seeds
-    base = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("words"))
-    hashed = base.select("doc_id", "words", F.size("words").alias("size"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("key"), words(F.col(text)).alias("words"))
+    hashed = base.select("doc_id", "key", "words", F.size("words").alias("size"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     def exploded(span: int, seeds_of: Column) -> DataFrame:
         # seeds are a column of their own before the generator, which can then run within generated code; the outer form
         # keeps the optimizer from adding a filter on the seeds, which would compute them again for each word
-        own = hashed.select("doc_id", "words", F.greatest(F.col("size") - span + 1, F.lit(1)).alias("m"), seeds_of.alias("seeds"))
-        return own.select("doc_id", "words", "m", F.posexplode_outer("seeds").alias("i", "seed"))
+        own = hashed.select("doc_id", "key", "words", F.greatest(F.col("size") - span + 1, F.lit(1)).alias("m"), seeds_of.alias("seeds"))
+        return own.select("doc_id", "key", "words", "m", F.posexplode_outer("seeds").alias("i", "seed"))
 
     made = [exploded(SPAN, _seeds(F.col("h"), F.col("size")))]
     made += [exploded(s, _runs(F.col("h"), F.col("size"), s)) for s in short]
@@ -96,22 +98,32 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
             found = rows.join(F.broadcast(seeds), "seed")
         else:
             # the words stay behind: they are joined again for the documents that have a hit
-            found = rows.drop("words").join(seeds, "seed").join(base.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")))
+            texts = base.dropDuplicates(["doc_id", "key"]).withColumnsRenamed({"doc_id": "d", "key": "k"})
+            found = rows.drop("words").join(seeds, "seed").join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
         start = F.pmod("i", "m") - F.col("at")
         low = F.greatest(start, F.lit(0))
         span = F.least(start + F.size("item"), F.size("words")) - low
-        cut = found.select("doc_id", "item_id", start.alias("first_word"), F.size("item").alias("n_item_words"), F.slice("words", low + 1, span).alias("doc"), F.slice("item", low - start + 1, span).alias("part"), F.size("item").alias("whole"))
+        cut = found.select("doc_id", "key", "item_id", start.alias("first_word"), F.size("item").alias("n_item_words"), F.slice("words", low + 1, span).alias("doc"), F.slice("item", low - start + 1, span).alias("part"), F.size("item").alias("whole"))
         hits = cut if hits is None else hits.unionByName(cut)
-    key = ["doc_id", "item_id", "first_word", "n_item_words"]
-    once = hits.groupBy(*key, F.xxhash64("part").alias("which")).agg(F.first(F.struct("doc", "part", "whole")).alias("p"))
+    # with the text's own key, the hits of a group are of one text at one place: all are alike
+    once = hits.groupBy("doc_id", "key", "item_id", "first_word", "n_item_words", F.xxhash64("part").alias("which")).agg(F.first(F.struct("doc", "part", "whole")).alias("p"))
     # an item that is shorter than a window counts only whole
     enough = F.when(F.col("p.whole") < WINDOW, F.size("p.part") == F.col("p.whole")).otherwise(F.size("p.part") >= WINDOW)
-    good = once.withColumn("n_matched", F.when(enough, verified(F.col("p.doc"), F.col("p.part"))).otherwise(0)).where("n_matched > 0")
+    return once.withColumn("n_matched", F.when(enough, verified(F.col("p.doc"), F.col("p.part"))).otherwise(0)).where("n_matched > 0")
+
+
+def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """doc_id, item_id, n_matched, n_item_words, first_word: one row for each contaminated pair.
+
+    n_matched counts the agreeing words of the best alignment, first_word is the document's word where the item's first
+    would lie (negative if the document begins within the item).
+    """
+    good = verified_hits(docs, items, doc_id, text, item_id, item_text, broadcast_seeds)
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", "n_item_words", (-F.col("first_word")).alias("back"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n_matched").cast("int").alias("n_matched"), F.col("b.n_item_words").cast("int").alias("n_item_words"), (-F.col("b.back")).cast("int").alias("first_word"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
     """The documents that share no passage with an item; their columns as they were."""
-    bad = overlaps(docs, items, doc_id, text, **names).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__bad")), "left_anti")
+    bad = verified_hits(docs, items, doc_id, text, **names).select(F.col("doc_id").alias("__bad"), F.col("key").alias("__key")).distinct()
+    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__bad")) & (text_key(F.col(text)) == F.col("__key")), "left_anti")

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from pagewright.llm import chat
+from pagewright.llm import chat, decontaminate
+
+from .conftest import passage
 
 
 def test_a_plain_text_goes_through_the_visitor(spark, monkeypatch):
@@ -15,3 +17,16 @@ def test_a_plain_text_goes_through_the_visitor(spark, monkeypatch):
     assert seen == [1, 1] and r == p
     assert r.formatted == "<|turn|>user<|body|>a <\\1 \\0 b<|end|>\n<|turn|>assistant<|body|><|end|>\n<|turn|>assistant<|body|>c<|end|>\n"
     assert r.attachments == [] and r.expanded_tokens == 0
+
+
+def test_rows_that_share_an_id_are_decided_each(spark):
+    item = passage(41, 13)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean, bad = passage(42, 40), passage(43, 20) + " " + item
+    near = passage(43, 20) + " " + " ".join(w if i % 3 else "other" for i, w in enumerate(item.split()))
+    docs = spark.createDataFrame([(None, clean), (None, bad), (7, clean), (7, bad), (7, bad), (7, near), (8, None)], "doc_id long, text string")
+    for few in (decontaminate.BROADCAST_SEEDS, 0):
+        kept = decontaminate.remove_contaminated(docs, bench, broadcast_seeds=few).collect()
+        want = [(None, clean), (7, clean), (7, near), (8, None)]
+        assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+        assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench, broadcast_seeds=few).collect()} == {(None, 1), (7, 1)}
