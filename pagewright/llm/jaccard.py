@@ -48,6 +48,8 @@ TILE = 2_000
 BROADCAST_PLACES = 250_000
 CHUNK_CHARS = 1_000_000
 LEAF = 16
+#: The largest count in a group that the index tells from others.
+MOST = 65_535
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -123,9 +125,16 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def group_counts(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles fall into each of 16 to 256 groups (a power of two, about a sixth of the set's size)."""
+    """How many shingles fall into each of 16 to 256 groups (a power of two, about a sixth of the set's size); MOST stands for more too."""
     groups = int(np.clip(1 << int(np.ceil(np.log2(max(1, len(shingles) / 6)))), 16, 256))
-    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u2")
+    return np.minimum(np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups), MOST).astype("<u2")
+
+
+def unbounded(counts: np.ndarray) -> np.ndarray:
+    """Counts in 64 bits, with a bound that no count reaches for those that were clipped."""
+    wide = counts.astype(np.int64)
+    wide[counts == MOST] = 1 << 40
+    return wide
 
 
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
@@ -186,7 +195,7 @@ def classes(points: list[np.ndarray], sizes: np.ndarray, check, sides: np.ndarra
             continue
         guests = np.flatnonzero((level == 2 * groups) & (SIMILAR * sizes <= 100 * sizes[own].max()))
         at = np.sort(np.concatenate([own, guests]))
-        counts = np.stack([folded(points[i].astype(np.int64), groups) for i in at.tolist()])
+        counts = np.stack([folded(unbounded(points[i]), groups) for i in at.tolist()])
         size, guest = sizes[at], level[at] != groups
         tree = CountTree(counts, size) if len(at) > 2 * LEAF else None
         for i in range(1, len(at)):

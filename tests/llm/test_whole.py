@@ -1,8 +1,9 @@
 """Training-data operators do the whole job by the method they are described with."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from pagewright.llm import chat, decontaminate
+from pagewright.llm import chat, decontaminate, jaccard
 
 from .conftest import passage
 
@@ -30,3 +31,13 @@ def test_rows_that_share_an_id_are_decided_each(spark):
         want = [(None, clean), (7, clean), (7, near), (8, None)]
         assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
         assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench, broadcast_seeds=few).collect()} == {(None, 1), (7, 1)}
+
+
+def test_counts_that_do_not_fit_rule_nothing_out():
+    r = np.random.default_rng(6)
+    common = r.integers(0, 1 << 40, 40_000, np.uint64) * np.uint64(256)  # all in one group
+    a = np.unique(np.concatenate([common, common + np.uint64(1 << 60)]))
+    b = a[: len(a) - 5]
+    assert len(a) > 65_536 and jaccard.linked(a, b)
+    label = jaccard.classes([jaccard.group_counts(x) for x in (a, b)], np.array([len(a), len(b)]), lambda i, j: jaccard.linked((a, b)[i], (a, b)[j]))
+    assert label.tolist() == [0, 0]
