@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagewright import ship
 from pagewright.sources.shared import saved, shared_dir, workspace
 
-__all__ = ["by_bytes", "documents", "fold", "held_out", "map_arrow", "saved", "shared_dir", "worker_cache", "workspace"]
+__all__ = ["by_bytes", "documents", "fold", "held_out", "map_arrow", "private", "saved", "shared_dir", "worker_cache", "workspace"]
 
 HELD_OUT_REMAINDER = 1
 
@@ -39,6 +39,14 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(sliced(fn), schema)
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """The names, behind as many underscores as no column of the frame begins with (columns differ by more than case)."""
+    taken, mark = {c.lower() for c in df.columns}, "__"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, across tasks."""
     return sys.modules.setdefault("_pagewright_worker_cache", types.ModuleType("_pagewright_worker_cache")).__dict__
@@ -64,5 +72,3 @@ def by_bytes(texts: list, limit: int) -> Iterator[tuple[int, int]]:
         size += n
     if start < len(texts):
         yield start, len(texts)
-
-
