@@ -1,28 +1,29 @@
 """Language identification of words and texts.
 
-Each word's letters give a script; the scripts seen in training narrow the languages that the word can have. A word's
-score for a language is the sum of the language's log probabilities of the word's byte trigrams. A Viterbi pass over
-the words, with a penalty for each switch, labels spans; the language with most letters in its spans is the text's.
+Each word's letters give a script; the scripts seen in training narrow the languages that the word can have, and a text
+is searched only among the candidates of its words. A word's score for a language is the sum of the language's log
+probabilities of the word's byte trigrams. A Viterbi pass over the words, with a penalty for each switch, labels spans;
+the language with most letters in its spans is the text's.
 
 Training counts trigrams in a sample of labelled rows: all rows whose hashed id falls under a threshold that makes about
 ``sample_rows`` rows of them (a documented bound). Everything else covers all rows and whole texts.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0 and no spans; with no training row
+Defined results: null texts and texts without a letter (Unicode category L) are ``und`` with score 0 and no spans; with no training row
 every text is ``und``; ties go to the language that sorts first; copies of a text get equal results.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, map_arrow
+from .common import by_bytes, map_arrow, private
 
 UNDETERMINED = "und"
 #: Training rows to aim for; bounds the sample.
@@ -35,7 +36,9 @@ BUCKETS = 1 << 16
 #: Words of one Viterbi block: longer texts are cut into blocks that are joined exactly.
 BLOCK = 256
 CHUNK_CHARS = 1_000_000
-LETTER = re.compile(r"[^\W\d_]")
+#: Languages up to which blocks of one text advance together; a block then holds a score for each pair of languages.
+BLOCK_LANGS = 8
+LETTER = regex.compile(r"\p{L}")
 
 # First code points of script ranges, from the Unicode block list, and the script that begins there.
 SCRIPTS = (
@@ -121,10 +124,10 @@ def word_scripts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Model) -> np.ndarray:
-    """(words, langs): log probabilities, minus infinity (a large cost) for languages that the script rules out."""
+def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(words, langs): log probabilities, and which languages the word's script leaves (all where it leaves none)."""
     if not len(starts):
-        return np.zeros((0, len(model.langs)), np.float32)
+        return np.zeros((0, len(model.langs)), np.float32), np.zeros((0, len(model.langs)), bool)
     inside = np.flatnonzero(data != 32)
     per_byte = model.weights[trigram_codes(data)[inside]]
     bounds = np.concatenate([[0], np.cumsum(ends - starts)[:-1]])
@@ -132,7 +135,26 @@ def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: M
     allowed = model.scripts[word_scripts(data, starts)]
     allowed |= ~allowed.any(axis=1, keepdims=True)
     scores[~allowed] -= 1e6
-    return scores
+    return scores, allowed
+
+
+def best_labels(scores: np.ndarray, allowed: np.ndarray, owner: np.ndarray, n_texts: int, penalty: float) -> np.ndarray:
+    """The best label of each word; texts of the same candidates are searched together, among these alone."""
+    n, k = scores.shape
+    out = np.zeros(n, np.int64)
+    if not n:
+        return out
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    sets, kind = np.unique(np.logical_or.reduceat(allowed, first, axis=0), axis=0, return_inverse=True)
+    of_word = np.repeat(kind.ravel(), np.diff(np.concatenate([first, [n]])))
+    for i, columns in enumerate(sets):
+        at, langs = np.flatnonzero(of_word == i), np.flatnonzero(columns)
+        if len(langs) == 1:
+            out[at] = langs[0]
+            continue
+        block = BLOCK if len(langs) <= BLOCK_LANGS else max(1, len(at))
+        out[at] = langs[viterbi(scores[np.ix_(at, langs)] if len(langs) < k else scores[at], owner[at], n_texts, penalty, block)]
+    return out
 
 
 def viterbi(scores: np.ndarray, owner: np.ndarray, n_texts: int, penalty: float, block: int = BLOCK) -> np.ndarray:
@@ -140,6 +162,7 @@ def viterbi(scores: np.ndarray, owner: np.ndarray, n_texts: int, penalty: float,
 
     Texts are cut into blocks; all blocks advance together, one word a step, from each possible label before the
     block. The blocks' transfer scores are then joined per text and the labels read backwards: an exact Viterbi pass.
+    Where every text is one block, the label before it is free, and a word needs one score for each label, not a square.
     """
     n, k = scores.shape
     if not n:
@@ -157,10 +180,12 @@ def viterbi(scores: np.ndarray, owner: np.ndarray, n_texts: int, penalty: float,
     longest = int(size_o[0])
     active = np.searchsorted(-size_o, -np.arange(longest), "left")  # blocks longer than t
     # value[b, e, l]: best score of block b up to the step, entered from label e, now at label l
-    value = np.where(np.eye(k, dtype=bool), 0.0, -penalty).astype(np.float64)[None].repeat(total, 0)
+    kind = np.int8 if k < 128 else np.int32
+    enter = np.where(np.eye(k, dtype=bool), 0.0, -penalty) if int(blocks_of.max()) > 1 else np.zeros((1, k))
+    value = enter.astype(np.float64)[None].repeat(total, 0)
     value += scores[first_o][:, None, :]
-    back = np.zeros((n, k, k), np.int8)
-    labels = np.arange(k, dtype=np.int8)
+    back = np.zeros((n, len(enter), k), kind)
+    labels = np.arange(k, dtype=kind)
     for t in range(1, longest):
         a = active[t]
         v = value[:a]
@@ -174,7 +199,7 @@ def viterbi(scores: np.ndarray, owner: np.ndarray, n_texts: int, penalty: float,
     # join the blocks of each text; all texts advance together, one block a step
     text_block = np.concatenate([[0], np.cumsum(blocks_of)[:-1]])
     most = int(blocks_of.max())
-    came = np.zeros((total, k), np.int8)
+    came = np.zeros((total, k), kind)
     state = np.zeros((n_texts, k))
     has = np.flatnonzero(blocks_of > 0)
     # before a text's first word any label is free, so the best entry is the first word's own label
@@ -211,7 +236,7 @@ def viterbi(scores: np.ndarray, owner: np.ndarray, n_texts: int, penalty: float,
 def label_words(texts: list[str], model: Model, penalty: float = SWITCH_PENALTY):
     """data, starts, ends, owner, firsts and labels of the words of the texts."""
     data, starts, ends, owner, firsts = words_of(texts)
-    labels = viterbi(word_scores(data, starts, ends, model), owner, len(texts), penalty)
+    labels = best_labels(*word_scores(data, starts, ends, model), owner, len(texts), penalty)
     return data, starts, ends, owner, firsts, labels
 
 
@@ -250,19 +275,23 @@ def fit(df: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((1, 0), bool))
     part = rows.where(F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 20)) < max(1, round((1 << 20) * min(1.0, sample_rows / n))))
     counted = map_arrow(part.select(F.col(lang).alias("lang"), F.col(text).alias("text")), _count_batches, "lang string, feature int, n double")
-    # at most langs x (BUCKETS + scripts) rows come back, however many rows are counted
-    got = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(got["lang"].unique())
-    index = {x: i for i, x in enumerate(langs)}
-    scripts = len(script_table()[2])
-    counts = np.zeros((BUCKETS + scripts, len(langs)))
-    counts[got["feature"].to_numpy(), got["lang"].map(index).to_numpy()] = got["n"].to_numpy()
+    # one row for each language comes back, of a fixed size, however many rows are counted
+    got = sorted(counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).groupBy("lang").applyInArrow(_pack_counts, "lang string, counts binary").collect())
+    langs = [r.lang for r in got]
+    counts = np.stack([np.frombuffer(r.counts, "<f4") for r in got], axis=1).astype(float) if got else np.zeros((BUCKETS + len(script_table()[2]), 0))
     grams, letters = counts[:BUCKETS], counts[BUCKETS:]
     smooth = grams + 0.5
     weights = np.log(smooth / smooth.sum(axis=0))
     return Model(langs, weights.astype(np.float32), letters >= SCRIPT_SHARE * np.maximum(letters.sum(axis=0), 1))
 
 
+def _pack_counts(rows: pa.Table) -> pa.Table:
+    """One language's counts as one array of 32-bit numbers."""
+    counts = np.zeros(BUCKETS + len(script_table()[2]), "<f4")
+    counts[rows.column("feature").to_numpy()] = rows.column("n").to_numpy()
+    return pa.table({"lang": rows.column("lang")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram and script counts of a task's rows, by language."""
     counts: dict[str, np.ndarray] = {}
@@ -285,9 +314,10 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", spans: str | None = None, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """Add the predicted language and score, and on request the spans; columns of those names are replaced."""
     new = {lang_pred, score, spans} - {None}
-    base = df.select(*[c for c in df.columns if c not in new], F.col(text).alias("__text"))
+    (own_text,) = private(df, "text")
+    base = df.select(*[c for c in df.columns if c not in new], F.col(text).alias(own_text))
     shared = df.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.scripts))  # bounded by langs x BUCKETS
-    kept = [f for f in base.schema.fields if f.name != "__text"]
+    kept = [f for f in base.schema.fields if f.name != own_text]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + f"`{lang_pred}` string, `{score}` double" + (f", `{spans}` array<struct<start:int,end:int,lang:string>>" if spans else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
