@@ -6,7 +6,8 @@ the product of their vectors, and the sum over all pairs takes linear time:
 ``1/2 * sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)``.
 
 The model is fitted on the driver on a sample of labelled rows: those whose hashed id falls under a threshold that
-makes about ``sample_rows`` of them, a documented bound. Every row is scored, by its whole text.
+makes about ``sample_rows`` of them, or fewer if their features would take more than about ``sample_bytes``: documented
+bounds. Every row is scored, by its whole text.
 
 Defined results: null and empty texts are scored from their statistics alone; null labels are not learnt from, and of
 several labels of one id the highest counts; without labelled rows every score is 0.5; equal texts with equal metadata
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, map_arrow
+from .common import by_bytes, map_arrow, private, saved
 
 #: Labelled rows to aim for; bounds the sample that comes to the driver.
 SAMPLE_ROWS = 6_000
+#: Bytes of features that the sample has at most, about; where its texts are long, fewer rows of it are used.
+SAMPLE_BYTES = 160_000_000
 WORD_BITS = 14
 BINS = 16
 RANK = 8
@@ -170,18 +173,23 @@ def score_texts(m: Machine | None, texts: list, declared: list) -> np.ndarray:
     return sigmoid(margin(m, *features([t or "" for t in texts], declared))) if texts else np.zeros(0)
 
 
-def _inputs(df: DataFrame, text: str, declared: str | None) -> list[Column]:
-    return [F.col(text).alias("__text"), (F.col(declared).cast("long") if declared else F.lit(None).cast("long")).alias("__declared")]
+def _declared(declared: str | None) -> Column:
+    return F.col(declared).cast("long") if declared else F.lit(None).cast("long")
 
 
-def fit(df: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", declared: str | None = "n_chars", sample_rows: int = SAMPLE_ROWS) -> Machine | None:
+def _threshold(doc_id: Column, share: float) -> Column:
+    """Whether a hashed id falls under a threshold that about this share of all ids meets."""
+    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(1 << 20)) < max(1, round((1 << 20) * min(1.0, share)))
+
+
+def fit(df: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", declared: str | None = "n_chars", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Machine | None:
     """Learn from labelled rows where ``usable`` (over the id) holds."""
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & usable).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).alias("__y"))
+    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & usable).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.max(label).alias("y"))
     n = known.count()
     if not n:
         return None
-    part = known.where(F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1 << 20)) < max(1, round((1 << 20) * min(1.0, sample_rows / n))))
-    rows = df.select(F.col(doc_id).alias("__id"), *_inputs(df, text, declared)).join(F.broadcast(part), "__id")  # about sample_rows ids
+    part = known.where(_threshold(F.col("id"), sample_rows / n))
+    rows = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), _declared(declared).alias("declared")).join(F.broadcast(part), "id")  # about sample_rows ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +200,12 @@ def fit(df: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id"
                 cut = [(number[i:j].astype("<i4").tobytes(), value[i:j].astype("<f4").tobytes()) for i, j in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array([int(v > 0) for v in y[a:b]], pa.int32()), pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())], names=["id", "y", "number", "value"])
 
-    got = sorted(map_arrow(rows.select(F.col("__id").cast("long").alias("__id"), "__text", "__declared", "__y"), run, "id long, y int, number binary, value binary").collect())
+    # the sample is written, so that its size is known before it comes to the driver
+    made = saved(map_arrow(rows.select("id", "text", "declared", "y"), run, "id long, y int, number binary, value binary"), "quality-sample")
+    size = made.agg(F.sum(F.octet_length("number") + F.octet_length("value"))).first()[0] or 0
+    if size > sample_bytes:
+        made = made.where(_threshold(F.col("id"), sample_rows / n * sample_bytes / size))
+    got = sorted(made.collect())
     if not got:
         return None
     number = np.frombuffer(b"".join(bytes(r.number) for r in got), "<i4").astype(np.int64)
@@ -204,7 +217,7 @@ def fit(df: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id"
 def score(df: DataFrame, machine: Machine | None, text: str = "text", declared: str | None = "n_chars", out: str = "score") -> DataFrame:
     """Add the probability of a good text; a column of that name is replaced."""
     kept = [c for c in df.columns if c != out]
-    base = df.select(*kept, *_inputs(df, text, declared))
+    base = df.select(*kept, *[c.alias(n) for c, n in zip((F.col(text), _declared(declared)), private(df, "text", "declared"), strict=True)])
     shared = df.sparkSession.sparkContext.broadcast(None if machine is None else (machine.bias, machine.weights, machine.vectors))  # fixed size
     schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in kept) + f"`{out}` double"
 
