@@ -2,7 +2,11 @@
 
 The rank file gives the vocabulary; the merge list is derived from the ranks once on the driver and the finished
 tokenizer (a few MB, fixed by the vocabulary file) is broadcast as JSON. A byte is shown to the library as one
-printable character (the byte-to-character table); decoding maps the characters of a token back to bytes.
+printable character (the byte-to-character table); decoding maps the characters of a token back to bytes, by one lookup
+for all tokens of a chunk, and those bytes give each token's character range, split characters included.
+
+Texts are cut into the pre-tokenizer's pieces, and the library encodes each piece once for as long as a worker keeps it:
+given whole texts it takes half as long again.
 
 Defined results: null and empty texts have no tokens; special tokens' strings are ordinary text; texts of any
 length are encoded whole; rows are independent, so ties, copies and extra columns change nothing.
@@ -13,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, map_arrow, worker_cache
+from .common import by_bytes, map_arrow, private, worker_cache
 
 #: Characters given to the library at once; bounds a worker's memory.
 CHUNK_CHARS = 1_000_000
@@ -82,6 +87,24 @@ def decode_bytes(ids, table: list[bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids))
 
 
+def decode_all(ids: np.ndarray, table: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of many tokens in one array, and where each token's begin (one more than tokens)."""
+    taken = table.take(pa.array(ids, pa.int32()))
+    ends = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1]
+    return np.frombuffer(taken.buffers()[2] or b"", np.uint8), ends
+
+
+def character_ranges(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(tokens, 2): the characters, counted over all of the bytes, that each token has a part of, half-open.
+
+    Tokens that share a split character have it both in their ranges.
+    """
+    begun = np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)
+    if not len(begun):
+        return np.zeros((0, 2), np.int64)
+    return np.stack([begun[ends[:-1]] - 1, begun[ends[1:] - 1]], axis=1)
+
+
 def decode_pieces(ids, table: list[bytes]) -> list[str]:
     """The text that each token completes.
 
@@ -106,7 +129,7 @@ def _load(text: str):
     key = ("bpe", hash(text))
     if key not in cache:
         made = Tokenizer.from_str(text)
-        cache[key] = (made, token_bytes(made.get_vocab()), Pieces(text))
+        cache[key] = (pa.array(token_bytes(made.get_vocab()), pa.binary()), Pieces(text))
     return cache[key]
 
 
@@ -115,7 +138,7 @@ UNUSUAL = r"[^\x00-\x1b\x20-\x84\x86-\u052f]"
 #: The pieces that a byte-level pre-tokenizer cuts a text into, as the public vocabulary files give it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a worker keeps; beyond this many it starts anew.
-KEPT_PIECES = 100_000
+KEPT_PIECES = 400_000
 
 
 class Pieces:
@@ -167,44 +190,61 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     """
     shared = broadcast_tokenizer(df.sparkSession, vocabulary)
     new = {ids, offsets} - {None}
-    base = df.select(*[c for c in df.columns if c not in new], F.col(text).alias("__text"))
-    fields = [f for f in base.schema.fields if f.name != "__text"]
+    (own,) = private(df, "text")
+    base = df.select(*[c for c in df.columns if c not in new], F.col(text).alias(own))
+    fields = [f for f in base.schema.fields if f.name != own]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + (", " if fields else "") + f"`{ids}` array<int>" + (f", `{offsets}` array<struct<start:int,end:int>>" if offsets else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, _, pieces = _load(shared.value)
+        table, pieces = _load(shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             keep = [batch.column(i) for i in range(batch.num_columns - 1)]
-            names = batch.schema.names[:-1]
             got, spans = [], []
             for first, last in by_bytes(texts, CHUNK_CHARS):
-                if offsets:
-                    for e in tokenizer.encode_batch(texts[first:last], add_special_tokens=False):
-                        got.append(e.ids)
-                        spans.append([{"start": a, "end": b} for a, b in e.offsets])
-                else:
-                    got += [np.frombuffer(x, "<u4").astype(np.int32) for x in pieces.encode(texts[first:last])]
+                for made, found in encoded(texts[first:last], pieces, table):
+                    got.append(made.astype(np.int32))
+                    if offsets:
+                        spans.append([{"start": a, "end": b} for a, b in found.tolist()])
             cols = [*keep, pa.array(got, pa.list_(pa.int32()))]
             if offsets:
                 cols.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, ids, *([offsets] if offsets else [])])
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], ids, *([offsets] if offsets else [])])
 
     return map_arrow(base, run, schema)
 
 
-def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Add the text of an id array; null ids give null, bytes that are no UTF-8 give U+FFFD."""
+def encoded(texts: list[str], pieces: Pieces, table: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its ids and, read from the bytes that these decode to, the tokens' character ranges."""
+    made = [np.frombuffer(x, "<u4") for x in pieces.encode(texts)]
+    data, ends = decode_all(np.concatenate([*made, np.zeros(0, "<u4")]), table)
+    ranges = character_ranges(data, ends)
+    at = 0
+    for ids in made:
+        own = ranges[at : at + len(ids)]
+        yield ids, own - own[0, 0] if len(own) else own
+        at += len(ids)
+
+
+def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded", pieces: str | None = None) -> DataFrame:
+    """Add the text of an id array, and on request what each token completes of it (see ``decode_pieces``).
+
+    Null ids give null, ids that the vocabulary lacks fail, bytes that are no UTF-8 give U+FFFD.
+    """
     shared = broadcast_tokenizer(df.sparkSession, vocabulary)
-    base = df.select(*[c for c in df.columns if c not in (text, ids)], ids)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + f", `{text}` string"
+    base = df.select(*[c for c in df.columns if c not in (text, ids, pieces)], ids)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + f", `{text}` string" + (f", `{pieces}` array<string>" if pieces else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table, _ = _load(shared.value)
+        table, _ = _load(shared.value)
+        known = table.to_pylist() if pieces else None
         for batch in batches:
             rows = batch.column(batch.num_columns - 1).to_pylist()
-            out = [None if r is None else decode_bytes(r, table).decode("utf-8", "replace") for r in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, text])
+            out = [None if r is None else decode_all(np.array(r, np.int32), table)[0].tobytes().decode("utf-8", "replace") for r in rows]
+            cols = [*batch.columns, pa.array(out, pa.string())]
+            if pieces:
+                cols.append(pa.array([None if r is None else decode_pieces(r, known) for r in rows], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, text, *([pieces] if pieces else [])])
 
     return map_arrow(base, run, schema)
 
@@ -212,24 +252,30 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
 def digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode in one pass; returns digests instead of the arrays.
 
-    key, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256 (bytes made from the ids).
+    key, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256 (bytes made from the ids),
+    offsets_crc32 (the tokens' character ranges as little-endian 32-bit pairs).
     """
     shared = broadcast_tokenizer(df.sparkSession, vocabulary)
-    base = df.select(F.col(key), F.col(text).alias("__text"))
+    base = df.select(F.col(key), F.col(text).alias("text" if key != "text" else "body"))
     kind = base.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table, pieces = _load(shared.value)
+        table, pieces = _load(shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            n, ids_hash, back_hash = [], [], []
+            out = []
             for a, b in by_bytes(texts, CHUNK_CHARS):
-                for ids in pieces.encode(texts[a:b]):
-                    n.append(len(ids) // 4)
-                    ids_hash.append(hashlib.sha256(ids).hexdigest())
-                    back_hash.append(hashlib.sha256(decode_bytes(np.frombuffer(ids, "<u4").tolist(), table)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(back_hash, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_arrow(base, run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
+                made = pieces.encode(texts[a:b])
+                data, ends = decode_all(np.frombuffer(b"".join(made), "<u4"), table)
+                ranges = character_ranges(data, ends)
+                at = 0
+                for ids in made:
+                    n = len(ids) // 4
+                    own = ranges[at : at + n]
+                    where = (own - own[0, 0] if n else own).astype("<i4")
+                    out.append((n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data[ends[at] : ends[at + n]].tobytes()).hexdigest(), zlib.crc32(where.tobytes())))
+                    at += n
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "offsets_crc32"])
+
+    return map_arrow(base, run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_crc32 long")
