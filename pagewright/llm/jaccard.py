@@ -7,8 +7,10 @@ sets link when 100 * intersection >= 80 * union.
 Equal sets are one class, known by a 128-bit digest, from the first step on: only one document of them is compared.
 
 Blocks. In any one order of shingles, two sets that link share one of the first ``n - ceil(0.8 n) + 1`` of each. The
-order is by frequency, rare first, taken from a sketch of counts over all documents (of fixed size), then by hash: what
-a third of all documents share comes last and makes no block. Sets that share such a shingle are a block.
+order is by frequency, rare first, taken from a sketch of counts over all documents (sized by their bytes, up to 16
+million counters), then by hash: what a third of all documents share comes last and makes no block. Sets that share such
+a shingle are a block. Blocks of more than ``block`` sets are cut into parts, and each pair of parts is a task's work;
+shingles that the sketch shows to be frequent never meet in one place.
 
 Index. Shingles are hashed into groups, the counts of a set's groups are a point, and in each block an R-tree over the
 points bounds the overlap with all sets below a node by the sum of the smaller coordinates. Pairs whose bound allows a
@@ -30,20 +32,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, map_arrow, saved
+from . import sketch
+from .common import by_bytes, map_arrow, private, saved
 from .graph import components
 
 WORDS = 5
 SIMILAR = 80
-#: Counters of the frequency sketch; its size does not depend on the data.
-SKETCH_BITS = 22
-SKETCH_PART = 1 << 14
 #: Sets that are compared in one place at most.
 TILE = 2_000
+#: Sets of one part of a block.
+BLOCK = 500
+#: Keys of blocks of several parts (16 bytes each) that are broadcast at most, else they are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+#: A shingle is taken for frequent from this count on, and from this many times the mean of the sketch's counters.
+FREQUENT, ABOVE_MEAN = 100_000, 16
 #: Rows (28 bytes each) that say where a text is compared; no more than these are broadcast, else the texts are shuffled.
 BROADCAST_PLACES = 250_000
 CHUNK_CHARS = 1_000_000
@@ -106,15 +111,11 @@ def shingle_sets(texts: list) -> list[np.ndarray]:
     return out
 
 
-def sketch_slots(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
 def prefix_keys(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The first shingles of a set, rare ones first: a rank of frequency above 58 bits of hash."""
     n = len(shingles)
     take = n - -(-SIMILAR * n // 100) + 1
-    rank = ranks[sketch_slots(shingles)].astype(np.uint64)
+    rank = ranks[sketch.slots(shingles, len(ranks).bit_length() - 1)].astype(np.uint64)
     keys = (rank << np.uint64(58)) | (_mix(shingles) >> np.uint64(6))
     return np.partition(keys, take - 1)[:take]
 
@@ -216,47 +217,28 @@ def classes(points: list[np.ndarray], sizes: np.ndarray, check, sides: np.ndarra
     return label
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, seen = np.zeros(1 << SKETCH_BITS, np.int32), False
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for a, b in by_bytes(texts, CHUNK_CHARS):
-            slots = sketch_slots(np.concatenate(shingle_sets(texts[a:b])))
-            np.add.at(held, slots, 1)
-            seen |= bool(len(slots))
-    for k in range(0, len(held) if seen else 0, SKETCH_PART):
-        blob = zstandard.ZstdCompressor(level=1).compress(held[k : k + SKETCH_PART].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([k // SKETCH_PART], pa.int32()), pa.array([blob], pa.binary())], names=["part", "counts"])
-
-
-def _add_parts(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int32).astype(np.int64) for x in table.column("counts").to_pylist())
-    return pa.table({"part": table.column("part")[:1], "ranks": pa.array([np.log2(total + 1.0).astype(np.uint8).tobytes()], pa.binary())})
-
-
-def frequency_sketch(df: DataFrame, text: str) -> np.ndarray:
-    """Ranks (logarithms) of shingles' occurrences over all documents, in a table of fixed size (4 MB)."""
-    parts = map_arrow(df.select(text), _sketch, "part int, counts binary").groupBy("part").applyInArrow(_add_parts, "part int, ranks binary").collect()
-    out = np.zeros((1 << SKETCH_BITS, ), np.uint8).reshape(-1, SKETCH_PART)
-    for r in parts:
-        out[r.part] = np.frombuffer(r.ranks, np.uint8)
-    return out.ravel()
+def frequency_sketch(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
+    """Ranks of shingles' occurrences over all documents, and the rank from which on a shingle is frequent."""
+    bits = sketch.bits_for(sketch.text_bytes(df, text))
+    ranks, total = sketch.frequency_ranks(df, text, shingle_sets, bits)
+    return ranks, int(np.ceil(np.log2(max(FREQUENT, ABOVE_MEAN * total / len(ranks)))))
 
 
 SET = np.dtype([("doc", "<i8"), ("known", "u1"), ("rest", "<i8"), ("size", "<i8")])
 
 
-def set_rows(df: DataFrame, doc_id: str, text: str, ranks: np.ndarray) -> DataFrame:
-    """Rows of two kinds: kind, key, mark, about.
+def set_rows(df: DataFrame, doc_id: str, text: str, ranks: np.ndarray, frequent: int) -> DataFrame:
+    """Rows of three kinds: kind, meet, key, mark, about.
 
     0: a document; mark is the first half of its set's digest, about holds its id, the other half, the size and the
-    counts, the key only counts rows. 1: a key that the set with the mark has.
+    counts. 1: a key that the set with the mark has; 2: such a key that is frequent. Rows of kind 1 that share a key have
+    the same ``meet``, those of other kinds do not.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, 0
-        names = ["kind", "key", "mark", "about"]
+        names = ["kind", "meet", "key", "mark", "about"]
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in by_bytes(texts, CHUNK_CHARS):
@@ -266,17 +248,19 @@ def set_rows(df: DataFrame, doc_id: str, text: str, ranks: np.ndarray) -> DataFr
                 for doc, s, m in zip(ids[a:b], sets, marks, strict=True):
                     head = np.array([(doc or 0, doc is not None, m[1], len(s))], SET)
                     about.append(head.tobytes() + group_counts(s).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int8)), pa.array(np.arange(seen, seen + b - a)), pa.array([m[0] for m in marks], pa.int64()), pa.array(about, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int8)), pa.array(np.arange(seen, seen + b - a)), pa.nulls(b - a, pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array(about, pa.binary())], names=names)
                 seen += b - a
                 # equal sets of a chunk have equal keys: they are sent once
                 once = {m: s for m, s in zip(marks, sets, strict=True) if len(s)}
                 found = [prefix_keys(s, table) for s in once.values()]
                 if found:
-                    key = np.concatenate(found).view(np.int64)
+                    key = np.concatenate(found)
                     owner = np.repeat(np.array([m[0] for m in once], np.int64), [len(f) for f in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int8)), pa.array(key), pa.array(owner), pa.nulls(len(key), pa.binary())], names=names)
+                    often = key >> np.uint64(58) >= frequent
+                    meet = np.where(often, _mix(key ^ owner.view(np.uint64)), key).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array((1 + often).astype(np.int8)), pa.array(meet), pa.array(key.view(np.int64)), pa.array(owner), pa.nulls(len(key), pa.binary())], names=names)
 
-    return map_arrow(df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), run, "kind byte, key long, mark long, about binary")
+    return map_arrow(df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), run, "kind byte, meet long, key long, mark long, about binary")
 
 
 def _open_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +272,7 @@ def _open_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key: key, mark, n, point. Links sets of a block that the index can't tell apart."""
+    """Rows come sorted by key and parts: key, low, high, side, mark, n, point. Links sets that the index can't tell apart."""
     out_a: list[int] = []
     out_b: list[int] = []
     now, rows = None, {}
@@ -296,8 +280,8 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done() -> None:
         if len(rows) > 1:
             marks = sorted(rows)
-            points = [np.frombuffer(rows[m][1], "<u2") for m in marks]
-            label = classes(points, np.array([rows[m][0] for m in marks], np.int64), lambda i, j: True)
+            points = [np.frombuffer(rows[m][2], "<u2") for m in marks]
+            label = classes(points, np.array([rows[m][1] for m in marks], np.int64), lambda i, j: True, np.array([rows[m][0] for m in marks]))
             for i, j in enumerate(label.tolist()):
                 if i != j:
                     out_a.append(marks[i])
@@ -310,11 +294,11 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for batch in batches:
-        for key, mark, n, point in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key != now:
+        for key, low, high, side, mark, n, point in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, low, high) != now:
                 done()
-                now, rows = key, {}
-            rows[mark] = (n, point)
+                now, rows = (key, low, high), {}
+            rows[mark] = (side, n, point)
         if out_a:
             yield send()
     done()
@@ -349,28 +333,39 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE, broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
+def in_pairs_of_parts(df: DataFrame, of: str, parts: Column) -> DataFrame:
+    """Rows with low, high and side: each row once for each part that its own part is to be compared with.
+
+    Parts are compared within themselves where a part meets itself (side 0), and across in each pair of parts.
+    """
+    own = df.withColumn("own", F.pmod(F.xxhash64(of), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return own.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).withColumn("side", side.cast("int")).drop("own", "other")
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE, broadcast_places: int = BROADCAST_PLACES, block: int = BLOCK, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach, the document itself included)."""
-    rows = set_rows(df, doc_id, text, frequency_sketch(df, text))
+    rows = set_rows(df, doc_id, text, *frequency_sketch(df, text))
     # keys that only one set has end in the window
-    w = Window.partitionBy("kind", "key")
-    found = saved(rows.withColumn("lo", F.min("mark").over(w)).withColumn("hi", F.max("mark").over(w)).where("kind = 0 or lo < hi").select("kind", "key", "mark", "about"), "sets")
+    w = Window.partitionBy("kind", "meet")
+    found = saved(rows.withColumn("lo", F.min("mark").over(w)).withColumn("hi", F.max("mark").over(w)).where("kind <> 1 or lo < hi").select("kind", "key", "mark", "about"), "sets")
     docs = map_arrow(found.where("kind = 0").select("mark", "about"), _open_sets, "doc_id long, mark long, rest long, n long, point binary")
     points = docs.where("n > 0").groupBy("mark").agg(F.first(F.struct("n", "point")).alias("s")).select("mark", "s.*")
-    blocks = found.where("kind = 1").select("key", "mark").distinct().join(points, "mark").select("key", "mark", "n", "point")
-    near = map_arrow(blocks.repartition("key").sortWithinPartitions("key"), _block_links, "a long, b long")
+    keys = found.where("kind > 0").select("key", "mark").distinct()
+    large = saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > block).select("key", F.ceil(F.col("sets") / block).cast("int").alias("parts")), "large")
+    few = large.count() <= broadcast_keys
+    cut = in_pairs_of_parts(keys.join(F.broadcast(large) if few else large, "key", "left"), "mark", F.coalesce("parts", F.lit(1)))
+    blocks = cut.join(points, "mark").select("key", "low", "high", "side", "mark", "n", "point")
+    tiles = ("key", "low", "high")
+    near = map_arrow(blocks.repartition(*tiles).sortWithinPartitions(*tiles), _block_links, "a long, b long")
     loose = components(near)
     docs = docs.drop("point")
     firsts = saved(docs.where("n > 0 and doc_id is not null").groupBy("mark", "rest").agg(F.min("doc_id").alias("first")), "classes")
     members = saved(firsts.join(loose, F.col("mark") == F.col("node")).select(F.col("label").alias("comp"), F.col("first").alias("doc"), "mark"), "members")
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     # few sets: one place. Many: parts, and a place for each pair of parts
-    parts = F.ceil(F.col("members") / tile).cast("int")
-    placed = members.join(sizes, "comp").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    # parts are compared within themselves where a part meets itself; in a pair of parts only across
-    placed = placed.select(F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), side.cast("int").alias("side"), "doc", "mark")
+    placed = in_pairs_of_parts(members.join(sizes, "comp"), "doc", F.ceil(F.col("members") / tile).cast("int"))
+    placed = placed.select(F.xxhash64("comp", "low", "high").alias("tile"), "side", "doc", "mark")
     texts = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     placed = saved(placed, "places")
     few = placed.count() <= broadcast_places
@@ -384,6 +379,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose id is the smallest of its class; columns as they were. Rows without id stay."""
-    gone = near_duplicates(df, doc_id, text).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")
+    """The rows whose id is the smallest of its class; columns as they were. Rows without id stay; rows that share an id
+    are one document and stay or go together."""
+    (gone,) = private(df, "gone")
+    copies = near_duplicates(df, doc_id, text).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return df.join(copies, F.col(doc_id).cast("long") == F.col(gone), "left_anti")
