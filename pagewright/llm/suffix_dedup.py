@@ -3,9 +3,11 @@
 Every byte covered by a 50-byte string that also starts in a document with a smaller id is removed. Strings are bytes of
 UTF-8, never cross documents, and are judged on the input.
 
-1. Each 50-byte window picks one 20-byte gram in it, the one of smallest hash (the leftmost of equal ones). Equal windows
-   pick equal grams, so only windows whose gram occurs in several documents can be shared. Tasks send the grams' hashes
-   packed, each at most once where a task has it in several documents, and learn which are shared.
+1. Each 50-byte window picks one 20-byte gram in it: the rarest by a sketch of counts over all documents, of these the
+   one of smallest hash (the leftmost of equal ones). Equal windows pick equal grams, so only windows whose gram occurs
+   in several documents can be shared; and a gram that very many documents have is picked only by windows that hold
+   nothing rarer, which are the inner windows of a passage that all of them share and are sent once by each task. Tasks
+   send the grams' hashes packed, each at most once where a task has it in several documents, and learn which are shared.
 2. The windows that picked a shared gram are cut out as segments; equal segments of a task are sent once, with the
    smallest id that has them, to the gram's bucket; each place of a segment is sent as a few bytes.
    What is found out about documents returns packed, a few rows from each task.
@@ -15,9 +17,11 @@ UTF-8, never cross documents, and are judged on the input.
 4. Covered ranges return to their documents, which drop the bytes.
 
 Hashes only choose what is compared: a shared hash costs work and changes nothing, as segments are compared by bytes.
+What is found returns to rows by their id and a 64-bit hash of id and text, or by 128 bits of hash where they have no id.
 
 Defined results: null texts are empty; texts under 50 bytes keep everything; rows that share an id never remove each
-other's text; a null id counts as larger than all others; repeated rows get equal results.
+other's text; a null id counts as the largest id there is; repeated rows get equal results. Buckets are sized by the
+bytes of text, up to 16 million of them (100 TB); beyond, they grow.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from . import sketch
+from .common import map_arrow, private
 
 LENGTH = 50
 GRAM = 20
@@ -74,13 +79,16 @@ def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
         step *= 2
 
 
-def runs_of_windows(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs_of_windows(data: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and gram hash of each run of windows that pick one gram."""
     if len(data) < LENGTH:
         none = np.zeros(0, np.int64)
         return none, none, none.view(np.uint64)
     hashes = gram_hashes(data)
-    picked = ((hashes * np.uint64(0xD6E8FEB86659FD93)) & ~np.uint64((1 << PLACE_BITS) - 1)) | np.arange(len(hashes), dtype=np.uint64)
+    # six bits of rank, 37 of another hash, the place
+    rank = ranks[sketch.slots(hashes, len(ranks).bit_length() - 1)].astype(np.uint64) << np.uint64(58)
+    other = (hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(6 + PLACE_BITS) << np.uint64(PLACE_BITS)
+    picked = rank | other | np.arange(len(hashes), dtype=np.uint64)
     width, span = 1, LENGTH - GRAM + 1
     while width * 2 <= span:
         picked = np.minimum(picked[:-width], picked[width:])
@@ -100,7 +108,14 @@ def pieces(raw: bytes) -> Iterator[tuple[int, bytes]]:
         at += PIECE
 
 
-def runs_of_texts(raw: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def all_grams(texts: list) -> Iterator[np.ndarray]:
+    """The hashes of all grams of texts that hold a window, and some across their borders."""
+    joined = b"".join([r for r in ((t or "").encode("utf-8", "surrogatepass") for t in texts) if len(r) >= LENGTH])
+    for at in range(0, max(0, len(joined) - GRAM + 1), PIECE):
+        yield gram_hashes(np.frombuffer(joined[at : at + PIECE + GRAM - 1], np.uint8))
+
+
+def runs_of_texts(raw: list[bytes], ranks: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each text with a window: its number, the place of the piece, and the piece's runs.
 
     Short texts are joined and worked on together; windows across their borders are dropped.
@@ -110,7 +125,7 @@ def runs_of_texts(raw: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.n
 
     def together() -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         joined = np.frombuffer(b"".join(raw[i] for i in group), np.uint8)
-        first, count, key = runs_of_windows(joined)
+        first, count, key = runs_of_windows(joined, ranks)
         stop = first + count
         at = 0
         for i in group:
@@ -125,7 +140,7 @@ def runs_of_texts(raw: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.n
             continue
         if len(r) > PIECE // 2:
             for at, piece in pieces(r):
-                yield i, at, *runs_of_windows(np.frombuffer(piece, np.uint8))
+                yield i, at, *runs_of_windows(np.frombuffer(piece, np.uint8), ranks)
             continue
         if size + len(r) > PIECE:
             yield from together()
@@ -164,16 +179,17 @@ def _open(raw: bytes) -> bytes:
 
 
 def _pack_owned(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> bytes:
-    """Keys in the order of their owners, with each owner's document id and row once."""
+    """Keys in the order of their owners, with each owner's document id and row key (two numbers) once."""
     own, count = np.unique(owner, return_counts=True)
-    head = _squeeze(ids[own].astype("<i8").tobytes() + rows[own].astype("<i8").tobytes() + count.astype("<i8").tobytes())
+    head = _squeeze(np.concatenate([ids[own], *rows[own].T, count]).astype("<i8").tobytes())
     return np.array([len(head)], "<i8").tobytes() + head + _pack(keys)
 
 
-def _unpack_owned(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack_owned(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, each key's owner by number, and the owners' ids and row keys."""
     n = int(np.frombuffer(raw[:8], "<i8")[0])
-    ids, rows, count = np.frombuffer(_open(raw[8 : 8 + n]), "<i8").reshape(3, -1)
-    return _unpack(raw[8 + n :]), np.repeat(ids, count), np.repeat(rows, count)
+    ids, a, b, count = np.frombuffer(_open(raw[8 : 8 + n]), "<i8").reshape(4, -1)
+    return _unpack(raw[8 + n :]), np.repeat(np.arange(len(ids)), count), ids, np.stack([a, b], axis=1)
 
 
 def _several(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +226,8 @@ class Mail:
         self.pieces: list[bytes] = []
 
     def add(self, rows: np.ndarray, pieces: list[bytes]) -> None:
-        self.rows.append(np.asarray(rows, np.int64))
+        """rows: the keys of the rows that the pieces are for, two numbers each."""
+        self.rows.append(np.asarray(rows, np.int64).reshape(-1, 2))
         self.pieces += pieces
         self.held += sum(map(len, pieces)) + 60 * len(pieces)
 
@@ -218,58 +235,55 @@ class Mail:
         if not self.rows or (self.held < self.limit and not force):
             return
         rows = np.concatenate(self.rows)
-        for part, which in _groups(rows % self.parts):
+        for part, which in _groups(rows[:, 0] % self.parts):
             own = [self.pieces[i] for i in which.tolist()]
-            raw = rows[which].astype("<i8").tobytes() + np.array([len(x) for x in own], "<i4").tobytes() + b"".join(own)
+            raw = rows[which].T.astype("<i8").tobytes() + np.array([len(x) for x in own], "<i4").tobytes() + b"".join(own)
             blob = np.array([len(own)], "<i8").tobytes() + _squeeze(raw)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
         self.rows, self.pieces, self.held = [], [], 0
 
 
-def read_mail(name: str):
-    """Rows come sorted by part: all pieces of each document, one row for each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _by_bucket(batches):
-            found: dict[int, list[bytes]] = {}
-            for (blob,) in blobs:
-                n, raw = int(np.frombuffer(blob[:8], "<i8")[0]), _open(blob[8:])
-                sizes = np.frombuffer(raw[8 * n : 12 * n], "<i4")
-                ends = (12 * n + np.cumsum(sizes)).tolist()
-                for row, size, end in zip(np.frombuffer(raw[: 8 * n], "<i8").tolist(), sizes.tolist(), ends, strict=True):
-                    found.setdefault(row, []).append(raw[end - size : end])
-            rows = list(found)
-            for a in range(0, len(rows), 5_000):
-                part = rows[a : a + 5_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([found[r] for r in part], pa.list_(pa.binary()))], names=["__row", name])
-
-    return run
-
-
-def _flags(row: np.ndarray, bucket: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """For each document and bucket its shared keys, behind the number of the bucket."""
-    order = np.lexsort((bucket, row))
-    row, bucket, key = row[order], bucket[order], key[order]
-    first, end = _cuts(row, bucket)
+def read_mail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by part: a row (a, b, found) with all pieces for each row key."""
+    for _, blobs in _by_bucket(batches):
+        found: dict[tuple[int, int], list[bytes]] = {}
+        for (blob,) in blobs:
+            n, raw = int(np.frombuffer(blob[:8], "<i8")[0]), _open(blob[8:])
+            sizes = np.frombuffer(raw[16 * n : 20 * n], "<i4")
+            ends = (20 * n + np.cumsum(sizes)).tolist()
+            for a, b, size, end in zip(*np.frombuffer(raw[: 16 * n], "<i8").reshape(2, -1).tolist(), sizes.tolist(), ends, strict=True):
+                found.setdefault((a, b), []).append(raw[end - size : end])
+        rows = list(found)
+        for at in range(0, len(rows), 5_000):
+            part = rows[at : at + 5_000]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([found[r] for r in part], pa.list_(pa.binary()))], names=["a", "b", "found"])
+
+
+def _flags(owner: np.ndarray, bucket: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each owner and bucket its shared keys, behind the number of the bucket; and the owners, by number."""
+    order = np.lexsort((bucket, owner))
+    owner, bucket, key = owner[order], bucket[order], key[order]
+    first, end = _cuts(owner, bucket)
     raw, heads = _pack(key), bucket[first].astype("<i4").tobytes()
-    return row[first], [heads[4 * n : 4 * n + 4] + raw[a * KEY_BYTES : b * KEY_BYTES] for n, (a, b) in enumerate(zip(first, end, strict=True))]
+    return owner[first], [heads[4 * n : 4 * n + 4] + raw[a * KEY_BYTES : b * KEY_BYTES] for n, (a, b) in enumerate(zip(first, end, strict=True))]
 
 
-def send_grams(buckets: int, parts: int):
+def send_grams(buckets: int, parts: int, ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         ids: list[int] = []
-        rows: list[int] = []
+        rows: list[tuple[int, int]] = []
         held = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            key, owner, id_of, row_of = np.concatenate(keys), np.concatenate(owners), np.array(ids, np.int64), np.array(rows, np.int64)
+            key, owner, id_of, row_of = np.concatenate(keys), np.concatenate(owners), np.array(ids, np.int64), np.array(rows, np.int64).reshape(-1, 2)
             bucket, key = bucket_of(key, buckets) // GRAM_BUCKETS, short_key(key)
             shared, lead = _several(key | (bucket.astype(np.uint64) << np.uint64(40)), id_of[owner])
             if shared.any():
                 mail = Mail(parts)
-                mail.add(*_flags(row_of[owner[shared]], bucket[shared], key[shared]))
+                whom, what = _flags(owner[shared], bucket[shared], key[shared])
+                mail.add(row_of[whom], what)
                 for batch in mail.batches(force=True):
                     yield pa.RecordBatch.from_arrays([pa.array([-1 - batch.column(0)[0].as_py()], pa.int32()), batch.column(1)], names=["bucket", "blob"])
             keep = ~shared | lead
@@ -283,9 +297,9 @@ def send_grams(buckets: int, parts: int):
 
         for batch in batches:
             raw = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            batch_ids, batch_rows = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            batch_ids, batch_rows = batch.column(0).to_pylist(), list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
             last = -1
-            for i, _, _, _, key in runs_of_texts(raw):
+            for i, _, _, _, key in runs_of_texts(raw, ranks.value):
                 if i != last:
                     ids.append(batch_ids[i])
                     rows.append(batch_rows[i])
@@ -328,10 +342,13 @@ def find_shared(parts: int):
                     yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
                 continue
             got = [_unpack_owned(blob) for (blob,) in rows]
-            key, ids, row = (np.concatenate([g[i] for g in got]) for i in range(3))
-            shared, _ = _several(key, ids)
+            before = np.concatenate([[0], np.cumsum([len(g[2]) for g in got])])
+            key, owner = np.concatenate([g[0] for g in got]), np.concatenate([g[1] + b for g, b in zip(got, before, strict=False)])
+            ids, row = np.concatenate([g[2] for g in got]), np.concatenate([g[3] for g in got])
+            shared, _ = _several(key, ids[owner])
             if shared.any():
-                mail.add(*_flags(row[shared], np.full(int(shared.sum()), bucket), key[shared]))
+                whom, what = _flags(owner[shared], np.full(int(shared.sum()), bucket), key[shared])
+                mail.add(row[whom], what)
             yield from mail.batches()
         yield from mail.batches(force=True)
 
@@ -366,10 +383,10 @@ class Segments:
         self.buckets: list[int] = []
         self.least: list[int] = []
         self.places: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
-        self.owners: list[tuple[int, int]] = []
+        self.owners: list[tuple[int, int, int]] = []
         self.held = 0
 
-    def add(self, raw: bytes, row: int, doc: int, at: np.ndarray, count: np.ndarray, bucket: np.ndarray) -> None:
+    def add(self, raw: bytes, row: tuple[int, int], doc: int, at: np.ndarray, count: np.ndarray, bucket: np.ndarray) -> None:
         index, found = self.index, []
         for a, e, b in zip(at.tolist(), (at + count + (LENGTH - 1)).tolist(), bucket.tolist(), strict=True):
             body = raw[a:e]
@@ -384,7 +401,7 @@ class Segments:
                 self.least[n] = doc
             found.append(n)
         self.places.append((np.array(found, np.int64), at, count, len(self.owners)))
-        self.owners.append((row, doc))
+        self.owners.append((*row, doc))
         self.held += 24 * len(found)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
@@ -398,7 +415,7 @@ class Segments:
             head["id"], head["size"] = least[which], sizes[which]
             body = b"".join([self.bodies[i] for i in which.tolist()])
             yield _part(bucket, 0, send, len(head), _columns(head) + body)
-        who = np.array(self.owners, np.int64).reshape(-1, 2)
+        who = np.array(self.owners, np.int64).reshape(-1, 3)
         segment = np.concatenate([p[0] for p in self.places])
         rows = np.zeros(len(segment), PLACE)
         rows["segment"], rows["at"], rows["count"] = number[segment], np.concatenate([p[1] for p in self.places]), np.concatenate([p[2] for p in self.places])
@@ -424,19 +441,21 @@ def _part(bucket: int, kind: int, send: bytes, n: int, raw: bytes) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int8()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
 
 
-def cut_segments(buckets: int, text: str):
+def cut_segments(buckets: int, ranks, names: tuple[str, ...]):
+    """names: the columns that hold id, text, both parts of the row key, and flags."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Segments()
         for batch in batches:
-            ids, texts, rows, flags = (batch.column(c).to_pylist() for c in ("__id", text, "__row", "__flags"))
+            ids, texts, first_keys, second_keys, flags = (batch.column(c).to_pylist() for c in names)
             on = [i for i, f in enumerate(flags) if f]
             raw = [(texts[i] or "").encode("utf-8", "surrogatepass") for i in on]
             wanted = [np.concatenate([_unpack(f[4:]) | (np.uint64(int.from_bytes(f[:4], "little")) << np.uint64(40)) for f in flags[i]]) for i in on]
-            for n, at, first, count, key in runs_of_texts(raw):
+            for n, at, first, count, key in runs_of_texts(raw, ranks.value):
                 bucket = bucket_of(key, buckets)
                 hit = np.isin(short_key(key) | ((bucket // GRAM_BUCKETS).astype(np.uint64) << np.uint64(40)), wanted[n])
                 if hit.any():
-                    held.add(raw[n], rows[on[n]], ids[on[n]], first[hit] + at, count[hit], bucket[hit])
+                    held.add(raw[n], (first_keys[on[n]], second_keys[on[n]]), ids[on[n]], first[hit] + at, count[hit], bucket[hit])
                 if held.held > 25_000_000:
                     yield from held.batches()
                     held = Segments()
@@ -566,24 +585,24 @@ def _covered(blob: bytes, sent: dict[bytes, np.ndarray], least: np.ndarray, firs
     """Ranges of windows, by document, that an earlier document has."""
     raw = _open(blob[24:])
     places, at = _table(raw, PLACE, int(np.frombuffer(blob[16:24], "<i8")[0]))
-    who = np.frombuffer(raw[at:], "<i8").reshape(2, -1)
+    who = np.frombuffer(raw[at:], "<i8").reshape(3, -1)
     segment = sent[blob[:16]][places["segment"]]
     count = places["count"].astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(count)])
     window = np.repeat(first[segment] - begin[:-1], count) + np.arange(begin[-1])
     owner = np.repeat(places["row"], count).astype(np.int64)
-    gone = least[window] < who[1, owner]
+    gone = least[window] < who[2, owner]
     at = (np.repeat(places["at"].astype(np.int64) - begin[:-1], count) + np.arange(begin[-1]))[gone]
     owner = owner[gone]
     rank = np.lexsort((at, owner))
     at, owner = at[rank], owner[rank]
     if not len(at):
-        return np.zeros(0, np.int64), []
+        return np.zeros((0, 2), np.int64), []
     new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)]))
     stop = np.concatenate([new[1:], [len(at)]]) - 1
     ranges = np.stack([at[new], at[stop] + LENGTH], axis=1).astype("<u4")
     cut, ends = _cuts(owner[new])
-    return who[0, owner[new][cut]], [ranges[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
+    return who[:2, owner[new][cut]].T, [ranges[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
 
 
 def find_covered(parts: int):
@@ -622,39 +641,49 @@ def keep_bytes(raw: bytes, ranges: list[bytes] | None) -> tuple[bytes, int, int]
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def covered_ranges(df: DataFrame, doc_id: str, text: str, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The rows with ``__id``, ``__row`` and their covered ranges, ``__ranges`` array<binary>."""
-    size = df.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
-    buckets = parts = max(16, -(-size // bucket_bytes))
-    own = df.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
-    own = own.withColumn("__row", F.xxhash64("__id", F.coalesce(F.col(text), F.lit(""))))
-    bare = own.select("__id", F.coalesce(F.col(text), F.lit("")).alias("text"), "__row")
-    grams = map_arrow(bare, send_grams(buckets, parts), "bucket int, blob binary")
+def covered_ranges(df: DataFrame, doc_id: str, text: str, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, str]:
+    """The rows with one column more, array<binary>, of their covered ranges; and that column's name."""
+    size = sketch.text_bytes(df, text)
+    buckets = parts = min(1 << 24, max(16, -(-size // bucket_bytes)))
+    spark = df.sparkSession
+    ranks = spark.sparkContext.broadcast(sketch.frequency_ranks(df, text, all_grams, sketch.bits_for(size))[0])  # 16 MB at most
+    number_name, key_a, key_b, mail_a, mail_b, ranges_name, flags_name = private(df, "id", "a", "b", "c", "d", "ranges", "flags")
+    known, body = F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit(""))
+    own = df.withColumns({key_a: F.xxhash64(known, body), key_b: F.coalesce(known, F.xxhash64(F.lit(1), body))})
+    number = F.coalesce(known, F.lit(NO_ID))
+
+    def mailed(rows: DataFrame, name: str) -> DataFrame:
+        read = map_arrow(rows.repartition("part").sortWithinPartitions("part"), read_mail, "a long, b long, found array<binary>")
+        return read.select(F.col("a").alias(mail_a), F.col("b").alias(mail_b), F.col("found").alias(name))
+
+    def with_mail(rows: DataFrame) -> DataFrame:
+        met = (F.col(key_a) == F.col(mail_a)) & (F.col(key_b) == F.col(mail_b))
+        return own.join(rows.hint("shuffle_hash"), met, "left")
+
+    grams = map_arrow(own.select(number.alias("id"), body.alias("text"), key_a, key_b), send_grams(buckets, parts, ranks), "bucket int, blob binary")
     shared = map_arrow(grams.repartition("bucket").sortWithinPartitions("bucket"), find_shared(parts), "part int, blob binary")
-    flags = map_arrow(shared.repartition("part").sortWithinPartitions("part"), read_mail("__flags"), "__row long, __flags array<binary>")
     # left joins of whole rows only, so that both shuffles of the texts are the same and one serves both
-    flagged = own.join(flags.hint("shuffle_hash"), "__row", "left")
-    segments = map_arrow(flagged, cut_segments(buckets, text), "bucket int, kind byte, blob binary")
+    flagged = with_mail(mailed(shared, flags_name)).withColumn(number_name, number)
+    segments = map_arrow(flagged, cut_segments(buckets, ranks, (number_name, text, key_a, key_b, flags_name)), "bucket int, kind byte, blob binary")
     covered = map_arrow(segments.repartition("bucket").sortWithinPartitions("bucket", "kind"), find_covered(parts), "part int, blob binary")
-    ranges = map_arrow(covered.repartition("part").sortWithinPartitions("part"), read_mail("__ranges"), "__row long, __ranges array<binary>")
-    return own.join(ranges.hint("shuffle_hash"), "__row", "left")
+    return with_mail(mailed(covered, ranges_name)).drop(key_a, key_b, mail_a, mail_b), ranges_name
 
 
 def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    joined = covered_ranges(df.select(doc_id, text), doc_id, text, **sizes)
+    joined, ranges = covered_ranges(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", **sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, t, found in zip(*(batch.column(c).to_pylist() for c in ("__id", text, "__ranges")), strict=True):
+            for t, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 kept, removed, spans = keep_bytes(raw, found)
-                out.append((None if doc == NO_ID else doc, len(raw), removed, spans, hashlib.sha256(kept).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                out.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return map_arrow(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(joined.select("doc_id", "text", ranges), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None, **sizes) -> DataFrame:
@@ -662,16 +691,16 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
 
     ``n_chars`` names a column to set to the new length. All other columns and their order stay.
     """
-    joined = covered_ranges(df, doc_id, text, **sizes)
+    joined, ranges = covered_ranges(df, doc_id, text, **sizes)
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = {c: batch.column(c) for c in columns}
-            texts = [keep_bytes(t.encode("utf-8", "surrogatepass"), found)[0].decode("utf-8", "ignore") if found and t else t for t, found in zip(kept[text].to_pylist(), batch.column("__ranges").to_pylist(), strict=True)]
+            texts = [keep_bytes(t.encode("utf-8", "surrogatepass"), found)[0].decode("utf-8", "ignore") if found and t else t for t, found in zip(kept[text].to_pylist(), batch.column(ranges).to_pylist(), strict=True)]
             kept[text] = pa.array(texts, pa.string())
             if n_chars is not None:
                 kept[n_chars] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(kept[n_chars].type)
             yield pa.RecordBatch.from_arrays([kept[c] for c in columns], names=columns)
 
-    return map_arrow(joined, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
+    return map_arrow(joined.select(*columns, ranges), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
