@@ -32,7 +32,7 @@ def test_bpe_digests(awkward, nothing, encoding):
     for doc, text in texts_of(awkward.where("doc_id is not null")):
         ids = encoding.encode_ordinary(text or "")
         want.append((doc, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
-    assert got == sorted(want)
+    assert [g[:4] for g in got] == sorted(want)
     assert bpe.digests(nothing, vocabulary()).count() == 0
 
 
@@ -41,12 +41,22 @@ def test_bpe_round_trip_and_offsets(spark, encoding):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("ids", F.lit("clash"))
     rows = bpe.decode(bpe.encode(df, vocabulary(), offsets="at"), vocabulary()).orderBy("doc_id").collect()
     for r, text in zip(rows, texts, strict=True):
-        assert r.decoded == (text or "") and len(r["at"]) == len(encoding.encode_ordinary(text or ""))
+        ids = encoding.encode_ordinary(text or "")
+        assert r.decoded == (text or "") and len(r["at"]) == len(ids)
+        at = 0
+        for i, span in zip(ids, r["at"], strict=True):  # the characters that hold the token's first and last byte
+            raw, own = (text or "").encode(), encoding.decode_single_token_bytes(i)
+            first, last = len(raw[: at + 1].decode("utf-8", "ignore")), len(raw[: at + len(own)].decode("utf-8", "replace"))
+            whole = raw[: at + 1].decode("utf-8", "replace")
+            assert (span.start, span.end) == (len(whole) - 1, last), (text, span, first)
+            at += len(own)
     plain = bpe.encode(df, vocabulary()).orderBy("doc_id").collect()
     assert [r.ids for r in plain] == [encoding.encode_ordinary(t or "") for t in texts]
     table = bpe.token_bytes({"".join(bpe.byte_chars()[b] for b in k): v for k, v in bpe.read_ranks(vocabulary()).items()})
     ids = encoding.encode_ordinary("日本")
     assert "".join(bpe.decode_pieces(ids, table)) == "日本"
+    said = bpe.decode(bpe.encode(df, vocabulary()), vocabulary(), pieces="said").orderBy("doc_id").collect()
+    assert ["".join(r.said) for r in said] == [t or "" for t in texts]
 
 
 def test_bpe_agrees_on_odd_characters(encoding):
@@ -83,7 +93,21 @@ def test_chat_parts(spark):
     assert "see <\\1<|image:0|>" in r.formatted and "<|audio:1|>done" in r.formatted
     assert [(a.n, a.ref, a.tokens) for a in r.attachments] == [(0, "a.png", 128), (1, "b.wav", 3)] and r.expanded_tokens == 131
     (m,) = r.loss_mask
-    assert r.formatted[m.start : m.end] == "<|audio:1|>done"
+    assert r.formatted[m.start : m.end] == "done"
+    back = chat.read_back(chat.format_conversations(rows, parts="parts")).first()
+    assert [(t.role, t.text, [(p.kind, p.text, p.n) for p in t.parts]) for t in back.turns] == [
+        ("user", "see <|", [("text", "see <|", None), ("image", None, 0)]), ("assistant", "done", [("audio", None, 1), ("text", "done", None)]), ("user", "", [])]
+    assert back.loss_text == "done"
+
+
+def test_texts_that_look_like_placeholders(spark):
+    part = "struct<kind:string,text:string,ref:string,size:bigint>"
+    said = [("text", "<|image:0|>", None, None), ("image", None, "x", 1), ("text", "\\<|image:0|>", None, None), ("text", "<\\1", None, None)]
+    rows = spark.createDataFrame([(1, 0, "assistant", said)], f"conv_id long, turn long, role string, parts array<{part}>")
+    (t,) = chat.read_back(chat.format_conversations(rows, parts="parts")).first().turns
+    assert [(p.kind, p.text, p.n) for p in t.parts] == [("text", "<|image:0|>", None), ("image", None, 0), ("text", "\\<|image:0|><\\1", None)]
+    other = chat.format_conversations(rows, parts="parts", expansion={"image": (5, 10)}).first()
+    assert [a.tokens for a in other.attachments] == [5]
 
 
 # ---- decontamination
@@ -181,6 +205,8 @@ def test_repeated_passages(spark, awkward, nothing):
     assert suffix_dedup.digests(nothing).count() == 0
     cut = suffix_dedup.remove_repeats(awkward.withColumn("ranges", F.lit("clash")), n_chars="n_chars")
     assert cut.columns == [*awkward.columns, "ranges"]
+    last = spark.createDataFrame([(2**63 - 1, shared[2]), (3, shared[2]), (None, shared[2])], "doc_id long, text string")
+    assert sorted(((x.doc_id or 0, x.n_removed) for x in suffix_dedup.digests(last).collect())) == [(0, 120), (3, 0), (2**63 - 1, 120)]
     by = {(x.doc_id, x.text): x for x in cut.collect()}
     assert (0, awkward.where("doc_id = 0").first().text) in by and (1, "") in by and by[(1, "")].n_chars == 0
 
@@ -231,6 +257,36 @@ def test_near_duplicates(spark, tile):
         assert {x.doc_id for x in jaccard.keep_one(frame).collect()} == {c for _, _, c in want}
 
 
+def test_large_blocks_and_frequent_shingles(spark, monkeypatch):
+    r = random.Random(8)
+    base = passage(61, 60).split()
+    docs = []
+    for i in range(40):
+        own = list(base)
+        for _ in range(r.randrange(0, 4)):
+            own[r.randrange(len(own))] = r.choice(WORDS)
+        docs.append((i, " ".join(own)))
+    docs += [(100 + k, passage(3000 + k, 40)) for k in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_components(docs)
+    monkeypatch.setattr(jaccard, "FREQUENT", 8)
+    monkeypatch.setattr(jaccard, "ABOVE_MEAN", 0)
+    assert jaccard.frequency_sketch(frame, "text")[1] == 3
+    for few in (0, 1000):
+        assert sorted(tuple(x) for x in jaccard.near_duplicates(frame, block=3, broadcast_keys=few).collect()) == want
+
+
+def test_sketch_counts_everything(spark):
+    from pagewright.llm import sketch
+
+    texts = [passage(i, 50) for i in range(60)] + [None, ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    ranks, total = sketch.frequency_ranks(frame, "text", jaccard.shingle_sets, 16)
+    every = np.concatenate(jaccard.shingle_sets(texts))
+    counts = np.bincount(sketch.slots(every, 16), minlength=1 << 16)
+    assert total == len(every) and (ranks == np.log2(counts + 1).astype(int)).all()
+
+
 def test_near_duplicates_awkward(awkward, nothing):
     got = [tuple(x) for x in jaccard.near_duplicates(awkward).collect()]
     known = [(d, t) for d, t in texts_of(awkward) if d is not None]
