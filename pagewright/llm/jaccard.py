@@ -47,6 +47,8 @@ TILE = 2_000
 BLOCK = 500
 #: Keys of blocks of several parts (16 bytes each) that are broadcast at most, else they are joined by a shuffle.
 BROADCAST_KEYS = 500_000
+#: Bytes of text for each counter of the sketch.
+SKETCH_BYTES = 256
 #: A shingle is taken for frequent from this count on, and from this many times the mean of the sketch's counters.
 FREQUENT, ABOVE_MEAN = 100_000, 16
 #: Rows (28 bytes each) that say where a text is compared; no more than these are broadcast, else the texts are shuffled.
@@ -219,7 +221,7 @@ def classes(points: list[np.ndarray], sizes: np.ndarray, check, sides: np.ndarra
 
 def frequency_sketch(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """Ranks of shingles' occurrences over all documents, and the rank from which on a shingle is frequent."""
-    bits = sketch.bits_for(sketch.text_bytes(df, text))
+    bits = sketch.bits_for(sketch.text_bytes(df, text), SKETCH_BYTES)
     ranks, total = sketch.frequency_ranks(df, text, shingle_sets, bits)
     return ranks, int(np.ceil(np.log2(max(FREQUENT, ABOVE_MEAN * total / len(ranks)))))
 

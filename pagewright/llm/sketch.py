@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, map_arrow
 
-#: The table has about one counter for this many bytes of text, and no more than 16 million (16 MB as they come back).
-BYTES_EACH = 128
+#: The table has no more than 16 million counters (16 MB as they come back).
 LEAST_BITS, MOST_BITS = 16, 24
 PART = 1 << 14
 #: Groups of tasks whose parts are added up apart in the first round.
-LANES = 16
+LANES = 4
 CHUNK_CHARS = 1_000_000
 NAMES = ["part", "lane", "counts"]
 SCHEMA = "part int, lane int, counts binary"
@@ -32,8 +31,9 @@ def text_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).first().n or 0
 
 
-def bits_for(size: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, round(log2(max(1, size / BYTES_EACH)))))
+def bits_for(size: int, bytes_each: int) -> int:
+    """About one counter for so many bytes of text, as a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, round(log2(max(1, size / bytes_each)))))
 
 
 def slots(hashes: np.ndarray, bits: int) -> np.ndarray:

@@ -3,6 +3,7 @@
 Every byte covered by a 50-byte string that also starts in a document with a smaller id is removed. Strings are bytes of
 UTF-8, never cross documents, and are judged on the input.
 
+0. Of equal texts only the row with the smallest id is looked at further: the others are covered whole.
 1. Each 50-byte window picks one 20-byte gram in it: the rarest by a sketch of counts over all documents, of these the
    one of smallest hash (the leftmost of equal ones). Equal windows pick equal grams, so only windows whose gram occurs
    in several documents can be shared; and a gram that very many documents have is picked only by windows that hold
@@ -17,7 +18,8 @@ UTF-8, never cross documents, and are judged on the input.
 4. Covered ranges return to their documents, which drop the bytes.
 
 Hashes only choose what is compared: a shared hash costs work and changes nothing, as segments are compared by bytes.
-What is found returns to rows by their id and a 64-bit hash of id and text, or by 128 bits of hash where they have no id.
+What is found returns to rows by their id and a 64-bit hash of id and text, or by 128 bits of hash where they have no id;
+equal texts are known by 128 bits of hash and their length.
 
 Defined results: null texts are empty; texts under 50 bytes keep everything; rows that share an id never remove each
 other's text; a null id counts as the largest id there is; repeated rows get equal results. Buckets are sized by the
@@ -49,6 +51,8 @@ BUCKET_BYTES = 6_000_000
 GRAM_BUCKETS = 4
 #: Grams that a task holds before it sends them.
 HELD = 700_000
+#: Bytes of text for each counter of the sketch.
+SKETCH_BYTES = 1024
 NO_ID = 2**63 - 1
 KEY_BYTES = 5
 
@@ -268,7 +272,9 @@ def _flags(owner: np.ndarray, bucket: np.ndarray, key: np.ndarray) -> tuple[np.n
     return owner[first], [heads[4 * n : 4 * n + 4] + raw[a * KEY_BYTES : b * KEY_BYTES] for n, (a, b) in enumerate(zip(first, end, strict=True))]
 
 
-def send_grams(buckets: int, parts: int, ranks):
+def send_grams(buckets: int, parts: int, ranks, names: tuple[str, ...]):
+    """names: the columns that hold id, text, both parts of the row key, and whether the row's text is an earlier row's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
@@ -296,13 +302,13 @@ def send_grams(buckets: int, parts: int, ranks):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
-            raw = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            batch_ids, batch_rows = batch.column(0).to_pylist(), list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            batch_ids, texts, first_keys, second_keys, copied = (batch.column(c).to_pylist() for c in names)
+            raw = [b"" if c or t is None else t.encode("utf-8", "surrogatepass") for t, c in zip(texts, copied, strict=True)]
             last = -1
             for i, _, _, _, key in runs_of_texts(raw, ranks.value):
                 if i != last:
                     ids.append(batch_ids[i])
-                    rows.append(batch_rows[i])
+                    rows.append((first_keys[i], second_keys[i]))
                     last = i
                 keys.append(key)
                 owners.append(np.full(len(key), len(ids) - 1))
@@ -628,8 +634,10 @@ def find_covered(parts: int):
     return run
 
 
-def keep_bytes(raw: bytes, ranges: list[bytes] | None) -> tuple[bytes, int, int]:
+def keep_bytes(raw: bytes, ranges: list[bytes] | None, copied: bool | None = None) -> tuple[bytes, int, int]:
     """What is left, the number of bytes removed, and the number of removed runs."""
+    if copied:
+        return b"", len(raw), 1
     if not ranges:
         return raw, 0, 0
     pairs = np.frombuffer(b"".join(ranges), "<u4").reshape(-1, 2).astype(np.int64)
@@ -641,49 +649,64 @@ def keep_bytes(raw: bytes, ranges: list[bytes] | None) -> tuple[bytes, int, int]
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def covered_ranges(df: DataFrame, doc_id: str, text: str, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, str]:
-    """The rows with one column more, array<binary>, of their covered ranges; and that column's name."""
+def later_copies(rows: DataFrame) -> DataFrame:
+    """Of rows (id, body, a, b), the keys (a, b) of those whose whole text a row with a smaller id has.
+
+    Only hashes travel. A text that very many rows have makes one large partition of small rows, of which AQE deals
+    parts to several tasks, as the other side of the join has one row for it.
+    """
+    long = rows.where(F.octet_length("body") >= LENGTH)
+    known = long.select("id", "a", "b", F.xxhash64("body").alias("x"), F.xxhash64(F.lit(1), "body").alias("y"), F.octet_length("body").alias("n"))
+    first = known.groupBy("x", "y", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    return known.join(first, ["x", "y", "n"]).where("id > first").select("a", "b").distinct()
+
+
+def covered_ranges(df: DataFrame, doc_id: str, text: str, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, str, str]:
+    """The rows with two columns more: their covered ranges, array<binary>, and whether they are covered whole; and these columns' names."""
     size = sketch.text_bytes(df, text)
     buckets = parts = min(1 << 24, max(16, -(-size // bucket_bytes)))
     spark = df.sparkSession
-    ranks = spark.sparkContext.broadcast(sketch.frequency_ranks(df, text, all_grams, sketch.bits_for(size))[0])  # 16 MB at most
-    number_name, key_a, key_b, mail_a, mail_b, ranges_name, flags_name = private(df, "id", "a", "b", "c", "d", "ranges", "flags")
+    ranks = spark.sparkContext.broadcast(sketch.frequency_ranks(df, text, all_grams, sketch.bits_for(size, SKETCH_BYTES))[0])  # 16 MB at most
+    id_name, key_a, key_b, mail_a, mail_b, ranges, flags, copied = private(df, "id", "a", "b", "c", "d", "ranges", "flags", "copied")
     known, body = F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit(""))
-    own = df.withColumns({key_a: F.xxhash64(known, body), key_b: F.coalesce(known, F.xxhash64(F.lit(1), body))})
     number = F.coalesce(known, F.lit(NO_ID))
+    own = df.withColumns({key_a: F.xxhash64(known, body), key_b: F.coalesce(known, F.xxhash64(F.lit(1), body))})
+    copies = later_copies(own.select(number.alias("id"), body.alias("body"), F.col(key_a).alias("a"), F.col(key_b).alias("b")))
 
     def mailed(rows: DataFrame, name: str) -> DataFrame:
         read = map_arrow(rows.repartition("part").sortWithinPartitions("part"), read_mail, "a long, b long, found array<binary>")
-        return read.select(F.col("a").alias(mail_a), F.col("b").alias(mail_b), F.col("found").alias(name))
+        return read.withColumnRenamed("found", name)
 
-    def with_mail(rows: DataFrame) -> DataFrame:
+    def with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
+        # left joins of whole rows only, by one key, so that one shuffle of the texts serves all of them
         met = (F.col(key_a) == F.col(mail_a)) & (F.col(key_b) == F.col(mail_b))
-        return own.join(rows.hint("shuffle_hash"), met, "left")
+        return rows.join(found.withColumnsRenamed({"a": mail_a, "b": mail_b}).hint("shuffle_hash"), met, "left").drop(mail_a, mail_b)
 
-    grams = map_arrow(own.select(number.alias("id"), body.alias("text"), key_a, key_b), send_grams(buckets, parts, ranks), "bucket int, blob binary")
+    told = with_found(own, copies.withColumn(copied, F.lit(True))).withColumn(id_name, number)
+    grams = map_arrow(told, send_grams(buckets, parts, ranks, (id_name, text, key_a, key_b, copied)), "bucket int, blob binary")
     shared = map_arrow(grams.repartition("bucket").sortWithinPartitions("bucket"), find_shared(parts), "part int, blob binary")
-    # left joins of whole rows only, so that both shuffles of the texts are the same and one serves both
-    flagged = with_mail(mailed(shared, flags_name)).withColumn(number_name, number)
-    segments = map_arrow(flagged, cut_segments(buckets, ranks, (number_name, text, key_a, key_b, flags_name)), "bucket int, kind byte, blob binary")
+    flagged = with_found(own, mailed(shared, flags)).withColumn(id_name, number)
+    segments = map_arrow(flagged, cut_segments(buckets, ranks, (id_name, text, key_a, key_b, flags)), "bucket int, kind byte, blob binary")
     covered = map_arrow(segments.repartition("bucket").sortWithinPartitions("bucket", "kind"), find_covered(parts), "part int, blob binary")
-    return with_mail(mailed(covered, ranges_name)).drop(key_a, key_b, mail_a, mail_b), ranges_name
+    done = with_found(with_found(own, copies.withColumn(copied, F.lit(True))), mailed(covered, ranges))
+    return done.drop(key_a, key_b), ranges, copied
 
 
 def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    joined, ranges = covered_ranges(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", **sizes)
+    joined, *names = covered_ranges(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", **sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for t, found, copied in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
-                kept, removed, spans = keep_bytes(raw, found)
+                kept, removed, spans = keep_bytes(raw, found, copied)
                 out.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return map_arrow(joined.select("doc_id", "text", ranges), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(joined.select("doc_id", "text", *names), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None, **sizes) -> DataFrame:
@@ -691,16 +714,17 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
 
     ``n_chars`` names a column to set to the new length. All other columns and their order stay.
     """
-    joined, ranges = covered_ranges(df, doc_id, text, **sizes)
+    joined, *names = covered_ranges(df, doc_id, text, **sizes)
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = {c: batch.column(c) for c in columns}
-            texts = [keep_bytes(t.encode("utf-8", "surrogatepass"), found)[0].decode("utf-8", "ignore") if found and t else t for t, found in zip(kept[text].to_pylist(), batch.column(ranges).to_pylist(), strict=True)]
+            found = zip(kept[text].to_pylist(), *(batch.column(c).to_pylist() for c in names), strict=True)
+            texts = [keep_bytes(t.encode("utf-8", "surrogatepass"), r, c)[0].decode("utf-8", "ignore") if (r or c) and t else t for t, r, c in found]
             kept[text] = pa.array(texts, pa.string())
             if n_chars is not None:
                 kept[n_chars] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(kept[n_chars].type)
             yield pa.RecordBatch.from_arrays([kept[c] for c in columns], names=columns)
 
-    return map_arrow(joined.select(*columns, ranges), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
+    return map_arrow(joined.select(*columns, *names), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
