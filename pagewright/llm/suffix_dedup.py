@@ -53,6 +53,7 @@ GRAM_BUCKETS = 4
 HELD = 700_000
 #: Bytes of text for each counter of the sketch.
 SKETCH_BYTES = 1024
+SALTS = 16
 NO_ID = 2**63 - 1
 KEY_BYTES = 5
 
@@ -652,13 +653,15 @@ def keep_bytes(raw: bytes, ranges: list[bytes] | None, copied: bool | None = Non
 def later_copies(rows: DataFrame) -> DataFrame:
     """Of rows (id, body, a, b), the keys (a, b) of those whose whole text a row with a smaller id has.
 
-    Only hashes travel. A text that very many rows have makes one large partition of small rows, of which AQE deals
-    parts to several tasks, as the other side of the join has one row for it.
+    Only hashes travel. The smallest id of each repeated text is sent to ``SALTS`` places, so that the rows of a text
+    that very many have are dealt over as many tasks.
     """
     long = rows.where(F.octet_length("body") >= LENGTH)
     known = long.select("id", "a", "b", F.xxhash64("body").alias("x"), F.xxhash64(F.lit(1), "body").alias("y"), F.octet_length("body").alias("n"))
     first = known.groupBy("x", "y", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    return known.join(first, ["x", "y", "n"]).where("id > first").select("a", "b").distinct()
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = known.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["x", "y", "n", "salt"])
+    return met.where("id > first").select("a", "b").distinct()
 
 
 def covered_ranges(df: DataFrame, doc_id: str, text: str, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, str, str]:
