@@ -46,7 +46,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("0001-load", token_counts.changes(docs, "insert", "words-1"))
     rollup.commit("0002-short", token_counts.changes(short, "delete", "words-1"))
     rollup.commit("0003-scrubbed", token_counts.changes(digits, "revise", "words-1", text=F.regexp_replace("text", "[0-9]+", "")))
-    rollup.commit("0004-second", token_counts.changes(docs, "insert", "pieces-1"))
+    rollup.commit("0004-bpe", token_counts.changes(token_counts.with_bpe_counts(docs, vocabulary(), out="n_tokens"), "insert", BPE, n_tokens=F.col("n_tokens")))
     rollup.commit("0002-short", token_counts.changes(short, "delete", "words-1"))
     return rollup.totals()
 
@@ -91,19 +91,44 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-OP5_SQL = r"""
-WITH counted AS (
-  SELECT source, lang, 'words-1' AS tokenizer, regexp_replace(text, '[0-9]+', '', 'g') AS body
-  FROM documents WHERE coalesce(length(text) >= 200, true)
+BPE = "byte_bpe_50k"
+#: White space as the vocabulary's pattern takes it, for a matcher whose own class is of ASCII alone.
+SPACE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+"
+
+
+def op5_sql() -> str:
+    """Words by a pattern; byte-pair tokens by merging, in distinct pieces, the pair of lowest rank until none is known.
+
+    White space before a word is cut before its last character (U+E000 marks the place), as the matcher has no look-ahead.
+    """
+    return rf"""
+WITH RECURSIVE ranks AS (
+  SELECT hex(from_base64(t)) AS token, r FROM read_csv('{vocabulary()}', delim = ' ', header = false, quote = '', escape = '', columns = {{'t': 'VARCHAR', 'r': 'INTEGER'}})),
+words AS (
+  SELECT source, lang, regexp_replace(text, '[0-9]+', '', 'g') AS body FROM documents WHERE coalesce(length(text) >= 200, true)),
+cut AS (
+  SELECT source, lang, unnest(string_split(regexp_replace(text, '([{SPACE}]+)([{SPACE}][^{SPACE}])', '\1' || chr(57344) || '\2', 'g'), chr(57344))) AS part FROM documents),
+pieces AS (
+  SELECT source, lang, hex(encode(piece)) AS piece, count(*) AS n FROM (SELECT source, lang, unnest(regexp_extract_all(part, '{PIECE.replace("'", "''")}')) AS piece FROM cut) GROUP BY ALL),
+merged(piece, parts) AS (
+  SELECT piece, list_transform(range(length(piece) // 2), lambda i: substr(piece, 2 * i + 1, 2))
+  FROM (SELECT DISTINCT piece FROM pieces) WHERE piece NOT IN (SELECT token FROM ranks)
   UNION ALL
-  SELECT source, lang, 'pieces-1', text FROM documents)
-SELECT source, lang, tokenizer, count(*) AS n_docs,
-  CAST(coalesce(sum(CASE WHEN tokenizer = 'words-1' THEN len(regexp_extract_all(body, '[^\x20\x09-\x0D]+'))
-    ELSE len(regexp_extract_all(body, '[\p{L}\p{M}]+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{M}\p{N}]+')) END), 0) AS BIGINT) AS n_tokens,
-  CAST(coalesce(sum(length(body)), 0) AS BIGINT) AS n_chars
-FROM counted GROUP BY source, lang, tokenizer
+  SELECT piece, list_concat(list_concat(parts[1 : k - 1], [parts[k] || parts[k + 1]]), parts[k + 2 :])
+  FROM (SELECT piece, parts, arg_min(i, CAST(r AS BIGINT) * 1000000 + i) AS k
+    FROM (SELECT piece, parts, unnest(range(1, len(parts))) AS i FROM merged) JOIN ranks ON token = parts[i] || parts[i + 1] GROUP BY piece, parts)),
+sizes AS (SELECT piece, min(len(parts)) AS tokens FROM merged GROUP BY piece),
+bpe AS (SELECT source, lang, sum(n * coalesce(tokens, 1)) AS n_tokens FROM pieces LEFT JOIN sizes USING (piece) GROUP BY ALL),
+loaded AS (SELECT source, lang, count(*) AS n_docs, coalesce(sum(length(text)), 0) AS n_chars FROM documents GROUP BY ALL)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, CAST(coalesce(sum(len(regexp_extract_all(body, '[^\x20\x09-\x0D]+'))), 0) AS BIGINT) AS n_tokens,
+  CAST(coalesce(sum(length(body)), 0) AS BIGINT) AS n_chars FROM words GROUP BY ALL
+UNION ALL
+SELECT l.source, l.lang, '{BPE}', l.n_docs, CAST(coalesce(b.n_tokens, 0) AS BIGINT), CAST(l.n_chars AS BIGINT)
+FROM loaded l LEFT JOIN bpe b ON b.source IS NOT DISTINCT FROM l.source AND b.lang IS NOT DISTINCT FROM l.lang
 """
 
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -118,6 +143,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op5_token_counts": OP5_SQL,
+    "op5_token_counts": op5_sql(),
     "op8_chat_format": OP8_SQL,
 }
