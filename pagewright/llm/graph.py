@@ -12,7 +12,9 @@ def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that each node of ``links`` (a long, b long) is connected with.
 
     Each round takes the smallest label of the neighbours and then the label of that label, so that the rounds grow with
-    the logarithm of the longest path. Each round's labels are written to the shared folder.
+    the logarithm of the longest path. Each round's labels are written to the shared folder. The nodes of a giant
+    component meet on one label in the second join; the other side has one row for it, so that AQE's handling of skewed
+    joins deals them to several tasks.
     """
     pairs = links.where("a <> b").select("a", "b")
     both = saved(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")

@@ -35,6 +35,11 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 #: Bytes of a tar file that one task reads.
 READ_BYTES = 16 << 20
+#: Digests of more rows than this are joined by broadcast; where there would be more than HOT_DIGESTS of them, the limit
+#: rises with the number of rows, so that no more than HOT_DIGESTS (some 300 bytes each) can pass it.
+HOT_ROWS, HOT_DIGESTS = 1_000, 50_000
+# Names of file systems that Spark's readers use, and what Arrow calls the same.
+ALIASES = {"s3a://": "s3://", "s3n://": "s3://", "dbfs:/": "file:///dbfs/"}
 
 
 def pad(raw: bytes, unit: int = WIDTH) -> bytes:
@@ -92,7 +97,7 @@ class TarShards:
     def __init__(self, folder: str):
         from pyarrow import fs
 
-        self.files, self.root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith(("file:", "/")) else f"file://{folder}")
+        self.files, self.root = fs.FileSystem.from_uri(_uri(folder))
         self.files.create_dir(self.root, recursive=True)
         self.out, self.name, self.at = None, "", 0
 
@@ -134,6 +139,10 @@ class RangeReader:
 
 
 def _uri(folder: str) -> str:
+    """The folder's address as Arrow writes it."""
+    for spark_name, arrow_name in ALIASES.items():
+        if folder.startswith(spark_name):
+            folder = arrow_name + folder[len(spark_name) :]
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
 
@@ -203,6 +212,17 @@ def features(places: DataFrame, folder: str) -> DataFrame:
     return map_arrow(places, run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def _join_by_digest(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """Rows with what is known about their payload; payloads that very many rows share come to the rows instead."""
+    counts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    least = max(HOT_ROWS, rows.count() // HOT_DIGESTS)
+    often = saved(counts.where(F.col("n") > least).select("digest"), "often")
+    if often.isEmpty():
+        return rows.join(about, "digest")
+    hot, few = F.broadcast(often), F.broadcast(about.join(F.broadcast(often), "digest", "left_semi"))
+    return rows.join(hot, "digest", "left_anti").join(about, "digest").unionByName(rows.join(hot, "digest", "left_semi").join(few, "digest"))
+
+
 def stored_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """Store every text, read all payloads back, and return their measures and places for each row."""
     folder = folder or workspace(df.sparkSession, "media")
@@ -212,5 +232,5 @@ def stored_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fold
     measured = features(known.select("digest", "shard", "offset", "length"), folder)
     # both come from the same places; joined by digest they are one small row for each payload
     about = measured.join(known, "digest")
-    joined = rows.select("doc_id", "n_bytes", "digest").join(about, "digest")
+    joined = _join_by_digest(rows.select("doc_id", "n_bytes", "digest"), about)
     return joined.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length", "width", "height")
