@@ -60,11 +60,53 @@ def test_batches_are_idempotent(spark, awkward):
             rollup.commit(bad, change)
 
 
+def test_few_buckets_are_read_and_history_is_compacted(spark, awkward):
+    docs = awkward.select("doc_id", "source", "lang", "text")
+    rollup = token_counts.Rollup(spark, workspace(spark, "t"), buckets=8)
+    assert not rollup.compact()
+    rollup.commit("1", token_counts.changes(docs, "insert", "words-1"))
+    few = docs.where("doc_id in (3, 9)")
+    rollup.commit("2", token_counts.changes(few, "revise", "words-1", text=F.lit("one two")))
+    totals, state = sorted(map(str, rollup.totals().collect())), sorted(map(str, rollup.state().collect()))
+    assert sum(r.n_tokens for r in rollup.state().where("doc_id in (3, 9)").collect()) == 4
+    buckets = {r.bucket for r in rollup.state().select(rollup._bucket()).distinct().collect()}
+    assert len(buckets) > 2 and len(rollup.state([0]).collect()) + len(rollup.state(list(range(1, 8))).collect()) == len(state)
+    assert rollup.compact() and len(rollup._live()) == 1
+    assert sorted(map(str, rollup.totals().collect())) == totals and sorted(map(str, rollup.state().collect())) == state
+    assert not rollup.commit("2", token_counts.changes(few, "delete", "words-1"))  # known, though compacted
+    assert rollup.commit("3", token_counts.changes(docs, "delete", "words-1")) and rollup.totals().count() == 0
+    assert rollup.compact() and rollup.state().count() == 0 and rollup.totals().count() == 0
+
+
+def test_the_slower_of_two_writers_is_not_read(spark, awkward):
+    docs = awkward.select("doc_id", "source", "lang", "text")
+    rollup = token_counts.Rollup(spark, workspace(spark, "t"))
+    rollup._write("1-slow", token_counts.changes(docs, "insert", "words-1").select("doc_id", "tokenizer", "source", "lang", "n_tokens", "n_chars", F.lit(1).alias("sign")))
+    assert rollup.commit("1", token_counts.changes(docs.where("doc_id = 0"), "insert", "words-1"))
+    assert not rollup._seal("1", "1-slow") and rollup.state().count() == 1
+
+
+def test_bpe_counts(spark, awkward, nothing):
+    import public_tokenizers
+    import tiktoken
+
+    from pagewright.llm import bpe
+    from pagewright.llm.queries import vocabulary
+
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(vocabulary()), special_tokens={})
+    frame = awkward.withColumn("__text", F.col("text"))
+    got = token_counts.with_bpe_counts(frame, vocabulary()).collect()
+    assert len(got) == awkward.count() and all(r.n_tokens == len(encoding.encode_ordinary(r["__text"] or "")) for r in got)
+    assert token_counts.with_bpe_counts(nothing, vocabulary()).count() == 0
+
+
 def test_broken_attempt_is_overwritten(spark, awkward):
     docs = awkward.select("doc_id", "source", "lang", "text").where("doc_id < 5")
     path = workspace(spark, "t")
     rollup = token_counts.Rollup(spark, path)
-    spark.range(3).write.parquet(f"{path}/ledger/batch=1")  # what an attempt left that never committed
+    spark.range(3).write.parquet(f"{path}/batches/1-dead/ledger")  # what an attempt left that never committed
+    rollup._fs.mkdirs(rollup._path(f"{path}/commits"))
+    rollup._fs.create(rollup._path(f"{path}/commits/1"), False).close()  # and one that died while committing
     assert rollup.totals().count() == 0 and rollup.commit("1", token_counts.changes(docs, "insert", "words-1"))
     assert rollup.totals().agg(F.sum("n_docs")).first()[0] == 5
 
@@ -87,6 +129,15 @@ def test_media(spark, awkward, nothing):
     assert media.stored_texts(nothing).count() == 0
 
 
+def test_payloads_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(media, "HOT_ROWS", 3)
+    docs = spark.createDataFrame([(i, "same" if i < 20 else None if i < 30 else f"own {i}") for i in range(40)], "doc_id long, text string").repartition(5)
+    out = media.stored_texts(docs).collect()
+    want = {i: hashlib.sha256((b"same" if i < 20 else b"" if i < 30 else b"own %d" % i).ljust(64, b"\0")).hexdigest() for i in range(40)}
+    assert {r.doc_id: r.payload_sha256 for r in out} == want and len(out) == 40
+    assert media._uri("s3a://b/x") == "s3://b/x" and media._uri("dbfs:/x") == "file:///dbfs/x" and media._uri("/x") == "file:///x"
+
+
 def test_tar_files_are_tar_files(spark, tmp_path):
     import tarfile
 
