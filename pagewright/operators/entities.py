@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import identity
 from ..functions.text import fold, fold_with_offsets, whole_word_places
-from ..schemas import ENTITIES, ner
+from ..schemas import ENTITIES, arrow_type, ner
 from ..sources.shared import saved
 
+FOUND = arrow_type(ENTITIES)
+
 # ---- positions -------------------------------------------------------------------------------------------------
 
 
@@ -252,11 +255,33 @@ def propagate(text: str, words: Sequence[str], phrases: Sequence[tuple[str, list
     return sorted(out, key=lambda e: (e["start"], e["entity_group"]))
 
 
+#: What the keys of phrases without a word begin with; no word does.
+SIGNS = " "
+
+
+def _pieces(folded: Column) -> Column:
+    """The words of a folded text, each once."""
+    return F.array_distinct(F.filter(F.split(folded, r"(?U)[^\p{L}\p{M}\p{N}]+"), lambda w: w != ""))
+
+
+def _longest(words: Column) -> Column:
+    """The longest word, the first of equal ones; null where there is none."""
+    ranked = F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
+    return F.get(ranked, 0)["w"]
+
+
+def _runs_of_signs(folded: Column, size: int) -> Column:
+    """Every run of so many characters that are no part of a word, each once, as the keys of phrases without a word."""
+    found = F.regexp_extract_all(folded, F.lit(rf"(?U)(?=([^\p{{L}}\p{{M}}\p{{N}}]{{{size}}}))"), 1)
+    return F.transform(F.array_distinct(found), lambda r: F.concat(F.lit(SIGNS), r))
+
+
 def consistent(df: DataFrame, ner_col: str = "ner", text_col: str = "text", scope: list[str] | None = None, out: str | None = None, min_length: int = 3, min_score: float = 0.0, resolve_conflicts: bool = True, override: bool = True, row_scope: bool = False) -> DataFrame:
     """Make entities consistent: over all rows, within a scope of columns, or (``row_scope``) within each row.
 
-    An entity stays without a phrase only if the vocabulary as a whole is not empty. The vocabulary is one aggregate. A row only needs the phrases that its text has, so phrases are matched to rows by
-    the first folded word of each, an equi-join; neither side is broadcast by force.
+    An entity stays without a phrase only if the vocabulary as a whole is not empty. The vocabulary is one aggregate. A
+    row only needs the phrases that its text has: phrases are matched to rows by the longest word of each, an equi-join,
+    and phrases without a word by their first signs, which few texts have. Neither side is broadcast by force.
     """
     out = out or ner_col
     # written once: both sides of the joins below must see the same row numbers
@@ -267,20 +292,23 @@ def consistent(df: DataFrame, ner_col: str = "ner", text_col: str = "text", scop
     words = vocabulary(rows, min_length=min_length, min_score=min_score, scope=scope)
     words = top_label(words, scope) if resolve_conflicts else words
     entry = words.groupBy(*scope, "phrase").agg(F.sort_array(F.collect_list(F.struct("label", "score"))).alias("labels"))
-    pieces = lambda c: F.filter(F.split(c, r"(?U)[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
-    entry = entry.withColumn("__first", F.coalesce(F.get(pieces(F.col("phrase")), 0), F.lit("")))
+    signs = max(1, min(3, int(min_length)))
+    entry = entry.withColumn("__key", F.coalesce(_longest(_pieces(F.col("phrase"))), F.concat(F.lit(SIGNS), F.substring("phrase", 1, signs))))
     own = base.select(*dict.fromkeys(["__row", *scope]), fold(F.col(f"{text_col}.text")).alias("__folded"))
-    tokens = own.select("*", F.explode(F.array_union(pieces(F.col("__folded")), F.array(F.lit("")))).alias("__first")).drop("__folded")
-    matched = tokens.join(entry, [*scope, "__first"]).groupBy("__row").agg(F.sort_array(F.collect_set(F.struct("phrase", "labels"))).alias("__phrases"))
-
-    @F.pandas_udf(ENTITIES)
-    def apply(texts: pd.Series, boxes: pd.Series, entities: pd.Series, phrases: pd.Series) -> pd.Series:
-        made = []
-        for text, near, found, known in zip(texts, boxes, entities, phrases, strict=True):
-            pairs = [(k["phrase"], [(x["label"], x["score"]) for x in k["labels"]]) for k in (known if known is not None else [])]
-            near = [dict(b) for b in (near if near is not None else [])]
-            made.append(propagate(text or "", [b["text"] for b in near], pairs, [dict(e) for e in (found if found is not None else [])], near, override))
-        return pd.Series(made)
+    keys = F.array_union(_pieces(F.col("__folded")), _runs_of_signs(F.col("__folded"), signs))
+    tokens = own.select("*", F.explode(keys).alias("__key")).drop("__folded")
+    matched = tokens.join(entry, [*scope, "__key"]).groupBy("__row").agg(F.sort_array(F.collect_set(F.struct("phrase", "labels"))).alias("__phrases"))
+
+    @F.arrow_udf(ENTITIES)
+    def apply(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for texts, boxes, entities, phrases in batches:
+            made = []
+            for i, (found, known) in enumerate(zip(entities.to_pylist(), phrases.to_pylist(), strict=True)):
+                pairs = [(k["phrase"], [(x["label"], x["score"]) for x in k["labels"]]) for k in known or []]
+                # only rows with a phrase need their text and boxes
+                near = (boxes[i].as_py() or []) if pairs else []
+                made.append(propagate((texts[i].as_py() or "") if pairs else "", [b["text"] for b in near], pairs, found or [], near, override))
+            yield pa.array(made, FOUND)
 
     joined = base.join(matched, "__row", "left")
     fixed = apply(F.col(f"{text_col}.text"), F.col(f"{text_col}.bboxes"), F.col(f"{ner_col}.entities"), F.col("__phrases"))

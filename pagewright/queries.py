@@ -94,6 +94,18 @@ def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text"))
 
 
+def each(df: DataFrame, key: str, array: str) -> DataFrame:
+    """key, e: one row for each element. The outer form keeps the optimizer from testing the array's size below a shuffle,
+    for which functions that make it would run twice."""
+    return df.select(key, F.explode_outer(array).alias("e")).where(F.col("e").isNotNull())
+
+
+def dealt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that is much more than reading: a table of fewer parts than cores is dealt to all cores."""
+    docs, cores = text_documents(spark, sf_dir), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def digits(width: int) -> Column:
     return F.lpad((F.col("l_orderkey") * 1000003 + F.col("l_partkey")).cast("string"), width, "4")
 
@@ -145,7 +157,7 @@ def cond_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT doc_id, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS n FROM documents)
 SELECT n >= 100 AS usable, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_boxes FROM w GROUP BY 1""")
 def usable_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = as_document(text_documents(spark, sf_dir), "doc_id", "text")
+    docs = as_document(dealt_documents(spark, sf_dir), "doc_id", "text")
     usable = compile_condition(validate(usable_text_layer("document", 100)), docs.schema)
     return docs.groupBy(usable.alias("usable")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("document.bboxes")).alias("n_boxes"))
 
@@ -235,7 +247,7 @@ e AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS
 s AS (SELECT doc_id, pos, word, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e)
 SELECT doc_id, count(*) AS n, CAST(sum(start * (pos % 7 + 1)) AS BIGINT) AS weighted, CAST(max(start + length(word)) AS BIGINT) AS last FROM s GROUP BY doc_id""")
 def word_split_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = word_offsets(text_documents(spark, sf_dir), "doc_id", "text")
+    words = word_offsets(dealt_documents(spark, sf_dir), "doc_id", "text")
     return words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("start") * (F.col("pos") % 7 + 1)).cast("long").alias("weighted"), F.max(F.col("start") + F.length("word")).cast("long").alias("last"))
 
 
@@ -658,16 +670,16 @@ def page_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pattern_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = as_document(text_documents(spark, sf_dir), "doc_id", "text")
-    found = patterns.pattern_entities(docs).select("doc_id", F.explode("ner.entities").alias("e"))
+    docs = as_document(dealt_documents(spark, sf_dir), "doc_id", "text")
+    found = each(patterns.pattern_entities(docs), "doc_id", "ner.entities")
     return found.select("doc_id", "e.entity_group", F.round("e.score", 6).alias("score"), "e.word", "e.start", F.col("e.end").alias("end_"), F.size("e.boxes").alias("n_boxes"))
 
 
 def entity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to pattern entities, made consistent over all documents, counted by label and source."""
-    docs = as_document(text_documents(spark, sf_dir), "doc_id", "text")
+    docs = as_document(dealt_documents(spark, sf_dir), "doc_id", "text")
     pipeline = registry.preset("patterns")
-    found = pipeline.transform(docs).select("doc_id", F.explode("ner.entities").alias("e"))
+    found = each(pipeline.transform(docs), "doc_id", "ner.entities")
     return found.groupBy(F.col("e.entity_group").alias("label"), F.col("e.source").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.round(F.avg("e.score"), 6).alias("mean_score"))
 
 
@@ -677,12 +689,12 @@ QUERIES["ner_consistency"] = entity_report
 @query()
 def ner_merger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns on the first half of each document's boxes and on all of them, merged in the whole document's offsets."""
-    whole = as_document(text_documents(spark, sf_dir), "doc_id", "text").withColumnRenamed("document", "merged")
+    whole = as_document(dealt_documents(spark, sf_dir), "doc_id", "text").withColumnRenamed("document", "merged")
     half = F.slice(F.col("merged.bboxes"), 1, (F.size("merged.bboxes") / 2).cast("int"))
     docs = whole.withColumn("document", document(B.text_of(half), half))
     delta = docs.withColumn("delta", E.document_delta(F.col("document"), F.col("merged")))
     read = patterns.pattern_entities(patterns.pattern_entities(delta, "document", "ner"), "delta", "delta_ner")
-    merged = registry.NerMerger().run(read).select("doc_id", F.explode("ner.entities").alias("e"))
+    merged = each(registry.NerMerger().run(read), "doc_id", "ner.entities")
     return merged.select("doc_id", "e.entity_group", "e.word", "e.start", F.col("e.end").alias("end_"))
 
 
@@ -782,7 +794,7 @@ def map_chars_to_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def owners(texts: pd.Series, words: pd.Series) -> pd.Series:
         return pd.Series([E.char_to_box(t, list(w)) for t, w in zip(texts, words, strict=True)])
 
-    docs = as_document(text_documents(spark, sf_dir), "doc_id", "text")
+    docs = as_document(dealt_documents(spark, sf_dir), "doc_id", "text")
     mapped = docs.select("doc_id", F.posexplode(owners("document.text", F.transform("document.bboxes", lambda b: b["text"]))).alias("pos", "box"))
     return E.extent_by_box(mapped, ["doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("lo") * 3 + F.col("hi")).alias("code"))
 
@@ -846,7 +858,7 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming.page_order import run_pages
 
     folder = workspace(spark, "stream")
-    docs = as_document(text_documents(spark, sf_dir), "doc_id", "text")
+    docs = as_document(dealt_documents(spark, sf_dir), "doc_id", "text")
     docs.repartition(6, "doc_id").write.parquet(f"{folder}/in")
     pipeline = registry.pipeline_from_descriptors([{"type": "RegexNer", "options": {"inputCol": "document", "labels": ["EMAIL", "PHONE", "DATE"]}, "when": {"path": "document.bboxes.length", "gte": 20}}])
     source = spark.read.parquet(f"{folder}/in")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +29,37 @@ KINDS = {
 }
 
 
+# The simple types that the column types are made of, as Arrow names them.
+ARROW = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def arrow_type(ddl: str) -> pa.DataType:
+    """The Arrow type of a column type written as above."""
+    tokens = re.findall(r"\w+|[<>,:]", ddl)
+
+    def read() -> pa.DataType:
+        kind = tokens.pop(0)
+        if kind not in ("array", "struct"):
+            return ARROW[kind]
+        tokens.pop(0)  # <
+        if kind == "array":
+            out = pa.list_(read())
+        else:
+            fields = []
+            while True:
+                name = tokens.pop(0)
+                tokens.pop(0)  # :
+                fields.append(pa.field(name, read()))
+                if tokens[0] != ",":
+                    break
+                tokens.pop(0)
+            out = pa.struct(fields)
+        tokens.pop(0)  # >
+        return out
+
+    return read()
+
+
 def lit_or(value, default) -> Column:
     return value if isinstance(value, Column) else F.lit(default if value is None else value)
 

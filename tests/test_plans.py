@@ -129,3 +129,33 @@ def test_models_and_hues(tmp_path):
     assert set(models.status(str(tmp_path), [{"type": "GlinerNer"}]).values()) == {False} and models.MODELS["gliner-small"].size > 3e8
     assert hue_of("PERSON-NAME") == hue_of("person") == 216 and hue_of("a") == 97 and 0 <= hue_of("some other group") < 360
     assert models.parallelism(8, "throughput") == {"workers": 8, "threads": 1, "pages_in_flight": 1}
+
+
+def test_documents_are_made_row_by_row(spark):
+    from pagewright.operators.words import as_document, word_offsets
+
+    rows = [(1, "ab  c"), (1, "d"), (None, "ef g"), (None, None), (2, "")]
+    docs = as_document(spark.createDataFrame(rows, "doc_id int, text string"), "doc_id", "text")
+    got = [(r.doc_id, r.document.text, [(b.text, b.x, b.width) for b in r.document.bboxes]) for r in docs.collect()]
+    assert got == [(1, "ab  c", [("ab", 0, 20), ("c", 40, 10)]), (1, "d", [("d", 0, 10)]), (None, "ef g", [("ef", 0, 20), ("g", 30, 10)]), (None, "", []), (2, "", [])]
+    assert "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
+    words = word_offsets(spark.createDataFrame(rows, "doc_id int, text string"), "doc_id", "text")
+    assert [tuple(w) for w in words.collect()] == [(1, 0, "ab", 0), (1, 1, "", 3), (1, 2, "c", 4), (1, 0, "d", 0), (None, 0, "ef", 0), (None, 1, "g", 3), (2, 0, "", 0)]
+
+
+def test_phrases_are_matched_by_any_key(spark):
+    """Against the same phrases given to every row."""
+    from pagewright.operators import entities
+    from pagewright.operators.words import as_document
+
+    texts = ["see the long Phrase here", "a LONG phrase", "*** and +++", "x*** y", "+++", "the", "", "phrase long", "* * *"]
+    marked = {0: [("long Phrase", 8)], 2: [("***", 0), ("+++", 8)], 5: [("the", 0)], 8: [("* * *", 0)]}
+    docs = as_document(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "doc_id", "text")
+    lists = [(i, [{"entity_group": "G", "score": 0.9, "word": w, "start": a, "end": a + len(w), "boxes": [], "source": "model"} for w, a in marked.get(i, [])]) for i in range(len(texts))]
+    found = spark.createDataFrame(lists, f"doc_id int, entities {entities.ENTITIES}")
+    rows = docs.join(found, "doc_id").withColumn("ner", entities.ner(F.col("entities"))).drop("entities")
+    vocabulary = [(w.lower(), [("G", 0.9)]) for ws in marked.values() for w, _ in ws]
+    want = {i: [(e["start"], e["end"], e["entity_group"]) for e in entities.propagate(t, [], vocabulary, lists[i][1])] for i, t in enumerate(texts)}
+    got = entities.consistent(rows, "ner", "document").collect()
+    assert {r.doc_id: [(e.start, e.end, e.entity_group) for e in r.ner.entities] for r in got} == want
+    assert want[3] and want[1] and not want[7]

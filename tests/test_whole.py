@@ -51,7 +51,7 @@ def test_every_source_is_drawn_and_lists_hold(spark):
     boxes = [F.array(box(F.lit("a"), F.lit(1.0), F.lit(x), F.lit(4.0), F.lit(6.0), F.lit(6.0), F.lit(0.0))).cast(BOXES) for x in (2.0, 22.0, 42.0)]
     entity = lambda group, found: F.struct(F.lit(group).alias("entity_group"), F.lit(0.9).alias("score"), F.lit("w").alias("word"), F.lit(0).alias("start"), F.lit(1).alias("end"), found.alias("boxes"), F.lit("").alias("source"))
     found = ner(F.array(entity("EMAIL", boxes[1]), entity("DATE", boxes[2])).cast(ENTITIES))
-    rows = spark.range(1).select(image(F.lit(page), F.lit("a")).alias("image"), F.struct(boxes[0].alias("bboxes")).alias("boxes"), found.alias("ner"), F.struct(F.lit(None).cast(BOXES).alias("bboxes")).alias("none"))
+    rows = spark.createDataFrame([(page,)], "page binary").select(image(F.col("page"), F.lit("a")).alias("image"), F.struct(boxes[0].alias("bboxes")).alias("boxes"), found.alias("ner"), F.struct(F.lit(None).cast(BOXES).alias("bboxes")).alias("none"))
 
     def centres(**options):
         (r,) = registry.ImageDrawBoxes(inputCols=["image", "boxes", "ner", "none"], filled=True, **options).run(rows).collect()
