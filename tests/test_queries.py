@@ -23,6 +23,12 @@ def test_every_query_without_sql_is_known():
     assert len(queries.QUERIES) > 60
 
 
+@pytest.mark.parametrize("name", ["pattern_entities", "ner_consistency", "ner_merger", "join_fragments", "merge_overlapping", "dedupe_readings"])
+def test_larger_tables_match_sql(spark, name):
+    larger = SF.replace("0.001", "0.01")
+    assert oracle.rows(queries.QUERIES[name](spark, larger).toPandas()) == oracle.rows(oracle.connect(larger).execute(queries.ORACLES[name]).df())
+
+
 def test_streamed_pages_equal_the_batch(spark):
     assert [tuple(r) for r in queries.stream_equals_batch(spark, SF).collect()] == [("rows", 200)]
 
