@@ -7,29 +7,35 @@ given plain values and returns a plain record. Without their engine they write a
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import presets
+from ..functions.boxes import merge_overlapping
 from ..functions.text import CHUNK_LENGTH, CHUNK_STRIDE
 from ..operators import entities, images, merging, patterns
 from ..schemas import KINDS, empty
+from . import bodies
 from .errors import ConfigError, format_exception, upstream
 from .pages import explode_pages
-from .stage import BASE, ORDER, Pipeline, Run, Stage, in_range, place
+from .stage import BASE, ORDER, Pipeline, Run, Stage, in_range, place, positive_int
 
 
 class EngineStage(Stage):
-    """A map over one column by an engine: ``engine(value, params) -> record``, both plain Python values."""
+    """A map over one column by an engine: ``engine(value, params) -> record``, both plain Python values.
+
+    Where ``body`` is given, it makes the record with the engine's help, and the engine has the form that it asks for.
+    """
 
     engine = "engine"
+    body: Callable | None = None
 
     def apply(self, df: DataFrame, run: Run) -> Column:
         kind, name, params = KINDS[self.kind], self.name, dict(self.params)
-        call = run.engines.get(self.engine)
+        call, body = run.engines.get(self.engine), self.body
         inputs = self.reads()
         if call is None:
             missing = self.failure(f"{name}: ConfigError: no engine {self.engine!r} was given")
@@ -50,7 +56,8 @@ class EngineStage(Stage):
                     rows.append((None, bad))
                     continue
                 try:
-                    rows.append((call({**json.loads(value), "data": None if blob is None else bytes(blob)}, params), ""))
+                    given = {**json.loads(value), "data": None if blob is None else bytes(blob)}
+                    rows.append((call(given, params) if body is None else body(call, given, params), ""))
                 except Exception as e:  # the contract: a row that fails says so
                     if params["propagateError"]:
                         raise
@@ -103,8 +110,9 @@ class PageEngineStage(Stage):
         return place(wide.withColumn(out, F.when(done["error"] != "", empty(self.kind, exception=done["error"])).otherwise(done["value"])), F.col(page))
 
 
-def _stage(name: str, kind: str, base: type[Stage] = EngineStage, engine: str = "", expands: bool = False, barrier: bool = False, checks: dict | None = None, **defaults) -> type[Stage]:
-    return type(name, (base,), {"name": name, "kind": kind, "defaults": defaults, "engine": engine or name, "expands": expands, "barrier": barrier, "checks": checks or {}})
+def _stage(name: str, kind: str, base: type[Stage] = EngineStage, engine: str = "", expands: bool = False, barrier: bool = False, checks: dict | None = None, body: Callable | None = None, **defaults) -> type[Stage]:
+    own = {"name": name, "kind": kind, "defaults": defaults, "engine": engine or name, "expands": expands, "barrier": barrier, "checks": checks or {}}
+    return type(name, (base,), own | ({"body": staticmethod(body)} if body else {}))
 
 
 SHARE = in_range(0, 1)
@@ -119,14 +127,29 @@ PdfEmbeddedImages = _stage(
 )
 IMAGE_IN = {"inputCol": "image", **KEEP}
 PaddleTextDetector = _stage("PaddleTextDetector", "boxes", engine="paddle-detect", checks={"scoreThreshold": SHARE}, outputCol="boxes", preset=presets.DEFAULT, presetCol="", scoreThreshold=0, **IMAGE_IN)
-DbnetOnnxDetector = _stage(
-    "DbnetOnnxDetector", "boxes", engine="dbnet", checks={"scoreThreshold": SHARE}, outputCol="boxes", model="", scoreThreshold=0.3, binaryThreshold=0.5, unclipRatio=2.5, mergeBoxes=True,
-    squareInput=False, pack=False, packMaxScale=2, packGutter=64, **IMAGE_IN,
+_TextDetector = _stage(
+    "DbnetOnnxDetector", "boxes", engine="dbnet", checks={"scoreThreshold": SHARE, "binaryThreshold": SHARE}, body=bodies.text_regions, outputCol="boxes", model="", scoreThreshold=0.3,
+    binaryThreshold=0.5, unclipRatio=2.5, mergeBoxes=True, squareInput=False, pack=False, packMaxScale=2, packGutter=64, **IMAGE_IN,
 )
+
+
+class DbnetOnnxDetector(_TextDetector):
+    """Text boxes; those that overlap on a line are merged on request. Images are not packed on sheets."""
+
+    def __init__(self, **options):
+        super().__init__(**options)
+        if self.params["pack"]:
+            raise ConfigError("DbnetOnnxDetector reads one image at a time: pack is not supported")
+
+    def apply(self, df: DataFrame, run: Run) -> Column:
+        found = super().apply(df, run)
+        return found.withField("bboxes", merge_overlapping(found["bboxes"])) if self.params["mergeBoxes"] else found
+
+
 YOLO = {"model": "", "labels": [], "scoreThreshold": 0.2, "iouThreshold": 0.5, "padding": 0}
-YoloOnnxDetector = _stage("YoloOnnxDetector", "boxes", engine="yolo", checks={"scoreThreshold": SHARE, "iouThreshold": SHARE}, outputCol="boxes", outputType="yolo", **YOLO, **IMAGE_IN)
-SignatureDetector = _stage("SignatureDetector", "boxes", engine="yolo", outputCol="signatures", outputType="signature", **YOLO, **IMAGE_IN)
-FaceDetector = _stage("FaceDetector", "boxes", engine="yolo", outputCol="faces", outputType="face", **YOLO, **IMAGE_IN)
+YoloOnnxDetector = _stage("YoloOnnxDetector", "boxes", engine="yolo", checks={"scoreThreshold": SHARE, "iouThreshold": SHARE}, body=bodies.detections, outputCol="boxes", outputType="yolo", **YOLO, **IMAGE_IN)
+SignatureDetector = _stage("SignatureDetector", "boxes", engine="yolo", body=bodies.detections, outputCol="signatures", outputType="signature", **YOLO, **IMAGE_IN)
+FaceDetector = _stage("FaceDetector", "boxes", engine="yolo", body=bodies.detections, outputCol="faces", outputType="face", **YOLO, **IMAGE_IN)
 TesseractScriptDetector = _stage("TesseractScriptDetector", "script", engine="tesseract-script", outputCol="script", scoreThreshold=0, **IMAGE_IN)
 BOTH = {"inputCols": ["image", "boxes"], **IMAGE_IN}
 LineOrientationDetector = _stage("LineOrientationDetector", "boxes", engine="orientation", outputCol="oriented", orientationCol="orientations", model="", correct=True, onlyRotated=True, padding=2, imageType="png", **BOTH)
@@ -140,7 +163,7 @@ PaddleRecognizer = _stage(
 TesseractOcr = _stage("TesseractOcr", "document", engine="tesseract", outputCol="text", lang=["eng"], **{k: v for k, v in READ.items() if k != "boxLevel"}, **IMAGE_IN)
 TesseractRecognizer = _stage("TesseractRecognizer", "document", engine="tesseract-lines", outputCol="text", lang=["eng"], detectLineOrientation=True, onlyRotated=False, **READ, **REGIONS, **BOTH)
 GlinerNer = _stage(
-    "GlinerNer", "ner", engine="gliner", checks={"threshold": SHARE}, inputCol="text", outputCol="ner", model="", labels=[], threshold=0.5, whiteList=[], chunkLength=CHUNK_LENGTH,
+    "GlinerNer", "ner", engine="gliner", checks={"threshold": SHARE, "chunkLength": positive_int, "chunkStride": positive_int}, body=bodies.named_entities, inputCol="text", outputCol="ner", model="", labels=[], threshold=0.5, whiteList=[], chunkLength=CHUNK_LENGTH,
     chunkStride=CHUNK_STRIDE, normaliseCasing=True, **KEEP,
 )
 
@@ -163,6 +186,9 @@ class RegexNer(Stage):
 
     def transform(self, df: DataFrame, run: Run) -> DataFrame:
         p = self.params
+        for name in ("defaultCountry", "dateLocales"):
+            if p[name] != self.defaults[name] and not ("find_phones" in run.engines or "find_dates" in run.engines):
+                raise ConfigError(f"RegexNer: {name} is for an engine (find_phones, find_dates), and the run has none")
         engines = {k: run.engines[k] for k in ("find_phones", "find_dates") if p["useLibraries"] and k in run.engines}
         return patterns.pattern_entities(df, p["inputCol"], p["outputCol"], tuple(p["labels"]), tuple(p["countryLocales"]), threshold=p["threshold"], tolerant=p["ocrTolerant"], max_edits=p["maxEdits"], check=p["validate"], **engines)
 
@@ -300,6 +326,21 @@ PRESETS: dict[str, list[dict]] = {
 }
 
 
+def stage_specs() -> dict[str, dict]:
+    """For each stage what it reads and writes by default, the kind of its output, its scope, engine and options."""
+    out = {}
+    for name, kind in STAGES.items():
+        params = {**BASE, **kind.defaults}
+        also = [params[c] for c in ("placementCol", "orientationCol", "boxCol") if c in kind.defaults and name != "PdfMergeImageText"]
+        out[name] = {
+            "consumes": list(dict.fromkeys(params.get("inputCols") or [params["inputCol"]])), "produces": params["outputCol"], "kind": kind.kind, "alsoProduces": also,
+            "expands": kind.expands, "barrier": kind.barrier, "scope": "all rows" if kind.barrier else "group" if "groupByCols" in params else "row",
+            "pageScoped": issubclass(kind, PageEngineStage), "engine": getattr(kind, "engine", None) or None,
+            "params": {k: {"default": v, "type": type(v).__name__, "checked": k in kind.checks} for k, v in params.items()},
+        }
+    return out
+
+
 def create_stage(descriptor: dict) -> Stage:
     extra = set(descriptor) - {"type", "options", "id", "enabled", "when", "barrier", "runtime"}
     if extra:

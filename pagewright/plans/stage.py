@@ -1,6 +1,6 @@
 """Stages and pipelines: named DataFrame transformations with parameters, conditions and an error contract.
 
-A pipeline adds ``_ord`` to rows that have none, drops what is disabled while it is built, and checks that each stage's
+A pipeline gives rows that have none a place in ``_ord`` for as long as it works, drops what is disabled while it is built, and checks that each stage's
 input columns are there. A stage with a condition works on the rows that meet it; the others go round it untouched.
 """
 
@@ -130,7 +130,8 @@ class Pipeline:
         out = df if ORDER in df.columns else df.withColumn(ORDER, F.array(F.monotonically_increasing_id()))
         for stage in self.active(run):
             out = stage.run(out, run)
-        return out.orderBy(ORDER).drop(ORDER) if ordered else out
+        out = out.orderBy(ORDER) if ordered else out
+        return out if ORDER in df.columns and not ordered else out.drop(ORDER)
 
     def plan(self, run: Run | None = None) -> dict:
         """Ids that run, the ids that need all rows at once, and those that split a row into pages or parts."""

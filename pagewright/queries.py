@@ -22,6 +22,7 @@ from .operators import entities as E
 from .operators import layout, merging, patterns
 from .operators.words import as_document, word_offsets
 from .plans import errors, pages, registry
+from .plans.stage import Run
 from .schemas import BOXES, box, detection, document
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -917,6 +918,82 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two.select(F.lit("rows").alias("what"), "doc_id").unionAll(one.exceptAll(two).select(F.lit("only streamed"), "doc_id")).unionAll(two.exceptAll(one).select(F.lit("only batch"), "doc_id")).groupBy("what").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---- stages around a model: engines that need no weights, the rest of the stage as it is ---------------------------
+
+
+def digit_engine(text: str, labels: list[str], threshold: float) -> list[dict]:
+    """Runs of sixteen digits, labelled by the parity of the last and scored by it."""
+    found = [(m.start(), m.end(), int(m[0][-1])) for m in regex.finditer(r"(?<![0-9])[0-9]{16}(?![0-9])", text)]
+    return [{"start": a, "end": b, "label": labels[d % 2], "score": 0.5 + d / 20} for a, b, d in found if 0.5 + d / 20 >= threshold]
+
+
+@query(r"""WITH cut AS (SELECT doc_id, text, regexp_extract_all(text, '(?s)(.*?)([0-9]+)', 1) AS gaps, regexp_extract_all(text, '(?s)(.*?)([0-9]+)', 2) AS words FROM documents),
+spread AS (SELECT doc_id, text, unnest(gaps) AS gap, unnest(words) AS word, generate_subscripts(words, 1) AS nth FROM cut),
+placed AS (SELECT *, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY nth) - length(word) AS INTEGER) AS start FROM spread)
+SELECT doc_id, 'odd' AS label, word, start, CAST(start + 16 AS INTEGER) AS end_, round(0.5 + CAST(word[-1] AS INTEGER) / 20, 6) AS score, 1 AS n_boxes FROM placed
+WHERE length(word) = 16 AND CAST(word[-1] AS INTEGER) % 2 = 1 AND 0.5 + CAST(word[-1] AS INTEGER) / 20 >= 0.6""")
+def gliner_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in overlapping windows, the spans moved back, each once, one label of two, with boxes."""
+    docs = as_document(dealt_documents(spark, sf_dir), "doc_id", "text").withColumnRenamed("document", "text")
+    stage = registry.GlinerNer(labels=["even", "odd"], threshold=0.6, whiteList=["odd"])
+    found = each(stage.run(docs, Run(engines={"gliner": digit_engine})), "doc_id", "ner.entities")
+    return found.select("doc_id", F.col("e.entity_group").alias("label"), "e.word", "e.start", F.col("e.end").alias("end_"), F.round("e.score", 6).alias("score"), F.size("e.boxes").alias("n_boxes"))
+
+
+def blank_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White pictures of several sizes, one for each part."""
+    import numpy as np
+
+    from .operators import images
+    from .schemas import IMAGE
+
+    @F.pandas_udf(IMAGE)
+    def paint(keys: pd.Series) -> pd.DataFrame:
+        sizes = [(80 + k % 30, 100 + 4 * (k % 50)) for k in keys]
+        return pd.DataFrame([("memory", 72, images.encode_png(np.full((h, w, 4), 255, np.uint8)), "png", "", h, w) for h, w in sizes], columns=["path", "resolution", "data", "imageType", "exception", "height", "width"])
+
+    return table(spark, sf_dir, "part").select("p_partkey", paint("p_partkey").alias("image"))
+
+
+def square_engine(planes):
+    """Four boxes in a square of 160 pixels: the second repeats the first, the last is weak."""
+    return [20, 60, 70, 90, 0.9, 1, 22, 61, 71, 92, 0.8, 1, 20, 60, 70, 90, 0.7, 0, 0, 0, 9, 9, 0.1, 0], [1, 4, 6]
+
+
+square_engine.size = 160
+
+
+@query("""WITH i AS (SELECT p_partkey, 100 + 4 * (p_partkey % 50) AS w, 80 + p_partkey % 30 AS h FROM part),
+s AS (SELECT *, least(160 / w, 160 / h) AS scale FROM i), p AS (SELECT *, trunc((160 - round_even(w * scale, 0)) / 2) AS px, trunc((160 - round_even(h * scale, 0)) / 2) AS py FROM s),
+c AS (SELECT *, (20 - px) / scale AS x0, (60 - py) / scale AS y0, (70 - px) / scale AS x1, (90 - py) / scale AS y1 FROM p),
+b AS (SELECT *, greatest(0, x0 - 0.1 * (x1 - x0)) AS l, greatest(0, y0 - 0.1 * (y1 - y0)) AS t, least(w, x1 + 0.1 * (x1 - x0)) AS r, least(h, y1 + 0.1 * (y1 - y0)) AS u FROM c)
+SELECT p_partkey, label, round(score, 4) AS score, round(l, 4) AS x, round(t, 4) AS y, round(r - l, 4) AS width, round(u - t, 4) AS height
+FROM b, (VALUES ('class_1', 0.9), ('face', 0.7)) AS v(label, score)""")
+def yolo_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object detector's output decoded, moved back from the square, padded, clipped and suppressed by class."""
+    stage = registry.YoloOnnxDetector(model="m", labels=["face"], padding=0.1, scoreThreshold=0.2, iouThreshold=0.5)
+    found = each(stage.run(blank_images(spark, sf_dir), Run(engines={"yolo": square_engine})), "p_partkey", "boxes.bboxes")
+    sizes = [F.round(f"e.{c}", 4).alias(c) for c in ("x", "y", "width", "height")]
+    return found.select("p_partkey", F.col("e.text").alias("label"), F.round("e.score", 4).alias("score"), *sizes)
+
+
+def map_engine(planes):
+    """A text detector that sees one block of 40 by 12 pixels, at (20, 30) of its input."""
+    import numpy as np
+
+    values = np.zeros(planes.shape[2:], np.float32)
+    values[30:42, 20:60] = 0.9
+    return values
+
+
+@query("SELECT p_partkey, CAST(9 AS DOUBLE) AS x, CAST(19 AS DOUBLE) AS y, CAST(61 AS DOUBLE) AS width, CAST(33 AS DOUBLE) AS height, CAST(0.9 AS DOUBLE) AS score FROM part")
+def dbnet_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text detector's map cut into boxes, in the picture's pixels."""
+    stage = registry.DbnetOnnxDetector(model="m")
+    found = each(stage.run(blank_images(spark, sf_dir), Run(engines={"dbnet": map_engine})), "p_partkey", "boxes.bboxes")
+    return found.select("p_partkey", "e.x", "e.y", "e.width", "e.height", F.round("e.score", 2).alias("score"))
+
+
 # ---- planted strings beside what must come of them ---------------------------------------------------------------
 
 

@@ -159,3 +159,59 @@ def test_phrases_are_matched_by_any_key(spark):
     got = entities.consistent(rows, "ner", "document").collect()
     assert {r.doc_id: [(e.start, e.end, e.entity_group) for e in r.ner.entities] for r in got} == want
     assert want[3] and want[1] and not want[7]
+
+
+def test_pages_leave_no_place_behind(spark):
+    rows = spark.createDataFrame([("a 12.03.2024",)], "text string").select(document(F.col("text")).alias("document"))
+    pipeline = registry.pipeline_from_descriptors([{"type": "RegexNer", "options": {"inputCol": "document"}}])
+    assert pipeline.transform(rows).columns == ["document", "ner"]
+    kept = rows.withColumn("_ord", F.array(F.lit(7).cast("long")))
+    assert pipeline.transform(kept).columns == ["document", "_ord", "ner"]
+
+
+def test_stage_specs():
+    specs = registry.stage_specs()
+    assert set(specs) == set(registry.STAGES) and len(specs) == 24
+    assert specs["PdfMergeImageText"]["scope"] == "group" and specs["NerConsistency"]["scope"] == "all rows" and specs["PdfToImage"]["pageScoped"]
+    assert specs["ImageCropBoxes"]["alsoProduces"] == ["box"] and specs["GlinerNer"]["params"]["chunkLength"] == {"default": 500, "type": "int", "checked": True}
+
+
+def test_what_is_not_done_is_refused(spark):
+    with pytest.raises(ConfigError):
+        registry.DbnetOnnxDetector(model="m", pack=True)
+    rows = spark.createDataFrame([("a",)], "text string").select(document(F.col("text")).alias("text"))
+    with pytest.raises(ConfigError):
+        registry.RegexNer(defaultCountry="PL").run(rows)
+
+
+def test_model_stages_write_failures(spark):
+    rows = spark.createDataFrame([("x y",), ("",), (None,)], "text string").select(document(F.col("text"), exception=F.when(F.col("text").isNull(), "broken").otherwise("")).alias("text"))
+
+    def failing(text, labels, threshold):
+        raise RuntimeError("no weights")
+
+    got = [r.ner for r in registry.GlinerNer(labels=["A"]).run(rows, Run(engines={"gliner": failing})).collect()]
+    assert "no weights" in got[0].exception and got[1].exception == "" and got[1].entities == [] and "broken" in got[2].exception
+
+
+def test_windows_and_casing():
+    from pagewright.plans import bodies
+
+    assert [(a, len(t)) for a, t in bodies.windows("x" * 980, 500, 480)] == [(0, 500), (480, 500), (960, 20)]
+    assert [(a, len(t)) for a, t in bodies.windows("x" * 500, 500, 480)] == [(0, 500)] and list(bodies.windows("", 500, 480)) == []
+    seen = []
+    params = {"inputCol": "text", "chunkLength": 500, "chunkStride": 480, "labels": ["P"], "threshold": 0.5, "whiteList": [], "normaliseCasing": True}
+    engine = lambda text, labels, threshold: seen.append(text) or [{"start": 0, "end": 4, "label": "P", "score": 1}, {"start": 0, "end": 4, "label": "P", "score": 0.7}]
+    made = bodies.named_entities(engine, {"text": {"text": "JOHN SMITH", "bboxes": []}}, params)
+    assert seen == ["John Smith"] and [(e["word"], e["score"]) for e in made["entities"]] == [("JOHN", 1.0)]
+
+
+def test_sheets():
+    from pagewright.plans import bodies
+
+    sheets = bodies.pack_sheets([(50, 20), (100, 40), (60, 30), (400, 100)], 100, 1, 10)
+    assert [[(p["item"], p["x"], p["y"]) for p in s] for s in sheets] == [[(1, 0, 0), (2, 0, 50)], [(3, 0, 0), (0, 0, 35)]]
+    for sheet in sheets:
+        for i, p in enumerate(sheet):
+            assert p["x"] + p["width"] <= 100 and p["y"] + p["height"] <= 100
+            assert all(p["x"] >= q["x"] + q["width"] or q["x"] >= p["x"] + p["width"] or p["y"] >= q["y"] + q["height"] or q["y"] >= p["y"] + p["height"] for q in sheet[:i])
