@@ -33,6 +33,8 @@ SWITCH_PENALTY = 12.0
 #: A language is a candidate for a script that has this share of its training letters.
 SCRIPT_SHARE = 0.005
 BUCKETS = 1 << 16
+#: Counts of a language that come to the driver as one row.
+PACKED = 1 << 11
 #: Words of one Viterbi block: longer texts are cut into blocks that are joined exactly.
 BLOCK = 256
 CHUNK_CHARS = 1_000_000
@@ -275,10 +277,14 @@ def fit(df: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((1, 0), bool))
     part = rows.where(F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 20)) < max(1, round((1 << 20) * min(1.0, sample_rows / n))))
     counted = map_arrow(part.select(F.col(lang).alias("lang"), F.col(text).alias("text")), _count_batches, "lang string, feature int, n double")
-    # one row for each language comes back, of a fixed size, however many rows are counted
-    got = sorted(counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).groupBy("lang").applyInArrow(_pack_counts, "lang string, counts binary").collect())
-    langs = [r.lang for r in got]
-    counts = np.stack([np.frombuffer(r.counts, "<f4") for r in got], axis=1).astype(float) if got else np.zeros((BUCKETS + len(script_table()[2]), 0))
+    # for each language a number of rows of a fixed size come back, however many rows are counted
+    summed = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).withColumn("part", F.floor(F.col("feature") / PACKED))
+    got = summed.groupBy("lang", "part").applyInArrow(_pack_counts, "lang string, part long, counts binary").collect()
+    langs = sorted({r.lang for r in got})
+    counts = np.zeros((-(-(BUCKETS + len(script_table()[2])) // PACKED) * PACKED, len(langs)))
+    for r in got:
+        counts[r.part * PACKED : (r.part + 1) * PACKED, langs.index(r.lang)] = np.frombuffer(r.counts, "<f4")
+    counts = counts[: BUCKETS + len(script_table()[2])]
     grams, letters = counts[:BUCKETS], counts[BUCKETS:]
     smooth = grams + 0.5
     weights = np.log(smooth / smooth.sum(axis=0))
@@ -286,10 +292,10 @@ def fit(df: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text
 
 
 def _pack_counts(rows: pa.Table) -> pa.Table:
-    """One language's counts as one array of 32-bit numbers."""
-    counts = np.zeros(BUCKETS + len(script_table()[2]), "<f4")
-    counts[rows.column("feature").to_numpy()] = rows.column("n").to_numpy()
-    return pa.table({"lang": rows.column("lang")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
+    """Some of one language's counts as one array of 32-bit numbers."""
+    counts = np.zeros(PACKED, "<f4")
+    counts[rows.column("feature").to_numpy() % PACKED] = rows.column("n").to_numpy()
+    return pa.table({"lang": rows.column("lang")[:1], "part": rows.column("part")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
