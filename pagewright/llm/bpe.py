@@ -138,7 +138,7 @@ UNUSUAL = r"[^\x00-\x1b\x20-\x84\x86-\u052f]"
 #: The pieces that a byte-level pre-tokenizer cuts a text into, as the public vocabulary files give it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a worker keeps; beyond this many it starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
 
 
 class Pieces:

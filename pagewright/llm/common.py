@@ -26,9 +26,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 SLICE_ROWS = 512
 
 
+def give_back() -> None:
+    """Return memory that is free within the worker to the system: workers live on from stage to stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def sliced(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fn(batch.slice(a, SLICE_ROWS) for batch in batches for a in range(0, batch.num_rows, SLICE_ROWS))
+        yield from fn(batch.slice(a, SLICE_ROWS) for batch in batches for a in range(0, batch.num_rows, SLICE_ROWS))
+        give_back()
 
     return run
 

@@ -53,7 +53,7 @@ SKETCH_BYTES = 256
 FREQUENT, ABOVE_MEAN = 100_000, 16
 #: Rows (28 bytes each) that say where a text is compared; no more than these are broadcast, else the texts are shuffled.
 BROADCAST_PLACES = 250_000
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 400_000
 LEAF = 16
 #: The largest count in a group that the index tells from others.
 MOST = 65_535

@@ -22,7 +22,7 @@ LEAST_BITS, MOST_BITS = 16, 24
 PART = 1 << 14
 #: Groups of tasks whose parts are added up apart in the first round.
 LANES = 4
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 400_000
 NAMES = ["part", "lane", "counts"]
 SCHEMA = "part int, lane int, counts binary"
 

@@ -44,7 +44,7 @@ from .common import map_arrow, private
 LENGTH = 50
 GRAM = 20
 #: Bytes that are worked on at once; longer texts are cut into pieces that overlap by a window.
-PIECE = 1 << 20
+PIECE = 1 << 19
 PLACE_BITS = 21
 #: Text bytes for each bucket of segments, and buckets of segments that share one of grams; both bound what a task holds.
 BUCKET_BYTES = 6_000_000
