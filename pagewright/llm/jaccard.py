@@ -53,7 +53,7 @@ SKETCH_BYTES = 256
 FREQUENT, ABOVE_MEAN = 100_000, 16
 #: Rows (28 bytes each) that say where a text is compared; no more than these are broadcast, else the texts are shuffled.
 BROADCAST_PLACES = 250_000
-CHUNK_CHARS = 400_000
+CHUNK_CHARS = 1_000_000
 LEAF = 16
 #: The largest count in a group that the index tells from others.
 MOST = 65_535
@@ -273,6 +273,19 @@ def _open_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), batch.column(0), pa.array([int(h["rest"]) for h in heads], pa.int64()), pa.array([int(h["size"]) for h in heads], pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "mark", "rest", "n", "point"])
 
 
+def pair_may_link(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> bool:
+    """What the index says of two sets alone: their sizes first, then the summed minima of their counts."""
+    if 100 * min(size_a, size_b) < SIMILAR * max(size_a, size_b):
+        return False
+    if max(size_a, size_b) >= MOST:
+        a, b = unbounded(a), unbounded(b)
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < len(b):
+        b = b.reshape(-1, len(a)).sum(axis=0)
+    return (100 + SIMILAR) * int(np.minimum(a, b).sum()) >= SIMILAR * (size_a + size_b)
+
+
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key and parts: key, low, high, side, mark, n, point. Links sets that the index can't tell apart."""
     out_a: list[int] = []
@@ -280,7 +293,12 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, rows = None, {}
 
     def done() -> None:
-        if len(rows) > 1:
+        if len(rows) == 2:
+            (a, (side_a, n_a, point_a)), (b, (side_b, n_b, point_b)) = rows.items()
+            if (side_a != side_b or not side_a) and pair_may_link(np.frombuffer(point_a, "<u2"), np.frombuffer(point_b, "<u2"), n_a, n_b):
+                out_a.append(max(a, b))
+                out_b.append(min(a, b))
+        elif len(rows) > 2:
             marks = sorted(rows)
             points = [np.frombuffer(rows[m][2], "<u2") for m in marks]
             label = classes(points, np.array([rows[m][1] for m in marks], np.int64), lambda i, j: True, np.array([rows[m][0] for m in marks]))

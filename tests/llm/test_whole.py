@@ -99,3 +99,17 @@ def test_long_samples_are_cut_to_their_bytes(spark):
     docs = spark.createDataFrame([(i, passage(i, 50), 0) for i in range(60)], "doc_id long, text string, n_chars long")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     assert quality.fit(docs, labels, F.lit(True), sample_bytes=8_000) is not None
+
+
+def test_two_sets_alone_are_judged_like_many():
+    r = np.random.default_rng(11)
+    for _ in range(400):
+        a = np.unique(r.integers(0, 1 << 62, r.integers(1, 300), np.uint64))
+        b = np.unique(np.concatenate([a[: int(len(a) * r.uniform(0.7, 1))], r.integers(0, 1 << 62, r.integers(0, 1 + len(a) // 4), np.uint64)]))
+        if not len(b):
+            continue
+        points, sizes = [jaccard.group_counts(x) for x in (a, b)], np.array([len(a), len(b)])
+        both = jaccard.classes(points, sizes, lambda i, j: True).tolist() == [0, 0]
+        alone = jaccard.pair_may_link(*points, len(a), len(b))
+        assert alone or not jaccard.linked(a, b)
+        assert not alone or both
