@@ -431,6 +431,7 @@ class Segments:
             own, back = np.unique(owner[which], return_inverse=True)
             part = rows[which]
             part["row"] = back
+            part["at"] = np.diff(part["at"], prepend=np.uint32(0))  # steps, modulo 2^32: a periodic text has equal ones
             yield _part(bucket, 1, send, len(part), _columns(part) + who[own].T.astype("<i8").tobytes())
 
 
@@ -592,6 +593,7 @@ def _covered(blob: bytes, sent: dict[bytes, np.ndarray], least: np.ndarray, firs
     """Ranges of windows, by document, that an earlier document has."""
     raw = _open(blob[24:])
     places, at = _table(raw, PLACE, int(np.frombuffer(blob[16:24], "<i8")[0]))
+    places["at"] = np.cumsum(places["at"], dtype=np.uint32)
     who = np.frombuffer(raw[at:], "<i8").reshape(3, -1)
     segment = sent[blob[:16]][places["segment"]]
     count = places["count"].astype(np.int64)
