@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 
-from ..functions import geometry
+from ..functions import geometry, placing
 from ..functions.text import normalise_casing
 from ..operators import images
 from ..operators.entities import boxes_in_range, char_to_box
@@ -126,3 +126,47 @@ def pack_sheets(sizes: list[tuple[float, float]], side: int, max_scale: float, g
         sheets[-1].append({**p, "x": x, "y": y})
         x, shelf = x + p["width"] + gutter, max(shelf, p["height"])
     return sheets
+
+
+def text_page(engine, content: bytes, page: int, p: dict) -> dict:
+    """A page's document from its text runs: ``runs(content, page)`` and ``viewport(content, page, scale)`` are the engine's."""
+    view = engine.viewport(content, page, p["resolution"] / placing.POINTS_PER_INCH)
+    runs = [r for r in (placing.text_run(item, view) for item in engine.runs(content, page)) if r]
+    boxes = [b for r in runs for b in (geometry.split_run(r) if p["splitWords"] else [r["box"]])]
+    return {"path": "memory", "text": "\n".join(r["text"] for r in runs), "type": "pdf", "bboxes": boxes, "exception": ""}
+
+
+def embedded_images(engine, content: bytes, page: int, p: dict, layer: list[dict]) -> list[dict]:
+    """(image, placement) of the rasters that a page paints and its text layer doesn't cover already.
+
+    The engine gives ``operators(content, page)``, ``viewport(content, page, scale)`` and ``raster(content, page, id)``,
+    a dict of data, width, height and kind, or None where there is none. A raster that is painted often is asked for once.
+    Where there are more than ``imageLimit``, the largest on the page stay, the largest first.
+    """
+    view = engine.viewport(content, page, p["resolution"] / placing.POINTS_PER_INCH)
+    decoded: dict[str, dict | None] = {}
+    found = []
+    for paint in placing.paints(engine.operators(content, page), view):
+        given = paint.data
+        if given is None:
+            if paint.id and paint.id not in decoded:
+                decoded[paint.id] = engine.raster(content, page, paint.id)
+            given = decoded.get(paint.id)
+        if not given or min(given["width"], given["height"]) < 1 or given["width"] * given["height"] < p["minPixels"]:
+            continue
+        placed = placing.placement(paint, given["width"], given["height"], p["resolution"], p["minEffectiveResolution"])
+        found.append((given, paint, placed))
+    if 0 < p["imageLimit"] < len(found):
+        found.sort(key=lambda f: -f[2]["box"]["width"] * f[2]["box"]["height"])
+        found = found[: p["imageLimit"]]
+    if p["minCoveringBoxes"] > 0 and layer:
+        found = [f for f in found if placing.covering(layer, f[2]["box"]) < p["minCoveringBoxes"]]
+    out = []
+    for given, paint, placed in found:
+        px = placing.cut(placing.raster(given["data"], given["width"], given["height"], given["kind"]), paint.part)
+        scale = placed["scaleFactor"]
+        if scale > 1:
+            px = images.resize(px, *(max(1, geometry.js_round(n * scale)) for n in px.shape[1::-1]))
+        record = {"path": "memory", "resolution": geometry.js_round(placed["effectiveResolution"] * scale), "data": images.encode_png(px), "imageType": "png", "exception": "", "height": px.shape[0], "width": px.shape[1]}
+        out.append({"image": record, "placement": placed})
+    return out

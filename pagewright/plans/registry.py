@@ -17,11 +17,11 @@ from ..functions import presets
 from ..functions.boxes import merge_overlapping
 from ..functions.text import CHUNK_LENGTH, CHUNK_STRIDE
 from ..operators import entities, images, merging, patterns
-from ..schemas import KINDS, empty
+from ..schemas import KINDS, empty, image
 from . import bodies
-from .errors import ConfigError, format_exception, upstream
+from .errors import NO_EMBEDDED_IMAGES, ConfigError, format_exception, upstream
 from .pages import explode_pages
-from .stage import BASE, ORDER, Pipeline, Run, Stage, in_range, place, positive_int
+from .stage import BASE, ORDER, Pipeline, Run, Stage, in_range, place, positive_int, unused
 
 
 class EngineStage(Stage):
@@ -71,19 +71,17 @@ class EngineStage(Stage):
 class PageEngineStage(Stage):
     """One row for each page of a file: ``engine.count(content)`` and ``engine.page(content, page, params) -> record``.
 
-    Pages are dealt out before any is read, so that each is read where its row is.
+    Pages are dealt out before any is read, so that each is read where its row is. An engine that has ``form`` instead of
+    ``page`` gives raw parts of a page, and ``body`` makes the record of them.
     """
 
     engine = "pdf"
     expands = True
+    form, body = "", None
 
-    def transform(self, df: DataFrame, run: Run) -> DataFrame:
-        p, out, kind, name = dict(self.params), self.params["outputCol"], KINDS[self.kind], self.name
-        tool = run.engines.get(self.engine)
-        content, page = p["inputCol"], p["pageCol"]
-        if tool is None:
-            made = df if page in df.columns else df.withColumn(page, F.lit(0))
-            return made.withColumn(out, self.failure(f"{name}: ConfigError: no engine {self.engine!r} was given"))
+    def paged(self, df: DataFrame, tool) -> DataFrame:
+        """A row for each page that the file has, or the one that the row names."""
+        p = self.params
 
         @F.pandas_udf("int")
         def count(data: pd.Series) -> pd.Series:
@@ -95,24 +93,35 @@ class PageEngineStage(Stage):
 
             return data.map(pages)
 
+        return explode_pages(df.withColumn("__n", count(F.col(p["inputCol"]))), "__n", p["pageCol"], p["pageLimit"]).drop("__n")
+
+    def transform(self, df: DataFrame, run: Run) -> DataFrame:
+        p, out, kind, name = dict(self.params), self.params["outputCol"], KINDS[self.kind], self.name
+        tool = run.engines.get(self.engine)
+        content, page = p["inputCol"], p["pageCol"]
+        body = self.body if self.form and hasattr(tool, self.form) else None
+        if tool is None:
+            made = df if page in df.columns else df.withColumn(page, F.lit(0))
+            return made.withColumn(out, self.failure(f"{name}: ConfigError: no engine {self.engine!r} was given"))
+
         @F.pandas_udf(f"struct<value:{kind},error:string>")
         def read(data: pd.Series, numbers: pd.Series) -> pd.DataFrame:
             rows = []
             for d, n in zip(data, numbers, strict=True):
                 try:
-                    rows.append((tool.page(bytes(d), int(n), p), ""))
+                    rows.append((tool.page(bytes(d), int(n), p) if body is None else body(tool, bytes(d), int(n), p), ""))
                 except Exception as e:  # the contract: a row that fails says so
                     rows.append((None, format_exception(name, e)))
             return pd.DataFrame(rows, columns=["value", "error"])
 
-        wide = explode_pages(df.withColumn("__n", count(F.col(content))), "__n", page, p["pageLimit"]).drop("__n")
+        wide = self.paged(df, tool)
         done = read(F.col(content), F.col(page))
         return place(wide.withColumn(out, F.when(done["error"] != "", empty(self.kind, exception=done["error"])).otherwise(done["value"])), F.col(page))
 
 
-def _stage(name: str, kind: str, base: type[Stage] = EngineStage, engine: str = "", expands: bool = False, barrier: bool = False, checks: dict | None = None, body: Callable | None = None, **defaults) -> type[Stage]:
+def _stage(name: str, kind: str, base: type[Stage] = EngineStage, engine: str = "", expands: bool = False, barrier: bool = False, checks: dict | None = None, body: Callable | None = None, form: str = "", **defaults) -> type[Stage]:
     own = {"name": name, "kind": kind, "defaults": defaults, "engine": engine or name, "expands": expands, "barrier": barrier, "checks": checks or {}}
-    return type(name, (base,), own | ({"body": staticmethod(body)} if body else {}))
+    return type(name, (base,), own | ({"body": staticmethod(body)} if body else {}) | ({"form": form} if form else {}))
 
 
 SHARE = in_range(0, 1)
@@ -120,11 +129,63 @@ KEEP = {"keepInputData": True}
 PDF = {"inputCol": "content", "resolution": 300, "pageLimit": 0}
 
 PdfToImage = _stage("PdfToImage", "image", PageEngineStage, "pdf", True, outputCol="image", imageType="png", **PDF)
-PdfToDocument = _stage("PdfToDocument", "document", PageEngineStage, "pdf-text", True, outputCol="document", splitWords=True, **PDF, **KEEP)
-PdfEmbeddedImages = _stage(
+PdfToDocument = _stage("PdfToDocument", "document", PageEngineStage, "pdf-text", True, form="runs", body=bodies.text_page, outputCol="document", splitWords=True, **PDF, **KEEP)
+_EmbeddedImages = _stage(
     "PdfEmbeddedImages", "image", PageEngineStage, "pdf-images", True, outputCol="image", imageType="png", placementCol="placement", minPixels=4096, imageLimit=0,
     minEffectiveResolution=150, objectTimeoutMs=10_000, textLayerCol="document", minCoveringBoxes=8, returnEmpty=True, **PDF, **KEEP,
 )
+
+
+class PdfEmbeddedImages(_EmbeddedImages):
+    """A row for each raster that a page paints, with its placement; a page without any gives one row that says so.
+
+    What the text layer's boxes cover already is left out. An engine without ``operators`` gives one image for a page.
+    """
+
+    form = "operators"
+
+    def __init__(self, **options):
+        super().__init__(**options)
+        if self.params["imageType"] != "png":
+            raise ConfigError("PdfEmbeddedImages writes PNG only")
+
+    def writes(self) -> list[str]:
+        return [self.params["outputCol"], self.params["placementCol"]]
+
+    def transform(self, df: DataFrame, run: Run) -> DataFrame:
+        p, out, name = dict(self.params), self.params["outputCol"], self.name
+        tool, nowhere = run.engines.get(self.engine), F.lit(None).cast(KINDS["placement"])
+        if tool is None or not hasattr(tool, self.form):
+            return super().transform(df, run).withColumn(p["placementCol"], nowhere)
+        wide = self.paged(df, tool)
+        layer = F.to_json(F.col(f"{p['textLayerCol']}.bboxes")) if p["textLayerCol"] in df.columns else F.lit(None).cast("string")
+
+        @F.pandas_udf(f"struct<found:array<struct<image:{KINDS['image']},placement:{KINDS['placement']}>>,error:string>")
+        def read(data: pd.Series, numbers: pd.Series, layers: pd.Series) -> pd.DataFrame:
+            rows = []
+            for d, n, boxes in zip(data, numbers, layers, strict=True):
+                try:
+                    rows.append((bodies.embedded_images(tool, bytes(d), int(n), p, json.loads(boxes) if boxes else []), ""))
+                except Exception as e:  # the contract: a row that fails says so
+                    if p["propagateError"]:
+                        raise
+                    rows.append(([], format_exception(name, e)))
+            return pd.DataFrame(rows, columns=["found", "error"])
+
+        columns = [c for c in wide.columns if c not in (out, p["placementCol"])]
+        made, nth, one = (unused(f"__{c}", [*wide.columns, out, p["placementCol"]]) for c in ("made", "nth", "one"))
+        done = wide.withColumn(made, read(F.col(p["inputCol"]), F.col(p["pageCol"]), layer))
+        done = done.select(*wide.columns, made, F.posexplode_outer(f"{made}.found").alias(nth, one))
+        if not p["returnEmpty"]:
+            done = done.where(F.col(nth).isNotNull() | (F.col(f"{made}.error") != ""))
+        path = F.coalesce(F.col(p["pathCol"]), F.lit("memory")) if p["pathCol"] in columns else F.lit("memory")
+        why = F.when(F.col(f"{made}.error") != "", F.col(f"{made}.error")).otherwise(F.lit(NO_EMBEDDED_IMAGES))
+        none = image(path=path, resolution=p["resolution"], exception=why)
+        shown = F.when(F.col(nth).isNull(), none).otherwise(F.col(f"{one}.image").withField("path", path))
+        ordered = place(place(done, F.col(p["pageCol"])), F.coalesce(F.col(nth), F.lit(0)))
+        return ordered.select(*columns, shown.alias(out), F.col(f"{one}.placement").alias(p["placementCol"]))
+
+
 IMAGE_IN = {"inputCol": "image", **KEEP}
 PaddleTextDetector = _stage("PaddleTextDetector", "boxes", engine="paddle-detect", checks={"scoreThreshold": SHARE}, outputCol="boxes", preset=presets.DEFAULT, presetCol="", scoreThreshold=0, **IMAGE_IN)
 _TextDetector = _stage(

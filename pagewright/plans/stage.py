@@ -147,3 +147,11 @@ class Pipeline:
 def place(df: DataFrame, nth: Column) -> DataFrame:
     """The place of a row that came from another one: the other's place and its number."""
     return df.withColumn(ORDER, F.concat(F.col(ORDER), F.array(nth.cast("long")))) if ORDER in df.columns else df
+
+
+def unused(name: str, taken: Sequence[str]) -> str:
+    """The name, with as many underscores before it as it takes to clash with no other."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name

@@ -994,6 +994,77 @@ def dbnet_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", "e.x", "e.y", "e.width", "e.height", F.round("e.score", 2).alias("score"))
 
 
+class PartFile:
+    """A one-page file for each part, by its key: a raster that is painted at a place and size, and a text run."""
+
+    def count(self, content: bytes) -> int:
+        return 1
+
+    def viewport(self, content: bytes, page: int, scale: float) -> list[float]:
+        return [scale, 0, 0, -scale, 0, 800 * scale]
+
+    def operators(self, content: bytes, page: int) -> list:
+        k = int(content)
+        return [("save", None), ("transform", [100 + k % 50, 0, 0, 50 + k % 30, k % 200, k % 300]), ("paintImageXObject", ["i"]), ("restore", None), ("paintImageMaskXObject", ["m"])]
+
+    def raster(self, content: bytes, page: int, key: str) -> dict:
+        return {"data": bytes(80 * 40 * 3), "width": 80, "height": 40, "kind": 2}
+
+    def runs(self, content: bytes, page: int) -> list[dict]:
+        k = int(content)
+        return [{"str": f"part {k}", "transform": [20, 0, 0, 20, k % 200, k % 700], "width": 100 + k % 50, "height": 20, "fontName": ""}]
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").cast("binary").alias("content"))
+
+
+@query("""SELECT p_partkey, CAST(p_partkey % 200 AS DOUBLE) AS x, CAST(800 - p_partkey % 300 - (50 + p_partkey % 30) AS DOUBLE) AS y, CAST(100 + p_partkey % 50 AS DOUBLE) AS width,
+round(72 * 80 / (100 + p_partkey % 50), 4) AS dots, round(least(4, 150 / (72 * 80 / (100 + p_partkey % 50))), 4) AS scale, round((100 + p_partkey % 50) / 80, 4) AS a, round(-(50 + p_partkey % 30) / -40, 4) AS d,
+CAST(floor(80 * least(4, 150 / (72 * 80 / (100 + p_partkey % 50))) + 0.5) AS INTEGER) AS pixels FROM part""")
+def embedded_images_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters that a page's operators paint: their places, resolutions, maps and the pixels after enlarging."""
+    stage = registry.PdfEmbeddedImages(resolution=72, minPixels=1000)
+    made = stage.run(part_files(spark, sf_dir), Run(engines={"pdf-images": PartFile()}))
+    place = [F.col(f"placement.box.{c}") for c in ("x", "y", "width")]
+    numbers = {"dots": "placement.effectiveResolution", "scale": "placement.scaleFactor", "a": "placement.matrix[0]", "d": "placement.matrix[3]"}
+    return made.select("p_partkey", *place, *[F.round(F.expr(e), 4).alias(n) for n, e in numbers.items()], F.col("image.width").alias("pixels"))
+
+
+@query("""SELECT p_partkey, 'part ' || p_partkey AS text, CAST(2 * (p_partkey % 200) AS DOUBLE) AS x, CAST(2 * (800 - p_partkey % 700 - 15) AS DOUBLE) AS y, CAST(2 * (100 + p_partkey % 50) AS DOUBLE) AS width,
+CAST(40 AS DOUBLE) AS height, 0.99 AS score FROM part""")
+def text_layer_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of text runs in pixels, from their text matrices."""
+    stage = registry.PdfToDocument(resolution=144, splitWords=False)
+    found = each(stage.run(part_files(spark, sf_dir), Run(engines={"pdf-text": PartFile()})), "p_partkey", "document.bboxes")
+    return found.select("p_partkey", *[F.col(f"e.{c}") for c in ("text", "x", "y", "width", "height", "score")])
+
+
+@query("""SELECT p_partkey, CAST(i AS INTEGER) AS pos, CAST(5 + 30 * i AS INTEGER) AS x0, CAST(15 + 30 * i + p_partkey % 7 AS INTEGER) AS x1, 3 AS y0, CAST(10 + p_partkey % 5 AS INTEGER) AS y1,
+CASE WHEN p_partkey % 4 < 3 THEN 'w' || i WHEN i = 0 THEN 'w0 w1' ELSE 'w' || (i + 1) END AS word FROM part, unnest(range(p_partkey % 4 + 1)) AS t(i)""")
+def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the pictures of lines, and what was read shared out to them; some lines have a word more than spans.
+
+    Four spans of one width share ten letters: the first has its 2.5 only with its second word.
+    """
+    import numpy as np
+
+    from .functions import ink
+
+    @F.pandas_udf("array<struct<x0:int,x1:int,y0:int,y1:int,word:string>>")
+    def cut(keys: pd.Series) -> pd.Series:
+        def one(k: int) -> list[dict]:
+            px = np.full((20, 130, 4), 255, np.uint8)
+            for i in range(k % 4 + 1):
+                px[3 : 10 + k % 5, 5 + 30 * i : 15 + 30 * i + k % 7, :3] = 30
+            words = [f"w{i}" for i in range(k % 4 + 1 + (k % 4 == 3))]
+            return [dict(zip(("x0", "x1", "y0", "y1"), s, strict=True), word=w) for s, w in ink.align_spans(words, ink.word_spans(px, 0.15))]
+
+        return keys.map(one)
+
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(cut("p_partkey")).alias("pos", "e")).select("p_partkey", "pos", "e.*")
+
+
 # ---- planted strings beside what must come of them ---------------------------------------------------------------
 
 
@@ -1091,3 +1162,31 @@ AGREEMENTS = [("Invoce", "the Invoice no", 1), ("total", "amount", 0), ("", "any
 def planted_agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     agree = F.pandas_udf(lambda a, b: pd.Series([int(texts_agree(x, y)) for x, y in zip(a, b, strict=True)]), "int")
     return planted(spark, [r[:2] for r in AGREEMENTS], "one string, other string").select("id", agree("one", "other").alias("agree"))
+
+
+#: Pictures for sheets of 100 pixels a side with a gutter of 10, none enlarged: their sizes, and the sheet, place and size that each gets.
+SHEETS = [((100, 50), (0, 0, 0, 100, 50)), ((40, 30), (1, 0, 60, 40, 30)), ((40, 20), (1, 50, 60, 40, 20)), ((200, 100), (1, 0, 0, 100, 50)), ((30, 10), (2, 0, 0, 30, 10))]
+
+
+@query(values([(i, *place) for i, (_, place) in enumerate(SHEETS)], "item, sheet, x, y, width, height"))
+def planted_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions import ink
+
+    @F.pandas_udf("array<struct<item:int,sheet:int,x:int,y:int,width:int,height:int>>")
+    def pack(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda pairs: [{**p, "sheet": n} for n, sheet in enumerate(ink.pack_sheets([tuple(s) for s in pairs], 100, 1, 10)) for p in sheet])
+
+    rows = spark.createDataFrame([([list(size) for size, _ in SHEETS],)], "sizes array<array<int>>")
+    return rows.select(F.inline(pack("sizes")))
+
+
+#: A PDF font's name and size, and its CSS font.
+FONTS = [("ABCDEF+Times-BoldItalic", 12, "italic bold 12px serif"), ("CourierNew", 9, "normal normal 9px monospace"), ("Helvetica-Oblique", 0, "italic normal 1px sans-serif"), ("Abcdef+Arial-Black", 10, "normal bold 10px sans-serif"), ("", 8, "normal normal 8px sans-serif")]
+
+
+@query(values([(i, css) for i, (_, _, css) in enumerate(FONTS)], "id, css"))
+def planted_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions import placing
+
+    css = F.pandas_udf(lambda names, sizes: pd.Series([placing.css_font(n, s) for n, s in zip(names, sizes, strict=True)]), "string")
+    return planted(spark, [f[:2] for f in FONTS], "name string, size int").select("id", css("name", "size").alias("css"))
