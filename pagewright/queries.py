@@ -967,7 +967,7 @@ square_engine.size = 160
 s AS (SELECT *, least(160 / w, 160 / h) AS scale FROM i), p AS (SELECT *, trunc((160 - round_even(w * scale, 0)) / 2) AS px, trunc((160 - round_even(h * scale, 0)) / 2) AS py FROM s),
 c AS (SELECT *, (20 - px) / scale AS x0, (60 - py) / scale AS y0, (70 - px) / scale AS x1, (90 - py) / scale AS y1 FROM p),
 b AS (SELECT *, greatest(0, x0 - 0.1 * (x1 - x0)) AS l, greatest(0, y0 - 0.1 * (y1 - y0)) AS t, least(w, x1 + 0.1 * (x1 - x0)) AS r, least(h, y1 + 0.1 * (y1 - y0)) AS u FROM c)
-SELECT p_partkey, label, round(score, 4) AS score, round(l, 4) AS x, round(t, 4) AS y, round(r - l, 4) AS width, round(u - t, 4) AS height
+SELECT p_partkey, label, CAST(round(score, 4) AS DOUBLE) AS score, round(l, 4) AS x, round(t, 4) AS y, round(r - l, 4) AS width, round(u - t, 4) AS height
 FROM b, (VALUES ('class_1', 0.9), ('face', 0.7)) AS v(label, score)""")
 def yolo_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An object detector's output decoded, moved back from the square, padded, clipped and suppressed by class."""
@@ -1032,7 +1032,7 @@ def embedded_images_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, 'part ' || p_partkey AS text, CAST(2 * (p_partkey % 200) AS DOUBLE) AS x, CAST(2 * (800 - p_partkey % 700 - 15) AS DOUBLE) AS y, CAST(2 * (100 + p_partkey % 50) AS DOUBLE) AS width,
-CAST(40 AS DOUBLE) AS height, 0.99 AS score FROM part""")
+CAST(40 AS DOUBLE) AS height, CAST(0.99 AS DOUBLE) AS score FROM part""")
 def text_layer_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of text runs in pixels, from their text matrices."""
     stage = registry.PdfToDocument(resolution=144, splitWords=False)
