@@ -29,6 +29,8 @@ from .common import by_bytes, map_arrow, private, worker_cache
 
 #: Characters given to the library at once; bounds a worker's memory.
 CHUNK_CHARS = 1_000_000
+#: The owner of what workers keep between tasks.
+KEEPS = "bpe"
 
 
 def byte_chars() -> list[str]:
@@ -123,13 +125,11 @@ def decode_pieces(ids, table: list[bytes]) -> list[str]:
 
 def _load(text: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
     cache = worker_cache()
-    key = ("bpe", hash(text))
+    key = (KEEPS, hash(text))
     if key not in cache:
-        made = Tokenizer.from_str(text)
-        cache[key] = (pa.array(token_bytes(made.get_vocab()), pa.binary()), Pieces(text))
+        made = Pieces(text)
+        cache[key] = (pa.array(token_bytes(made.whole.get_vocab()), pa.binary()), made)
     return cache[key]
 
 
@@ -149,7 +149,7 @@ class Pieces:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_str(text)
-        self.single = Tokenizer.from_str(text)
+        self.single = Tokenizer(self.whole.model)  # one model in memory for both
         self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.unusual, self.cut = regex.compile(UNUSUAL).search, regex.compile(PATTERN).findall
         self.known: dict[str, bytes] = {}
@@ -211,7 +211,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
                 cols.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], ids, *([offsets] if offsets else [])])
 
-    return map_arrow(base, run, schema)
+    return map_arrow(base, run, schema, KEEPS)
 
 
 def encoded(texts: list[str], pieces: Pieces, table: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -246,7 +246,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
                 cols.append(pa.array([None if r is None else decode_pieces(r, known) for r in rows], pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, text, *([pieces] if pieces else [])])
 
-    return map_arrow(base, run, schema)
+    return map_arrow(base, run, schema, KEEPS)
 
 
 def digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,4 +278,4 @@ def digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "offsets_crc32"])
 
-    return map_arrow(base, run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_crc32 long")
+    return map_arrow(base, run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_crc32 long", KEEPS)

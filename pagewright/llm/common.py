@@ -37,18 +37,19 @@ def give_back() -> None:
         pass
 
 
-def sliced(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def sliced(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(keeps)
         yield from fn(batch.slice(a, SLICE_ROWS) for batch in batches for a in range(0, batch.num_rows, SLICE_ROWS))
         give_back()
 
     return run
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose code the executors have."""
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str = "") -> DataFrame:
+    """``mapInArrow`` whose code the executors have. keeps: the owner of what ``fn`` leaves in ``worker_cache``."""
     ship(df.sparkSession)
-    return df.mapInArrow(sliced(fn), schema)
+    return df.mapInArrow(sliced(fn, keeps), schema)
 
 
 def private(df: DataFrame, *names: str) -> list[str]:
@@ -60,10 +61,17 @@ def private(df: DataFrame, *names: str) -> list[str]:
 
 
 def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker, across tasks."""
+    """A dict that lives as long as the Python worker, across tasks. Keys are tuples that begin with their owner's name."""
     return sys.modules.setdefault("_pagewright_worker_cache", types.ModuleType("_pagewright_worker_cache")).__dict__
 
 
+def drop_others(owner: str) -> None:
+    """Drop what other owners keep in this worker: all idle workers take turns, and each would hold a tokenizer for good."""
+    cache = worker_cache()
+    for key in [k for k in cache if isinstance(k, tuple) and k[0] != owner]:
+        del cache[key]
+
+
 def fold(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 3."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3

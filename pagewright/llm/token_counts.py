@@ -74,7 +74,7 @@ def with_bpe_counts(df: DataFrame, vocabulary: str, text: str = "text", out: str
             counts = [len(encode(t)) if t else 0 for a, b in by_bytes(texts, CHUNK_CHARS) for t in texts[a:b]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*batch.schema.names[:-1], out])
 
-    return map_arrow(base, run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + f"`{out}` long")
+    return map_arrow(base, run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + f"`{out}` long", key[0])
 
 
 def changes(docs: DataFrame, op: str, tokenizer: str, seq: int = 0, text: Column | None = None, n_tokens: Column | None = None) -> DataFrame:
