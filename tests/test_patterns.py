@@ -109,3 +109,14 @@ class TestFuzzy:
 
     def test_all_ends(self):
         assert [m.end for m in FuzzyPattern(r"\d{2,4}").search("12345")] == [2, 3, 4, 5]
+
+
+NEXT_TO = [
+    ("on +1 (608) 555-2280 37.92.178.161 in", ["+1 (608) 555-2280", "37.92.178.161"]),
+    ("XY12 3456 GB29 NWBK 6016 1331 9268 19", ["GB29 NWBK 6016 1331 9268 19"]),
+]
+
+
+@pytest.mark.parametrize("text,words", NEXT_TO)
+def test_a_number_that_follows_another_is_found_on_its_own(text, words):
+    assert [text[f.start : f.end] for f in P.find_matches(text)] == words
