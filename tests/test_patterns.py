@@ -120,3 +120,23 @@ NEXT_TO = [
 @pytest.mark.parametrize("text,words", NEXT_TO)
 def test_a_number_that_follows_another_is_found_on_its_own(text, words):
     assert [text[f.start : f.end] for f in P.find_matches(text)] == words
+
+
+def test_an_entity_across_the_parts_of_a_document_is_found_whole(spark):
+    from pyspark.sql import functions as F
+
+    from pagewright.functions.boxes import text_of
+    from pagewright.operators import entities as E
+    from pagewright.operators.words import as_document
+    from pagewright.plans.registry import NerMerger
+    from pagewright.schemas import document
+
+    rows = [(1, "in reingwh. +1 (274) 555-9629 Ateson then."), (2, "a@b.org,+1 (274) 555-9629 c@d.org"), (3, "one a@b.org c@d.org two"), (4, "")]
+    whole = as_document(spark.createDataFrame(rows, "id int, text string"), "id", "text").withColumnRenamed("document", "merged")
+    half = F.slice(F.col("merged.bboxes"), 1, (F.size("merged.bboxes") / 2).cast("int"))
+    docs = whole.withColumn("document", document(text_of(half), half)).withColumn("delta", E.document_delta(F.col("document"), F.col("merged")))
+    docs = docs.withColumn("seam", E.seam(F.col("document"), F.col("delta"), 3))
+    read = P.pattern_entities(P.pattern_entities(P.pattern_entities(docs, "document", "ner"), "delta", "delta_ner"), "seam", "seam_ner")
+    read = E.settle_seam(read, ["ner", "delta_ner"], "seam_ner", "document", "delta")
+    made = NerMerger().run(read).select("id", F.explode("ner.entities").alias("e")).select("id", "e.word").collect()
+    assert sorted(map(tuple, made)) == [(1, "+1 (274) 555-9629"), (2, "+1 (274) 555-9629"), (2, "a@b.org"), (2, "c@d.org"), (3, "a@b.org"), (3, "c@d.org")]
