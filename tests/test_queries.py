@@ -37,3 +37,9 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns == ["label", "source", "n", "n_docs", "mean_score"]
+
+
+@pytest.mark.parametrize("name", ["dbnet_stage", "yolo_stage"])
+def test_work_on_pixels_is_dealt_to_all_cores(spark, name):
+    found = queries.QUERIES[name](spark, SF)  # the tables are one small file each
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
