@@ -15,36 +15,47 @@ from ..functions.text import fold, fold_with_offsets, whole_word_places
 from ..plans.stage import unused
 from ..schemas import DOCUMENT, ENTITIES, arrow_type, ner
 from ..sources.shared import saved
+from .words import pieces
 
 FOUND = arrow_type(ENTITIES)
 
 # ---- positions -------------------------------------------------------------------------------------------------
 
 
-def char_to_box(text: str, words: Sequence[str]) -> list[int]:
-    """For each character the number of the box it belongs to, or -1.
+def box_places(text: str, words: Sequence[str]) -> list[int]:
+    """Where the characters of each box begin, or -1.
 
     Each box takes the first unclaimed place of its text at or after the last one, else the first unclaimed place.
     """
-    owner = [-1] * len(text)
+    taken = bytearray(len(text))
 
     def place(word: str, at: int) -> int:
         while (at := text.find(word, at)) >= 0:
-            if all(o < 0 for o in owner[at : at + len(word)]):
+            if taken.find(1, at, at + len(word)) < 0:
                 return at
             at += 1
         return -1
 
-    cursor = 0
-    for i, word in enumerate(words):
-        if not word:
-            continue
-        at = place(word, cursor)
-        if at < 0:
-            at = place(word, 0)
+    cursor, out = 0, []
+    for word in words:
+        at = -1
+        if word:
+            at = place(word, cursor)
+            if at < 0:
+                at = place(word, 0)
         if at >= 0:
-            owner[at : at + len(word)] = [i] * len(word)
             cursor = at + len(word)
+            taken[at:cursor] = b"\1" * len(word)
+        out.append(at)
+    return out
+
+
+def char_to_box(text: str, words: Sequence[str]) -> list[int]:
+    """For each character the number of the box it belongs to, or -1."""
+    owner = [-1] * len(text)
+    for i, (at, word) in enumerate(zip(box_places(text, words), words, strict=True)):
+        if at >= 0:
+            owner[at : at + len(word)] = [i] * len(word)
     return owner
 
 
@@ -200,6 +211,24 @@ def extent_by_box(chars: DataFrame, scope: list[str]) -> DataFrame:
     return chars.where("box >= 0").groupBy(*scope, "box").agg(F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"))
 
 
+def box_extents(document: Column) -> Column:
+    """array<struct<box,lo,hi>>: the boxes of a document that have characters of its text, and where these lie.
+
+    An array for each document; a row for each character would be as many rows as the corpus has characters.
+    """
+
+    @F.arrow_udf("array<struct<box:int,lo:int,hi:int>>")
+    def place(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, words in (piece for batch in batches for piece in pieces(*batch)):
+            made = []
+            for text, own in zip(texts.to_pylist(), words.to_pylist(), strict=True):
+                own = own or []
+                made.append([{"box": i, "lo": at, "hi": at + len(w)} for i, (at, w) in enumerate(zip(box_places(text or "", own), own, strict=True)) if at >= 0])
+            yield pa.array(made, arrow_type("array<struct<box:int,lo:int,hi:int>>"))
+
+    return place(document["text"], F.transform(document["bboxes"], lambda b: b["text"]))
+
+
 def rebase_entities(found: Sequence[dict], text: str, boxes: Sequence[dict]) -> list[dict]:
     """Entities with the offsets they have in another document: by their boxes, else by the first place of their word."""
     owner = char_to_box(text, [b["text"] for b in boxes])

@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 from ..schemas import BOXES, document
 
 PLACED = "array<struct<word:string,start:int>>"
+#: Bytes of text that a worker takes apart at once; an Arrow batch can hold far more, and its words take some 50 times its room.
+PIECE = 1 << 20
+
+
+def pieces(texts: pa.Array, *others: pa.Array, most: int = PIECE) -> Iterator[tuple[pa.Array, ...]]:
+    """The arrays cut at the same rows, so that a piece has so many bytes of text or one row."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield tuple(a.slice(at, stop - at) for a in (texts, *others))
+        at = stop
 
 
 def _split(texts: pa.Array, separator: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -30,7 +42,7 @@ def placed_words(text: Column, separator: str = " ") -> Column:
 
     @F.arrow_udf(PLACED)
     def place(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for (texts,) in (piece for batch in batches for piece in pieces(batch)):
             words, first, starts = _split(texts, separator)
             cells = pa.StructArray.from_arrays([words, pa.array(starts, pa.int32())], ["word", "start"])
             yield pa.ListArray.from_arrays(pa.array(first, pa.int32()), cells)
@@ -49,7 +61,7 @@ def word_boxes(text: Column, unit: float = 10.0) -> Column:
 
     @F.arrow_udf(BOXES)
     def boxes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for (texts,) in (piece for batch in batches for piece in pieces(batch)):
             words, first, starts = _split(texts, " ")
             sizes = np.array(pa.compute.utf8_length(words).to_numpy(zero_copy_only=False), np.int64)
             some = np.flatnonzero(sizes)
