@@ -39,7 +39,7 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["label", "source", "n", "n_docs", "mean_score"]
 
 
-@pytest.mark.parametrize("name", ["dbnet_stage", "yolo_stage", "embedded_images_stage", "text_layer_stage", "probability_quads", "word_spans"])
+@pytest.mark.parametrize("name", ["dbnet_stage", "yolo_stage", "embedded_images_stage", "text_layer_stage", "probability_quads", "word_spans", "image_boxes"])
 def test_work_on_pixels_is_dealt_to_all_cores(spark, name):
     found = queries.QUERIES[name](spark, SF)  # the tables are one small file each
     assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
