@@ -43,3 +43,12 @@ def test_entry(spark):
 def test_work_on_pixels_is_dealt_to_all_cores(spark, name):
     found = queries.QUERIES[name](spark, SF)  # the tables are one small file each
     assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_streamed_files_grow_in_number_with_the_input(spark, monkeypatch, tmp_path):
+    from pagewright.sources import shared
+
+    monkeypatch.setattr(shared, "workspace", lambda session, name: str(tmp_path / name))
+    queries.stream_equals_batch(spark, SF).collect()
+    assert len(list((tmp_path / "stream" / "in").glob("*.parquet"))) > 6
+    assert len(list((tmp_path / "stream" / "out").glob("batch=*"))) in (3, 4)
